@@ -59,6 +59,22 @@ TABLES: dict[str, tuple[str, str | None, list[str]]] = {
         "ts",
         "event_id AS position",
     ]),
+    "history": ("events", None, [
+        "event_id",
+        "concat('agent', user_id % 20) AS entity_id",
+        "CASE event_id % 3 WHEN 0 THEN 'incident' WHEN 1 THEN 'nonce_used' ELSE 'trust_decision' END AS kind",
+        "ts",
+        "event_type",
+    ]),
+    "trust_rounds": ("embeddings", None, [
+        "CAST(floor(vec_id / 5e1) AS BIGINT) AS round",
+        "concat('c', vec_id % 50) AS client_id",
+        "CASE WHEN vec_id % 50 < 10 THEN 2e-1 + (vec_id * 37 % 100) / 1e3 ELSE 5e-1 + (vec_id * 37 % 500) / 1e3 END AS score",
+        "(vec_id * 53 % 300) / 1e2 AS ood",
+        "vec_id % 50 < 10 AS malicious",
+        "vec_id % 23 = 0 AS failed_validation",
+        "(vec_id * 71 % 1000) / 1e3 AS silhouette",
+    ]),
     "feedback": ("events", None, [
         "event_id",
         "(event_id * 37 % 1000) / 1e3 AS semantic_risk",

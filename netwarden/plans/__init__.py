@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["flow_queries"]
+MODULES = ["flow_queries", "audit_queries"]
 
 
 def load_all() -> None:
