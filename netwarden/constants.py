@@ -97,6 +97,15 @@ SENSITIVE = {
     "email": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
     "credit_card": r"\b(?:\d[ -]?){13,16}\b",
 }
+# Text every match of a pattern must contain (lower case); the card pattern needs 13 digits.
+SENSITIVE_HINTS = {
+    "aws_access_key": "akia",
+    "api_key": "api",
+    "password": "password",
+    "jwt": "eyj",
+    "email": "@",
+}
+CARD_DIGITS = r"(?:\p{Nd}[ -]?){13}"
 
 # Trust thresholds, weights and modes.
 TRUST_WEIGHTS = (0.4, 0.3, 0.3)

@@ -1,0 +1,15 @@
+"""Task-count help for CPU-heavy row work on small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core.
+
+    Meant for a bare scan (no shuffle below), where asking for the split count runs nothing.
+    A large table already has more splits than cores and is returned unchanged.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan

@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from netwarden.constants import BASE64_RUN, HEX_RUN, HIDDEN_WORDS, LEET_FROM, LEET_TO, PERCENT_CODE, SAFE_ARGUMENT, SENSITIVE
+from netwarden.constants import BASE64_RUN, CARD_DIGITS, HEX_RUN, HIDDEN_WORDS, LEET_FROM, LEET_TO, PERCENT_CODE, SAFE_ARGUMENT, SENSITIVE, SENSITIVE_HINTS
 
 _WORD = r"\p{L}\p{N}_"
 _EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
@@ -39,12 +39,23 @@ def unicode_regex(pattern: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     # No built-in does NFKC; ASCII text is already in that form.
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _nfkc_nested(rows: pd.Series) -> pd.Series:
+    form = lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s)
+    return rows.map(lambda cells: None if cells is None else [[form(s) for s in cell] for cell in cells])
+
+
+def canonicalize_nested(texts: Column) -> Column:
+    """``canonicalize`` for every text of an array<array<string>>."""
+    return F.transform(_nfkc_nested(texts), lambda cell: F.transform(cell, strip_format_characters))
+
+
 def strip_format_characters(text: Column) -> Column:
     return F.regexp_replace(text, r"\p{Cf}", "")
 
@@ -62,17 +73,26 @@ def hidden_word(text: Column) -> Column:
     """First risky word that appears only after undoing digit/symbol substitutions, else null."""
     plain = F.lower(text)
     decoded = F.translate(plain, LEET_FROM, LEET_TO)
-    hits = [
-        F.when(decoded.rlike(p) & ~plain.rlike(p), F.lit(word))
-        for word in HIDDEN_WORDS
-        for p in [unicode_regex(rf"\b{word}\b")]
-    ]
-    return F.when(decoded != plain, F.coalesce(*hits))
+
+    def first_hit(pair: Column) -> Column:
+        shown, undone = pair["plain"], pair["decoded"]
+        hits = [
+            F.when(undone.rlike(p) & ~shown.rlike(p), F.lit(word))
+            for word in HIDDEN_WORDS
+            for p in [rf"(?<![{_WORD}]){word}(?![{_WORD}])"]
+        ]
+        # One cheap alternation rules out almost every text before the per-word patterns run.
+        return F.when((undone != shown) & undone.rlike("|".join(HIDDEN_WORDS)), F.coalesce(*hits))
+
+    return let(F.struct(plain.alias("plain"), decoded.alias("decoded")), first_hit)
 
 
 def obfuscation(text: Column) -> Column:
     """Why a text looks obfuscated, checked in fixed order; null when it does not."""
-    body = strip(text)
+    return let(strip(text), _obfuscation)
+
+
+def _obfuscation(body: Column) -> Column:
     word = hidden_word(body)
     decodes = body.rlike(BASE64_RUN) & (F.length(body) % 4 == 0)
     preview = F.substring(F.make_valid_utf8(F.unbase64(F.when(decodes, body)).cast("string")), 1, 60)
@@ -80,15 +100,24 @@ def obfuscation(text: Column) -> Column:
         F.when(decodes, F.concat(F.lit("looks base64-encoded (decodes to: '"), F.coalesce(preview, F.lit("?")), F.lit("')")))
         .when(body.rlike(HEX_RUN), "looks hex-encoded")
         .when(body.rlike(PERCENT_CODE), "contains URL-percent-encoding")
-        .when(word.isNotNull(), F.concat(F.lit("looks leetspeak-obfuscated (decodes to contain '"), word, F.lit("')")))
+        .otherwise(F.concat(F.lit("looks leetspeak-obfuscated (decodes to contain '"), word, F.lit("')")))
     )
 
 
+def _may_match(text: Column, label: str) -> Column:
+    """Cheap necessary condition, so most texts never reach the costly pattern."""
+    if label in SENSITIVE_HINTS:
+        return F.contains(F.lower(text), F.lit(SENSITIVE_HINTS[label]))
+    return text.rlike(CARD_DIGITS)
+
+
 def sensitive_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per sensitive-looking span: (key, label, match)."""
 
     def spans(label: str, pattern: str) -> Column:
-        matches = F.regexp_extract_all(F.col(text), F.lit(unicode_regex(pattern)), F.lit(0))
+        matches = F.when(
+            _may_match(F.col(text), label), F.regexp_extract_all(F.col(text), F.lit(unicode_regex(pattern)), F.lit(0))
+        ).otherwise(F.array().cast("array<string>"))
         return F.transform(matches, lambda m: F.struct(F.lit(label).alias("label"), m.alias("match")))
 
     found = [spans(label, pattern) for label, pattern in SENSITIVE.items()]
@@ -96,8 +125,14 @@ def sensitive_spans(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def redact(text: Column) -> Column:
-    for pattern in SENSITIVE.values():
-        text = F.regexp_replace(text, unicode_regex(pattern), REDACTED)
+    def step(value: Column, label: str) -> Column:
+        cleaned = lambda v: F.when(
+            _may_match(v, label), F.regexp_replace(v, unicode_regex(SENSITIVE[label]), REDACTED)
+        ).otherwise(v)
+        return let(value, cleaned)
+
+    for label in SENSITIVE:
+        text = step(text, label)
     return text
 
 

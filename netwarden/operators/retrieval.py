@@ -6,10 +6,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from netwarden.constants import CAPABILITY_PROSE, KNOWLEDGE, RATIONALE, THREAT_MAP
-from netwarden.functions.text import let, words
+from netwarden.functions.text import words
 
 MIN_SCORE = 0.05
 NAMED_FLOOR = 0.6
@@ -129,6 +130,13 @@ def fill_template(severity: Column, attack: Column, source: Column, asset: Colum
     return out
 
 
+def _vector(text: str, vocabulary: dict[str, float]) -> dict[str, float]:
+    counts = Counter(t for t in re.findall(r"\w{2,}", text.lower()) if t in vocabulary)
+    vector = {t: n * vocabulary[t] for t, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in vector.values()))
+    return {t: w / norm for t, w in vector.items()}
+
+
 def semantic_risk(rationale: Column, template: Column, attack: Column) -> Column:
     """1 - cosine between rationale and template over the fixed vocabulary.
 
@@ -136,36 +144,15 @@ def semantic_risk(rationale: Column, template: Column, attack: Column) -> Column
     and no shuffle is needed.
     """
     vocabulary = risk_vocabulary()
-    terms = F.array(*[F.lit(t) for t in vocabulary])
-    weights = F.array(*[F.lit(w) for w in vocabulary.values()])
-    known = lambda text: F.filter(F.transform(words(text), lambda t: F.array_position(terms, t)), lambda p: p > 0)
-
-    def vector(text: Column) -> Column:
-        """Sparse vector as array<struct<p, w>>."""
-        return let(
-            known(text),
-            lambda positions: F.transform(
-                F.array_distinct(positions),
-                lambda p: F.struct(
-                    p.alias("p"),
-                    (F.size(F.filter(positions, lambda q: q == p)) * F.element_at(weights, p.cast("int"))).alias("w"),
-                ),
-            ),
-        )
 
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    length = lambda v: F.sqrt(total(F.transform(v, lambda x: x["w"] * x["w"])))
+    @F.pandas_udf(T.DoubleType())
+    def template_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        # One linear pass per text; repeated texts of a batch (templates above all) are read once.
+        vectors = {text: _vector(text, vocabulary) for text in set(a) | set(b)}
+        cosine = [sum(w * vectors[y].get(t, 0.0) for t, w in vectors[x].items()) for x, y in zip(a, b)]
+        return pd.Series(cosine, dtype="float64")
 
-    def matched(x: Column, other: Column) -> Column:
-        return total(F.transform(F.filter(other, lambda y: y["p"] == x["p"]), lambda y: y["w"]))
-
-    ratio = let(
-        F.struct(vector(rationale).alias("a"), vector(template).alias("b")),
-        lambda v: F.try_divide(
-            total(F.transform(v["a"], lambda x: x["w"] * matched(x, v["b"]))), length(v["a"]) * length(v["b"])
-        ),
-    )
-    cosine = F.coalesce(ratio / (1.0 + 1e-9), F.lit(0.0))
+    cosine = template_cosine(F.coalesce(rationale, F.lit("")), F.coalesce(template, F.lit(""))) / (1.0 + 1e-9)
     plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
     named = F.contains(plain(rationale), plain(attack))
     similarity = F.when(named, F.greatest(cosine, F.lit(NAMED_FLOOR))).otherwise(cosine)
