@@ -12,6 +12,9 @@ from netwarden.constants import BASE64_RUN, CARD_DIGITS, HEX_RUN, HIDDEN_WORDS,
 _WORD = r"\p{L}\p{N}_"
 _EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 REDACTED = "[REDACTED]"
+NON_ASCII = r"[^\x00-\x7F]"
+# Both run patterns consist of these characters; nothing else needs stripping and decoding.
+_RUN = r"^[\s\p{Z}]*[A-Za-z0-9+/]{16,}={0,2}[\s\p{Z}]*$"
 
 
 def unicode_regex(pattern: str) -> str:
@@ -53,7 +56,9 @@ def _nfkc_nested(rows: pd.Series) -> pd.Series:
 
 def canonicalize_nested(texts: Column) -> Column:
     """``canonicalize`` for every text of an array<array<string>>."""
-    return F.transform(_nfkc_nested(texts), lambda cell: F.transform(cell, strip_format_characters))
+    foreign = F.array_join(F.flatten(texts), "").rlike(NON_ASCII)
+    clean = F.transform(_nfkc_nested(F.when(foreign, texts)), lambda cell: F.transform(cell, strip_format_characters))
+    return F.when(foreign, clean).otherwise(texts)
 
 
 def strip_format_characters(text: Column) -> Column:
@@ -61,8 +66,12 @@ def strip_format_characters(text: Column) -> Column:
 
 
 def canonicalize(text: Column) -> Column:
-    """NFKC, then drop zero-width and other format characters."""
-    return strip_format_characters(_nfkc(text))
+    """NFKC, then drop zero-width and other format characters.
+
+    Pure ASCII text has neither, so it never leaves the JVM with content.
+    """
+    foreign = text.rlike(NON_ASCII)
+    return F.when(foreign, strip_format_characters(_nfkc(F.when(foreign, text)))).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -89,19 +98,18 @@ def hidden_word(text: Column) -> Column:
 
 def obfuscation(text: Column) -> Column:
     """Why a text looks obfuscated, checked in fixed order; null when it does not."""
-    return let(strip(text), _obfuscation)
+    return F.coalesce(
+        F.when(text.rlike(_RUN), let(strip(text), _encoded_run)),
+        F.when(text.rlike(PERCENT_CODE), F.lit("contains URL-percent-encoding")),
+        F.concat(F.lit("looks leetspeak-obfuscated (decodes to contain '"), hidden_word(text), F.lit("')")),
+    )
 
 
-def _obfuscation(body: Column) -> Column:
-    word = hidden_word(body)
+def _encoded_run(body: Column) -> Column:
     decodes = body.rlike(BASE64_RUN) & (F.length(body) % 4 == 0)
     preview = F.substring(F.make_valid_utf8(F.unbase64(F.when(decodes, body)).cast("string")), 1, 60)
-    return (
-        F.when(decodes, F.concat(F.lit("looks base64-encoded (decodes to: '"), F.coalesce(preview, F.lit("?")), F.lit("')")))
-        .when(body.rlike(HEX_RUN), "looks hex-encoded")
-        .when(body.rlike(PERCENT_CODE), "contains URL-percent-encoding")
-        .otherwise(F.concat(F.lit("looks leetspeak-obfuscated (decodes to contain '"), word, F.lit("')")))
-    )
+    shown = F.concat(F.lit("looks base64-encoded (decodes to: '"), F.coalesce(preview, F.lit("?")), F.lit("')"))
+    return F.when(decodes, shown).when(body.rlike(HEX_RUN), "looks hex-encoded")
 
 
 def _may_match(text: Column, label: str) -> Column:

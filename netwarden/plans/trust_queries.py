@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netwarden.constants import CAPABILITIES, HIGH_RISK, LOW_RISK
+from netwarden.functions.parallel import spread
 from netwarden.operators import alerts, anomaly, audit, retrieval, trust
 from netwarden.plans.alert_queries import _MAPPING, _word_sql
 from netwarden.plans.registry import Tables, query
@@ -30,7 +31,7 @@ def plans(t: Tables):
             F.create_map(F.lit("note"), text(a["note"]), F.lit("amount"), number(a["amount"])).alias("parameters"),
         ),
     )
-    context = alerts.enrich(t.plan_context)
+    context = alerts.enrich(spread(t.plan_context, "plan_id"))
     return (
         context.join(listed, "plan_id")
         .withColumn("actions", built).drop("listed")
