@@ -124,10 +124,10 @@ def captures(t: Tables):
 records AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY event_id) AS row_no FROM e),
 packets AS (SELECT capture, ts_us - event_id % 7 * 1200000000 AS ts_us, row_number() OVER (PARTITION BY capture ORDER BY event_id) AS row_no FROM e WHERE event_type <> 'error'),
 waits AS (SELECT r.capture, r.row_no, r.event_id, coalesce(greatest(0, p.ts_us - lag(p.ts_us) OVER (PARTITION BY r.capture ORDER BY r.row_no)), 0) AS wait_us FROM records r JOIN packets p USING (capture, row_no))
-SELECT capture, row_no, event_id, CAST(wait_us AS BIGINT) AS wait_us, round(sum(wait_us) OVER (PARTITION BY capture ORDER BY row_no) / 1e6 / 60, 6) AS due_seconds FROM waits""")
+SELECT capture, row_no, event_id, CAST(wait_us AS BIGINT) AS wait_us, round(sum(wait_us) OVER (PARTITION BY capture ORDER BY row_no) / 1e6, 6) AS due_seconds FROM waits""")
 def _(t: Tables):
     records, packets = captures(t)
-    out = clean.pair_with_packets(records, packets, speed=60.0)
+    out = clean.pair_with_packets(records, packets, speed=1.0)
     return out.select("capture", "row_no", "event_id", "wait_us", F.round("due_seconds", 6).alias("due_seconds"))
 
 
@@ -179,7 +179,7 @@ filled AS (SELECT t.*, coalesce(quantity, mq) AS q, coalesce(discount, md) AS d
 moments AS (SELECT avg(q) AS aq, stddev_pop(q) AS sq, avg(d) AS ad, stddev_pop(d) AS sd FROM filled),
 ranks AS (SELECT 'flag' AS column, flag AS value, n + CASE WHEN row_number() OVER (ORDER BY n DESC, flag) = 1 THEN (SELECT count(*) FROM typed WHERE flag IS NULL) ELSE 0 END AS n FROM (SELECT flag, count(*) AS n FROM typed WHERE flag IS NOT NULL GROUP BY 1)
   UNION ALL SELECT 'supplier', supplier, count(*) FROM typed GROUP BY 2),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY column ORDER BY n DESC, value) AS INTEGER) AS rank FROM ranks)"""
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM ranks)"""
 
 
 @query("numeric_stats", "", f"""WITH {_TYPED} SELECT 'quantity' AS column, round(mq, 6) AS median, round(aq, 6) AS mean, round(sq, 6) AS scale FROM medians, moments UNION ALL SELECT 'discount', round(md, 6), round(ad, 6), round(sd, 6) FROM medians, moments UNION ALL SELECT 'flat', 3e0, 3e0, 1e0""")
@@ -188,13 +188,13 @@ def _(t: Tables):
     return stats.select("column", *[F.round(c, 6).alias(c) for c in ("median", "mean", "scale")])
 
 
-@query("category_ranks", "", f"WITH {_TYPED} SELECT column, value, n, rank FROM ranked")
+@query("category_ranks", "", f'WITH {_TYPED} SELECT "column", value, n, rank FROM ranked')
 def _(t: Tables):
     return features.category_ranks(typed(t), ["flag", "supplier"]).select("column", "value", "n", "rank")
 
 
-@query("feature_encoding", "", f"""WITH {_TYPED}, fill AS (SELECT value AS f FROM ranked WHERE column = 'flag' AND rank = 1)
-SELECT l_orderkey, l_linenumber, round((q - aq) / sq, 6) AS quantity_z, round((d - ad) / sd, 6) AS discount_z, coalesce(flag, f) AS flag_value, CASE WHEN supplier IN (SELECT value FROM ranked WHERE column = 'supplier' AND rank <= 63) THEN 0e0 ELSE 1e0 END AS pooled, 5e0 - 3e0 AS ones, 3 + 3 + 63 + 1 AS width FROM filled, moments, fill""")
+@query("feature_encoding", "", f"""WITH {_TYPED}, fill AS (SELECT value AS f FROM ranked WHERE "column" = 'flag' AND rank = 1)
+SELECT l_orderkey, l_linenumber, round((q - aq) / sq, 6) AS quantity_z, round((d - ad) / sd, 6) AS discount_z, coalesce(flag, f) AS flag_value, CASE WHEN supplier IN (SELECT value FROM ranked WHERE "column" = 'supplier' AND rank <= 63) THEN 0e0 ELSE 1e0 END AS pooled, 5e0 - 3e0 AS ones, 3 + 3 + 63 + 1 AS width FROM filled, moments, fill""")
 def _(t: Tables):
     df = typed(t)
     model = features.fit_features(df, COLUMNS)
