@@ -10,8 +10,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def confusion(rows: DataFrame, true: str, pred: str) -> DataFrame:
-    """Count per (true, pred) pair that occurs."""
-    return rows.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """Count per (true, pred) pair that occurs, labels as text."""
+    return rows.groupBy(F.col(true).cast("string").alias("true"), F.col(pred).cast("string").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_report(rows: DataFrame, true: str, pred: str) -> DataFrame:

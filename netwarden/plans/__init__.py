@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["flow_queries", "audit_queries", "alert_queries", "trust_queries", "update_queries", "evaluation_queries", "table_queries"]
+MODULES = ["flow_queries", "audit_queries", "alert_queries", "trust_queries", "update_queries", "evaluation_queries", "table_queries", "stream_queries"]
 
 
 def load_all() -> None:

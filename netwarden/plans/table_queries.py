@@ -182,10 +182,10 @@ ranks AS (SELECT 'flag' AS column, flag AS value, n + CASE WHEN row_number() OVE
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM ranks)"""
 
 
-@query("numeric_stats", "", f"""WITH {_TYPED} SELECT 'quantity' AS column, round(mq, 6) AS median, round(aq, 6) AS mean, round(sq, 6) AS scale FROM medians, moments UNION ALL SELECT 'discount', round(md, 6), round(ad, 6), round(sd, 6) FROM medians, moments UNION ALL SELECT 'flat', 3e0, 3e0, 1e0""")
+@query("numeric_stats", "", f"""WITH {_TYPED} SELECT 'quantity' AS column, round(mq, 8) AS median, round(aq, 8) AS mean, round(sq, 8) AS scale FROM medians, moments UNION ALL SELECT 'discount', round(md, 8), round(ad, 8), round(sd, 8) FROM medians, moments UNION ALL SELECT 'flat', 3e0, 3e0, 1e0""")
 def _(t: Tables):
     stats = features.numeric_stats(typed(t), ["quantity", "discount", "flat"])
-    return stats.select("column", *[F.round(c, 6).alias(c) for c in ("median", "mean", "scale")])
+    return stats.select("column", *[F.round(c, 8).alias(c) for c in ("median", "mean", "scale")])
 
 
 @query("category_ranks", "", f'WITH {_TYPED} SELECT "column", value, n, rank FROM ranked')
