@@ -86,6 +86,15 @@ def hash_blocks(df: DataFrame, digest: str, target_rows: int = TARGET_ROWS, rows
     return Blocks(F.floor(prefix * n / 65536).cast("int"), n, rows)
 
 
+def _with_block(df: DataFrame, blocks: Blocks) -> DataFrame:
+    if blocks.n == 1:
+        return df.withColumn(BLOCK, F.lit(0))
+    # A generator output carries no "column = expression" constraint. With a plain column the
+    # optimizer copies that expression (it holds a lambda) to the carry side of the join,
+    # where its input does not exist.
+    return df.select("*", F.explode(F.array(blocks.column)).alias(BLOCK))
+
+
 def _spec(keys: Sequence[str], order: Sequence, blocks: Blocks):
     return Window.partitionBy(*[F.col(k) for k in keys], F.col(BLOCK)).orderBy(*order)
 
@@ -97,7 +106,7 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, name: str = "rn") -> DataFrame:
     """Exact 1-based row number per key."""
-    df = df.withColumn(BLOCK, blocks.column)
+    df = _with_block(df, blocks)
     ranked = df.withColumn(name, F.row_number().over(_spec(keys, order, blocks)).cast("long"))
     if blocks.n > 1:
         counts = df.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
@@ -111,7 +120,7 @@ def with_lag(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, fields: Mapping[str, str]
 ) -> DataFrame:
     """Previous row's values per key; ``fields`` maps new column -> source column."""
-    df = df.withColumn(BLOCK, blocks.column)
+    df = _with_block(df, blocks)
     spec = _spec(keys, order, blocks)
     out = df.select("*", *[F.lag(src).over(spec).alias(new) for new, src in fields.items()])
     if blocks.n > 1:
@@ -135,7 +144,7 @@ def with_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, values: Mapping[str, Column]
 ) -> DataFrame:
     """Inclusive running sums per key in row order."""
-    df = df.withColumn(BLOCK, blocks.column)
+    df = _with_block(df, blocks)
     spec = _spec(keys, order, blocks).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(v).over(spec).alias(new) for new, v in values.items()])
     if blocks.n > 1:
