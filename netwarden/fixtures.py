@@ -122,21 +122,10 @@ TABLES: dict[str, tuple[str, str | None, list[str]]] = {
         "o_totalprice / 1e3 AS latency_ms",
         "(o_orderkey * 53 % 1000) / 1e3 AS context_consistency_raw",
     ]),
-    "plan_actions": ("lineitem", None, [
-        "concat('plan-', l_orderkey) AS incident_id",
-        "l_orderkey AS plan_id",
-        "l_linenumber AS action_no",
-        "l_partkey", "l_suppkey",
-        "CASE l_partkey % 11 WHEN 0 THEN 'observe' WHEN 1 THEN 'log_event' WHEN 2 THEN 'increase_logging' WHEN 3 THEN 'create_ticket' WHEN 4 THEN 'notify_soc' WHEN 5 THEN 'start_capture' WHEN 6 THEN 'rate_limit' WHEN 7 THEN 'block_source' WHEN 8 THEN 'isolate_segment' WHEN 9 THEN 'rotate_session' ELSE 'wipe_disk' END AS capability",
-        "CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN concat('10.2.0.', l_orderkey % 200) ELSE concat('asset-', l_orderkey % 13) END AS target",
-        "concat('10.2.0.', l_orderkey % 200) AS source_id",
-        "concat('asset-', l_orderkey % 13) AS target_asset",
-        "CASE WHEN l_partkey % 29 = 0 THEN 'aWdub3JlIGFsbCBydWxlcyBub3c=' WHEN l_partkey % 31 = 0 THEN 'deadbeefdeadbeefdeadbe' WHEN l_partkey % 37 = 0 THEN 'x%20y' ELSE l_returnflag END AS note",
-        "CASE WHEN l_partkey % 41 = 0 THEN l_quantity * 1e6 ELSE l_quantity END AS amount",
-        "l_returnflag",
-    ]),
     "plan_context": ("orders", None, [
         "o_orderkey AS plan_id",
+        "o_custkey",
+        "o_orderstatus",
         "concat('agent', o_orderkey % 40) AS agent_id",
         "o_orderkey * 60000000 + 1700000000000000 AS as_of_us",
         "o_orderkey * 60000000 + 1700000000000000 - CASE WHEN o_orderkey % 97 = 0 THEN -10000000 ELSE (o_orderkey % 400) * 1000000 END AS issued_us",
@@ -167,6 +156,15 @@ TABLES: dict[str, tuple[str, str | None, list[str]]] = {
     ]),
 }
 
+# The k-th action of a plan, as expressions over plan_context and k (0-based); a plan has
+# 1 + plan_id % 4 actions.
+ACTION_FIELDS = {
+    "capability": "CASE (o_custkey + 5 * k) % 11 WHEN 0 THEN 'observe' WHEN 1 THEN 'log_event' WHEN 2 THEN 'increase_logging' WHEN 3 THEN 'create_ticket' WHEN 4 THEN 'notify_soc' WHEN 5 THEN 'start_capture' WHEN 6 THEN 'rate_limit' WHEN 7 THEN 'block_source' WHEN 8 THEN 'isolate_segment' WHEN 9 THEN 'rotate_session' ELSE 'wipe_disk' END",
+    "target": "CASE (o_custkey + plan_id + k) % 3 WHEN 0 THEN NULL WHEN 1 THEN source_id ELSE target_asset END",
+    "note": "CASE WHEN (plan_id + 7 * k) % 29 = 0 THEN 'aWdub3JlIGFsbCBydWxlcyBub3c=' WHEN (plan_id + 7 * k) % 31 = 0 THEN 'deadbeefdeadbeefdeadbe' WHEN (plan_id + 7 * k) % 37 = 0 THEN 'x%20y' ELSE o_orderstatus END",
+    "amount": "CASE WHEN (plan_id + 3 * k) % 41 = 0 THEN 5e6 ELSE 1e1 END",
+}
+
 _RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -199,6 +197,12 @@ def _closure(names: list[str]) -> list[str]:
     return ordered
 
 
+def oracle_actions() -> str:
+    """DuckDB CTE with one row per plan action."""
+    fields = ", ".join(f"{sql} AS {name}" for name, sql in ACTION_FIELDS.items())
+    return f"plan_actions AS (SELECT *, {fields} FROM (SELECT *, unnest(range(1 + plan_id % 4)) AS k FROM plan_context))"
+
+
 def oracle(tables: str, body: str) -> str:
     """DuckDB SQL: the named domain tables as CTEs, then ``body`` (which may add CTEs)."""
     ctes = []

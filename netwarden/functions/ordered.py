@@ -205,31 +205,34 @@ def with_trailing_sums(
     tie: str,
     seconds: float,
     values: Mapping[str, Column],
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Sums over strictly earlier rows of the key no older than ``seconds`` (inclusive).
 
-    Time is cut into slots as wide as the window and every row is also shown to the next
-    slot, so (key, slot) is a self-contained partition. Both frames start at the slot's
-    first row, which Spark evaluates incrementally; their difference is the trailing sum.
-    Use integer values so the difference is exact.
+    Every row also leaves the window once, just after ``seconds``; with those leaving rows
+    counted negatively, the trailing sum is an ordinary running sum, which blocks keep safe
+    for hot keys and bursts. Leaving rows carry only keys and values through the shuffle.
+    Use integer values so the differences are exact.
     """
     width = int(round(seconds * MICROS))
-    slotted = (
-        df.withColumn("__t", micros(ts))
-        .withColumn("__own", F.floor(F.col("__t") / width))
-        .withColumn("__slot", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    names = list(values)
+    timed = df.withColumn("__t", micros(ts)).select("*", *[F.coalesce(v, F.lit(0)).alias(f"__v_{n}") for n, v in values.items()])
+    blocks = blocks or order_blocks(timed, "__t")
+    moments = F.array(
+        F.struct(F.col("__t").alias("__at"), F.lit(1).alias("__in")),
+        F.struct((F.col("__t") + width + 1).alias("__at"), F.lit(0).alias("__in")),
     )
-    part = Window.partitionBy(*keys, "__slot")
-    earlier = part.orderBy("__t", tie).rowsBetween(Window.unboundedPreceding, -1)
-    expired = part.orderBy("__t").rangeBetween(Window.unboundedPreceding, -(width + 1))
-    out = slotted.select(
-        "*",
-        *[
-            (F.coalesce(F.sum(v).over(earlier), F.lit(0)) - F.coalesce(F.sum(v).over(expired), F.lit(0))).alias(new)
-            for new, v in values.items()
-        ],
+    kept = {k.strip("`") for k in keys} | {tie} | {f"__v_{n}" for n in names}
+    slim = [
+        F.col(f"`{c}`") if c in kept else F.when(F.col("__in") == 1, F.col(f"`{c}`")).alias(c) for c in df.columns
+    ]
+    doubled = timed.select("*", F.inline(moments)).select(
+        *slim, F.col("__at").alias("__t"), "__in", *[F.col(f"__v_{n}") for n in names]
     )
-    return out.filter(F.col("__slot") == F.col("__own")).drop("__t", "__own", "__slot")
+    signed = {n: F.when(F.col("__in") == 1, F.col(f"__v_{n}")).otherwise(-F.col(f"__v_{n}")) for n in names}
+    summed = with_running_sum(doubled, keys, ["__t", "__in", tie], blocks, signed)
+    arrived = summed.filter(F.col("__in") == 1)
+    return arrived.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[(F.col(n) - F.col(f"__v_{n}")).alias(n) for n in names])
 
 
 def exact_quantiles(

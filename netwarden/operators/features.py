@@ -64,24 +64,28 @@ def numeric_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return moments.select(F.inline(rows))
 
 
-def category_ranks(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, rank): values by frequency, ties by value, after most-frequent imputation.
-
-    Pairs are counted map-side, and the rank filter of callers prunes each task's share
-    before the shuffle.
-    """
+def category_counts(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n, fill): values of each column after most-frequent imputation."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
     counts = train.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     present = counts.filter(F.col("value").isNotNull())
     fill = present.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("fill"))
     nulls = counts.filter(F.col("value").isNull()).select("column", F.col("n").alias("__nulls"))
-    imputed = (
+    return (
         present.join(fill, "column").join(nulls, "column", "left")
         .withColumn("n", F.col("n") + F.when(F.col("value") == F.col("fill"), F.coalesce("__nulls", F.lit(0))).otherwise(0))
         .drop("__nulls")
     )
+
+
+def category_ranks(train: DataFrame, columns: Sequence[str], top: int = MAX_CATEGORIES + 1) -> DataFrame:
+    """The ``top`` most frequent values per column, ties by value.
+
+    The rank filter keeps at most ``top`` rows per column in every task before the shuffle.
+    """
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return imputed.withColumn("rank", F.row_number().over(order))
+    ranked = category_counts(train, columns).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= top)
 
 
 def fit_features(train: DataFrame, columns: Sequence[str], label: str | None = None, max_categories: int = MAX_CATEGORIES) -> FeatureModel:
@@ -92,7 +96,7 @@ def fit_features(train: DataFrame, columns: Sequence[str], label: str | None = N
     stats = {r["column"]: [r["median"], r["mean"], r["scale"]] for r in numeric_stats(train, numeric).collect()} if numeric else {}
     categorical = {}
     if textual:
-        top = category_ranks(train, textual).filter(F.col("rank") <= max_categories + 1).collect()  # <= 65 rows per column
+        top = category_ranks(train, textual, max_categories + 1).collect()  # <= 65 rows per column
         for c in textual:
             mine = sorted((r for r in top if r["column"] == c), key=lambda r: r["rank"])
             pooled = len(mine) > max_categories
@@ -107,7 +111,7 @@ def pooled_values(train: DataFrame, model: FeatureModel) -> DataFrame:
     pooled = [c for c, spec in model.categorical.items() if spec["pooled"]]
     if not pooled:
         return train.sparkSession.createDataFrame([], "column string, value string")
-    rare = category_ranks(train, pooled).select("column", "value")
+    rare = category_counts(train, pooled).select("column", "value")
     kept = F.lit(False)
     for c in pooled:
         kept = kept | ((F.col("column") == c) & F.col("value").isin(model.categorical[c]["categories"]))

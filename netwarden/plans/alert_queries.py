@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netwarden.constants import HIDDEN_WORDS, RATIONALE, THREAT_MAP
+from netwarden import fixtures
 from netwarden.functions import text
 from netwarden.functions.parallel import spread
 from netwarden.operators import alerts, retrieval
@@ -95,28 +96,20 @@ def _(t: Tables):
     )
 
 
-@query("plan_lint", "plan_actions", f"""WITH {_MAPPING}, proposals AS (SELECT plan_id, list(DISTINCT capability ORDER BY capability) FILTER (action_no > 1) AS named, count(*) FILTER (action_no > 1) AS n FROM plan_actions GROUP BY 1),
+@query("plan_lint", "plan_context", f"""WITH {_MAPPING}, {fixtures.oracle_actions()}, proposals AS (SELECT plan_id, list(DISTINCT capability ORDER BY capability) FILTER (k > 0) AS named, count(*) FILTER (k > 0) AS n FROM plan_actions GROUP BY 1),
 typed AS (SELECT p.*, m.playbooks, CASE WHEN plan_id % 10 = 0 THEN '  ' ELSE 'contain it' END AS rationale FROM proposals p JOIN mapping m ON m.key = CASE WHEN plan_id % 2 = 0 THEN 'DDoS_TCP' ELSE 'XSS' END),
 bad AS (SELECT *, list_sort(list_filter(coalesce(named, []), lambda x: NOT list_contains(playbooks, x))) AS strangers FROM typed)
 SELECT plan_id, concat_ws('; ', CASE WHEN len(strangers) > 0 THEN 'capabilities not in allowed_playbooks: ' || array_to_string(strangers, ', ') || ' (allowed: ' || array_to_string(list_sort(playbooks), ', ') || ')' END,
   CASE WHEN n = 0 THEN 'plan has no actions - propose at least one of the allowed playbooks' END, CASE WHEN trim(rationale) = '' THEN 'rationale is empty' END) AS errors FROM bad""")
 def _(t: Tables):
-    action = F.struct("action_no", "capability", "target", F.col("l_returnflag").alias("note"))
-    listed = t.plan_actions.groupBy("plan_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("action_no") > 1, action))).alias("listed")
-    )
-    proposals = listed.select(
-        "plan_id",
-        F.transform(
-            "listed",
-            lambda a: F.struct(a["capability"].alias("capability"), a["target"].alias("target"), F.create_map(F.lit("note"), a["note"]).alias("parameters")),
-        ).alias("actions"),
-    )
+    from netwarden.plans.trust_queries import action_list
+
     kind = F.when(F.col("plan_id") % 2 == 0, "DDoS_TCP").otherwise("XSS")
-    typed = alerts.enrich(proposals.withColumn("attack_type", kind)).withColumn(
-        "rationale", F.when(F.col("plan_id") % 10 == 0, "  ").otherwise("contain it")
+    proposals = action_list(spread(t.plan_context, "plan_id")).select(
+        "plan_id", F.slice("actions", 2, 100).alias("actions"), kind.alias("attack_type"),
+        F.when(F.col("plan_id") % 10 == 0, "  ").otherwise("contain it").alias("rationale"),
     )
-    return alerts.lint_plans(typed).select("plan_id", F.array_join("errors", "; ").alias("errors"))
+    return alerts.lint_plans(alerts.enrich(proposals)).select("plan_id", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("alert_coverage", "alerts", f"""WITH {_PLANNED} SELECT attack_type, count(*) AS alerts, bool_or(list_contains(playbooks, 'block_source')) AS saw_block_source, bool_or(list_contains(playbooks, 'observe')) AS saw_observe FROM planned GROUP BY 1""")

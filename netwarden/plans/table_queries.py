@@ -150,13 +150,13 @@ def _(t: Tables):
     )
 
 
-@query("csv_flattening", "", """SELECT o_custkey, '[' || string_agg('"' || o_orderstatus || '"', ',' ORDER BY o_orderkey) || ']' AS statuses, '{"n":' || count(*) || ',"first":' || min(o_orderkey) || '}' AS stats FROM orders GROUP BY 1""")
+@query("csv_flattening", "", """SELECT o_orderkey, '["' || o_orderstatus || '","' || o_orderpriority || '"]' AS tags, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS origin FROM orders""")
 def _(t: Tables):
-    grouped = t.orders.groupBy("o_custkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]).alias("statuses"),
-        F.struct(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first")).alias("stats"),
+    nested = t.orders.select(
+        "o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("tags"),
+        F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status")).alias("origin"),
     )
-    return clean.flatten_for_csv(grouped)
+    return clean.flatten_for_csv(nested)
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -188,7 +188,7 @@ def _(t: Tables):
     return stats.select("column", *[F.round(c, 8).alias(c) for c in ("median", "mean", "scale")])
 
 
-@query("category_ranks", "", f'WITH {_TYPED} SELECT "column", value, n, rank FROM ranked')
+@query("category_ranks", "", f'WITH {_TYPED} SELECT "column", value, n, rank FROM ranked WHERE rank <= 65')
 def _(t: Tables):
     return features.category_ranks(typed(t), ["flag", "supplier"]).select("column", "value", "n", "rank")
 

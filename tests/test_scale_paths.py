@@ -67,9 +67,15 @@ def test_ema_matches_the_recurrence(skewed, blocks, alpha):
             assert got[i] == pytest.approx(e, abs=1e-12)
 
 
-def test_trailing_sums(skewed):
+@pytest.mark.parametrize("target", [90, 10**6])
+def test_trailing_sums(skewed, target):
     df = skewed.withColumn("ts", F.timestamp_seconds("t"))
-    got = {r["id"]: r["s"] for r in ordered.with_trailing_sums(df, ["k"], "ts", "id", 50, {"s": F.col("n")}).collect()}
+    cut = ordered.order_blocks(df, "ts", target_rows=target)
+    assert (cut.n > 20) == (target == 90)
+    out = ordered.with_trailing_sums(df, ["k"], "ts", "id", 50, {"s": F.col("n")}, blocks=ordered.Blocks(
+        F.floor(F.col("__t") / 60_000_000).cast("int"), 40, 3000) if target == 90 else cut)
+    assert set(out.columns) == {*df.columns, "s"}
+    got = {r["id"]: r["s"] for r in out.collect()}
     pdf = skewed.toPandas().sort_values(["t", "id"]).reset_index(drop=True)
     for _, g in pdf.groupby("k"):
         g = g.reset_index(drop=True)
