@@ -83,15 +83,14 @@ def hidden_word(text: Column) -> Column:
     plain = F.lower(text)
     decoded = F.translate(plain, LEET_FROM, LEET_TO)
 
+    pattern = F.lit(rf"(?<![{_WORD}])({'|'.join(HIDDEN_WORDS)})(?![{_WORD}])")
+    in_order = F.array(*[F.lit(w) for w in HIDDEN_WORDS])
+
     def first_hit(pair: Column) -> Column:
         shown, undone = pair["plain"], pair["decoded"]
-        hits = [
-            F.when(undone.rlike(p) & ~shown.rlike(p), F.lit(word))
-            for word in HIDDEN_WORDS
-            for p in [rf"(?<![{_WORD}]){word}(?![{_WORD}])"]
-        ]
-        # One cheap alternation rules out almost every text before the per-word patterns run.
-        return F.when((undone != shown) & undone.rlike("|".join(HIDDEN_WORDS)), F.coalesce(*hits))
+        hits = F.array_except(F.regexp_extract_all(undone, pattern, F.lit(1)), F.regexp_extract_all(shown, pattern, F.lit(1)))
+        # One cheap alternation rules out almost every text before the bounded search runs.
+        return F.when((undone != shown) & undone.rlike("|".join(HIDDEN_WORDS)), F.get(F.array_intersect(in_order, hits), 0))
 
     return let(F.struct(plain.alias("plain"), decoded.alias("decoded")), first_hit)
 

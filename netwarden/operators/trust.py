@@ -171,6 +171,7 @@ def rationale_check(plans: DataFrame) -> DataFrame:
 
 def preprocess_plans(plans: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """Stage 1: all checks, the normalized plan, ``stage1_reasons`` and ``stage1_ok``."""
+    # The costly text checks come before the window, where no agent is hot yet.
     checked = rationale_check(with_quota(normalize_actions(plans, limits), limit=limits["actions_per_hour"]))
     replay = F.array_compact(F.array(F.when(F.col("replay"), "nonce replay detected"))) if "replay" in plans.columns else F.array().cast("array<string>")
     reasons = F.concat(

@@ -9,7 +9,7 @@ from netwarden.functions.ordered import micros
 from netwarden.operators import detector, features, metrics, split
 from netwarden.plans.audit_queries import _page_hinkley, _REPUTATION, _chain_sql, _ema_sql, _text_sql, entry_text, rounded
 from netwarden.plans.registry import Tables, query
-from netwarden.session import scratch_folder
+from netwarden.session import checkpointed, scratch_folder
 from netwarden.sources import files, pcap, streams
 from netwarden.streaming import jobs
 
@@ -160,14 +160,15 @@ def records(events):
 
 def prepared(t: Tables):
     """Stratified rows with label index, and the encoding fitted on the training part."""
-    rows = split.stratified_split(records(t.events), "event_type", "event_id")
+    # Every fitting step reads the split again, so it is materialized once.
+    rows = checkpointed(split.stratified_split(records(t.events), "event_type", "event_id"))
     model = features.fit_features(rows.filter("split = 'train'"), FEATURES, "event_type")
     return features.encode_label(rows, "event_type", model.classes), model
 
 
 def trained(t: Tables):
     rows, model = prepared(t)
-    encoded = features.encode(rows, model).select("event_id", "split", "y", "features")
+    encoded = checkpointed(features.encode(rows, model).select("event_id", "split", "y", "features"))
     classifier, _ = detector.train_detector(encoded.filter("split = 'train'"), encoded.filter("split = 'val'"), strengths=(0.0, 0.1))
     return encoded, model, classifier
 
