@@ -86,7 +86,7 @@ def hash_blocks(df: DataFrame, digest: str, target_rows: int = TARGET_ROWS, rows
     return Blocks(F.floor(prefix * n / 65536).cast("int"), n, rows)
 
 
-def _with_block(df: DataFrame, blocks: Blocks) -> DataFrame:
+def with_block(df: DataFrame, blocks: Blocks) -> DataFrame:
     if blocks.n == 1:
         return df.withColumn(BLOCK, F.lit(0))
     # A generator output carries no "column = expression" constraint. With a plain column the
@@ -106,7 +106,7 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, name: str = "rn") -> DataFrame:
     """Exact 1-based row number per key."""
-    df = _with_block(df, blocks)
+    df = with_block(df, blocks)
     ranked = df.withColumn(name, F.row_number().over(_spec(keys, order, blocks)).cast("long"))
     if blocks.n > 1:
         counts = df.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
@@ -120,14 +120,17 @@ def with_lag(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, fields: Mapping[str, str]
 ) -> DataFrame:
     """Previous row's values per key; ``fields`` maps new column -> source column."""
-    df = _with_block(df, blocks)
+    df = with_block(df, blocks)
     spec = _spec(keys, order, blocks)
     out = df.select("*", *[F.lag(src).over(spec).alias(new) for new, src in fields.items()])
     if blocks.n > 1:
         first = F.row_number().over(spec) == 1
-        last = F.max_by(
-            F.struct(*[F.col(src).alias(new) for new, src in fields.items()]), F.struct(*order)
-        ).alias("__last")
+        values = F.struct(*[F.col(src).alias(new) for new, src in fields.items()])
+        if list(fields.values()) == [order[0]]:
+            # The last value of the leading order column is its maximum: a plain hash aggregate.
+            last = F.struct(F.max(order[0]).alias(next(iter(fields)))).alias("__last")
+        else:
+            last = F.max_by(values, F.struct(*order)).alias("__last")
         carry = (
             df.groupBy(*keys, BLOCK).agg(last)
             .withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(BLOCK)))
@@ -144,7 +147,7 @@ def with_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, values: Mapping[str, Column]
 ) -> DataFrame:
     """Inclusive running sums per key in row order."""
-    df = _with_block(df, blocks)
+    df = with_block(df, blocks)
     spec = _spec(keys, order, blocks).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(v).over(spec).alias(new) for new, v in values.items()])
     if blocks.n > 1:

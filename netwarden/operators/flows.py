@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netwarden.constants import FLOW_COLUMNS
 from netwarden.functions.ordered import (
-    Blocks, exact_quantiles, micros, order_blocks, with_lag, with_rank, with_running_sum,
+    BLOCK, Blocks, exact_quantiles, micros, order_blocks, with_block, with_lag, with_rank,
 )
 
 RUN_ROWS = 1_000_000
@@ -73,14 +73,34 @@ def sessionize(
     if inactivity_seconds is None:
         return df.withColumn("session_no", F.lit(1).cast("long")).withColumn("session_id", F.col("flow_key"))
     blocks = blocks or order_blocks(df, ts)
-    df = df.withColumn("__t", micros(ts))
-    df = with_lag(df, ["flow_key"], [ts, row_id], blocks, {"__previous": "__t"})
-    gap = F.col("__t") - F.col("__previous")
-    opens = F.when(gap.isNull() | (gap > int(inactivity_seconds * 1_000_000)), 1).otherwise(0)
-    df = with_running_sum(df, ["flow_key"], [ts, row_id], blocks, {"session_no": opens.cast("long")})
-    return df.withColumn(
+    numbered = _number_sessions(df.withColumn("__t", micros(ts)), row_id, int(inactivity_seconds * 1_000_000), blocks)
+    return numbered.withColumn(
         "session_id", F.concat(F.col("flow_key"), F.lit("|session="), F.col("session_no").cast("string"))
-    ).drop("__t", "__previous")
+    ).drop("__t")
+
+
+def _number_sessions(df: DataFrame, row_id: str, gap: int, blocks: Blocks) -> DataFrame:
+    """``session_no`` per flow. Only the first row of a block needs to know the block before it."""
+    placed = with_block(df, blocks)
+    inside = Window.partitionBy("flow_key", BLOCK).orderBy("__t", row_id)
+    previous = F.lag("__t").over(inside)
+    opens = F.when(F.col("__t") - previous > gap, 1).otherwise(0).cast("long")
+    flagged = placed.withColumn("__opens", opens)
+    counted = flagged.withColumn("session_no", F.sum("__opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    if blocks.n == 1:
+        return counted.withColumn("session_no", F.col("session_no") + 1).drop("__opens", BLOCK)
+    summary = flagged.groupBy("flow_key", BLOCK).agg(
+        F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.sum("__opens").alias("__inner")
+    )
+    along = Window.partitionBy("flow_key").orderBy(BLOCK)
+    before = F.lag("__last").over(along)
+    starts = F.when(before.isNull() | (F.col("__first") - before > gap), 1).otherwise(0).cast("long")
+    started = summary.withColumn("__starts", starts)
+    earlier = F.sum(F.col("__inner") + F.col("__starts")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    carry = started.select("flow_key", BLOCK, (F.coalesce(earlier, F.lit(0)) + F.col("__starts")).alias("__offset"))
+    return counted.join(carry, ["flow_key", BLOCK]).withColumn("session_no", F.col("session_no") + F.col("__offset")).drop(
+        "__opens", "__offset", BLOCK
+    )
 
 
 def session_stats(sessions: DataFrame, ts: str = "ts") -> DataFrame:

@@ -167,13 +167,13 @@ def typed(t: Tables):
         F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity")).alias("quantity"),
         F.when(F.col("l_orderkey") % 17 == 0, float("inf")).otherwise(F.col("l_discount")).alias("discount"),
         F.lit(3.0).alias("flat"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_returnflag")).alias("flag"),
-        F.concat(F.lit("s"), (F.col("l_suppkey") % 90).cast("string")).alias("supplier"), "l_linestatus",
+        F.concat(F.lit("s"), (F.col("l_partkey") % 90).cast("string")).alias("supplier"), "l_linestatus",
     )
 
 
 COLUMNS = ["quantity", "discount", "flat", "flag", "supplier"]
 _TYPED = """typed AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 17 <> 0 THEN l_discount END AS discount, 3e0 AS flat,
- CASE WHEN l_partkey % 7 <> 0 THEN l_returnflag END AS flag, 's' || l_suppkey % 90 AS supplier, l_linestatus FROM lineitem),
+ CASE WHEN l_partkey % 7 <> 0 THEN l_returnflag END AS flag, 's' || l_partkey % 90 AS supplier, l_linestatus FROM lineitem),
 medians AS (SELECT median(quantity) AS mq, median(discount) AS md FROM typed),
 filled AS (SELECT t.*, coalesce(quantity, mq) AS q, coalesce(discount, md) AS d FROM typed t, medians),
 moments AS (SELECT avg(q) AS aq, stddev_pop(q) AS sq, avg(d) AS ad, stddev_pop(d) AS sd FROM filled),
