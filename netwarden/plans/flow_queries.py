@@ -221,6 +221,15 @@ def _(t: Tables):
     return split.dirichlet_partition(rows, "c_mktsegment", "c_custkey", clients=5, alpha=0.5, min_samples=5)
 
 
+@query("partition_dirichlet_totals", "", "SELECT c_mktsegment, count(*) AS samples, count(DISTINCT c_custkey) AS distinct_rows FROM customer GROUP BY 1")
+def _(t: Tables):
+    rows = t.customer.select("c_custkey", "c_mktsegment")
+    parts = split.dirichlet_partition(rows, "c_mktsegment", "c_custkey", clients=5, alpha=0.5, min_samples=5)
+    return parts.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("samples"), F.countDistinct("c_custkey").alias("distinct_rows")
+    )
+
+
 @query("partition_manifest", "", """
 SELECT client_id, c_mktsegment, count(*) AS samples FROM (
   SELECT c_mktsegment, CAST(ntile(7) OVER (ORDER BY md5('42|' || c_custkey), c_custkey) - 1 AS INTEGER) AS client_id FROM customer) GROUP BY 1, 2""")

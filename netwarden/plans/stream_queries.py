@@ -106,7 +106,10 @@ def _(t: Tables):
     return read.select("label_id", "audit_sequence", "label", "analyst_id", "rationale", F.unix_micros("timestamp").alias("at_us"))
 
 
-@query("prepared_dataset")
+@query("prepared_dataset", "", """WITH ranked AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+sized AS (SELECT *, round_even(n * CAST(0.15 AS DOUBLE), 0) AS n_test FROM ranked),
+final AS (SELECT *, round_even((n - n_test) * (CAST(0.15 AS DOUBLE) / (1 - CAST(0.15 AS DOUBLE))), 0) AS n_val FROM sized)
+SELECT event_id, CASE WHEN rn <= n_test THEN 'test' WHEN rn <= n_test + n_val THEN 'val' ELSE 'train' END AS split, dense_rank() OVER (ORDER BY event_type) - 1 AS y, 11 AS width, 1e0 AS devices FROM final""")
 def _(t: Tables):
     rows, model = prepared(t)
     folder = scratch_folder(t.spark, "prepared")
@@ -114,7 +117,8 @@ def _(t: Tables):
     stored, loaded = files.load_prepared(t.spark, folder)
     if loaded != model:
         raise ValueError("the stored encoding differs from the fitted one")
-    return stored
+    devices = F.aggregate(F.slice("features", 3, 9), F.lit(0.0), lambda a, b: a + b)
+    return stored.select("event_id", "split", "y", F.size("features").alias("width"), devices.alias("devices"))
 
 
 @query("release_check")

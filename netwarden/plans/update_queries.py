@@ -117,6 +117,17 @@ def _(t: Tables):
     return up.project_updates(up.deltas(updates(t), reference(t))).select("round", "client_id", "point", "explained")
 
 
+@query("projection_distances", "", f"""WITH {_U}, scaled AS (SELECT round, client_id, param, idx, delta - avg(delta) OVER w AS c, stddev_pop(delta) OVER w AS sd FROM deltas WINDOW w AS (PARTITION BY round, param, idx)),
+z AS (SELECT round, client_id, param, idx, CASE WHEN sd = 0 THEN 0e0 ELSE c / sd END AS z FROM scaled)
+SELECT a.round, a.client_id, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 5) AS distance FROM z a JOIN z b ON b.round = a.round AND b.client_id = 'c0' AND b.param = a.param AND b.idx = a.idx WHERE a.client_id <> 'c0' GROUP BY 1, 2""")
+def _(t: Tables):
+    """Distances to one client survive a projection on all components."""
+    p = up.project_updates(up.deltas(updates(t), reference(t)), components=1000).select("round", "client_id", "point")
+    base = p.filter("client_id = 'c0'").select("round", F.col("point").alias("base"))
+    gap = F.aggregate(F.zip_with("point", "base", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+    return p.filter("client_id <> 'c0'").join(base, "round").select("round", "client_id", F.round(F.sqrt(gap), 5).alias("distance"))
+
+
 @query("update_clusters")
 def _(t: Tables):
     return up.cluster_clients(up.project_updates(up.deltas(updates(t), reference(t))))
