@@ -27,7 +27,7 @@ def enrich(alerts: DataFrame, strict: bool = False) -> DataFrame:
     mapping = threat_mapping(alerts.sparkSession)
     if strict and not alerts.join(F.broadcast(mapping), "attack_type", "left_anti").isEmpty():
         raise KeyError("an alert has an attack type without a mapping")
-    known = F.col("attack_type").isin(list(THREAT_MAP))
+    known = F.coalesce(F.col("attack_type").isin(list(THREAT_MAP)), F.lit(False))
     keyed = alerts.withColumn("mapped", known).withColumn("__key", F.when(known, F.col("attack_type")).otherwise("Normal"))
     return keyed.join(F.broadcast(mapping.withColumnRenamed("attack_type", "__key")), "__key").drop("__key")
 

@@ -24,16 +24,22 @@ def _with_key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
 
 
+def class_key(label: str) -> Column:
+    """The label as a non-null grouping key; rows without a label form their own class."""
+    return F.coalesce(F.col(label).cast("string"), F.lit("UNKNOWN"))
+
+
 def stratified_split(
     df: DataFrame, label: str, row_id: str, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42
 ) -> DataFrame:
     """Seeded row split with the same shares inside every label."""
-    counted = _with_key_counts(_ranked_by_hash(df, [label], row_id, seed), label)
+    keyed = df.withColumn("__key", class_key(label))
+    counted = _with_key_counts(_ranked_by_hash(keyed, ["__key"], row_id, seed), "__key")
     relative = val_size / (1.0 - test_size)
     n_test = F.bround(F.col("__n") * F.lit(test_size), 0)
     n_val = F.bround((F.col("__n") - n_test) * F.lit(relative), 0)
     split = F.when(F.col("__rn") <= n_test, "test").when(F.col("__rn") <= n_test + n_val, "val").otherwise("train")
-    return counted.withColumn("split", split).drop("__rn", "__n")
+    return counted.withColumn("split", split).drop("__rn", "__n", "__key")
 
 
 def split_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int, int]:
@@ -137,7 +143,8 @@ def dirichlet_partition(
     """
     if clients < 2 or alpha <= 0:
         raise ValueError("need at least two clients and a positive alpha")
-    classes = [(r[0], r[1]) for r in df.groupBy(label).count().orderBy(label).collect()]
+    df = df.withColumn("__key", class_key(label))
+    classes = [(r[0], r[1]) for r in df.groupBy("__key").count().orderBy("__key").collect()]
     rng = np.random.default_rng(seed)
     for _ in range(max_attempts):
         cuts = [(np.cumsum(rng.dirichlet([alpha] * clients)) * n).astype(int)[:-1].tolist() for _, n in classes]
@@ -147,14 +154,13 @@ def dirichlet_partition(
     else:
         raise RuntimeError(f"no partition met the minimum sizes in {max_attempts} attempts")
     spark = df.sparkSession
-    kind = df.schema[label].dataType.simpleString()
-    plan = spark.createDataFrame([(v, c) for (v, _), c in zip(classes, cuts)], f"`{label}` {kind}, __cuts array<long>")
-    ranked = _ranked_by_hash(df, [label], row_id, seed)
+    plan = spark.createDataFrame([(v, c) for (v, _), c in zip(classes, cuts)], "__key string, __cuts array<long>")
+    ranked = _ranked_by_hash(df, ["__key"], row_id, seed)
     # One row per class with clients-1 numbers: its size does not grow with the data.
-    placed = ranked.join(F.broadcast(plan), label)
+    placed = ranked.join(F.broadcast(plan), "__key")
     at = F.col("__rn") - 1
     client = F.size(F.filter("__cuts", lambda c: c <= at))
-    return placed.withColumn("client_id", client).drop("__rn", "__cuts")
+    return placed.withColumn("client_id", client).drop("__rn", "__cuts", "__key")
 
 
 def sample_per_client(df: DataFrame, client: str, row_id: str, cap: int, seed: int = 42) -> DataFrame:

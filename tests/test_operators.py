@@ -71,6 +71,15 @@ def test_heldout_rows_must_repeat(spark):
         split.heldout_rows(a, split.stratified_split(df, "y", "id", seed=2), ["id", "y"])
 
 
+def test_rows_without_label_are_kept(spark):
+    df = spark.range(200).withColumn("y", F.when(F.col("id") % 3 != 0, (F.col("id") % 2).cast("string")))
+    assert split.stratified_split(df, "y", "id").count() == 200
+    assert split.dirichlet_partition(df, "y", "id", 2, 5.0).count() == 200
+    nothing = spark.createDataFrame([(None, "s", "t")], "attack_type string, source_id string, target_asset string")
+    r = alerts.enrich(nothing).first()
+    assert r["severity"] == "informational" and r["mapped"] is False
+
+
 def test_dirichlet_meets_minimums(spark):
     df = spark.range(600).withColumn("y", F.when(F.col("id") % 20 == 0, 2).otherwise(F.col("id") % 2).cast("int"))
     parts = split.dirichlet_partition(df, "y", "id", 3, 5.0, min_samples=20, min_class_samples=1)
