@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import simhash
+from netwarden.llm import bpe, rules, simhash
 from netwarden.llm.frames import table
 
 QUERIES = {}
@@ -17,8 +17,40 @@ def query(fn):
     return fn
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    given = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *given), *given)
+    return done.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the judgement of the learned decision list."""
+    docs = table(spark, sf_dir, "documents")
+    judged = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    s = F.col(rules.STATISTICS)
+    return judged.select(
+        "doc_id", s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"),
+        s["lines"]["dup"].cast("long").alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
+        s["base_failed"].alias("base_failed"), s["kept"].alias("kept"),
+    )
