@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, decontam, rules, simhash
+from netwarden.llm import bpe, decontam, rules, secrets, simhash
 from netwarden.llm.frames import table
 
 QUERIES = {}
@@ -43,6 +43,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined(found, kinds: list[str]):
+    """``kind:start:end`` of an array of spans, comma-joined."""
+    names = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those of the patterns, and random tokens."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"] < 3), secrets.KINDS), 256).alias("base_sha256"), joined(F.col("spans"), secrets.KINDS).alias("spans"),
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
