@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, decontam, rules, secrets, simhash
-from netwarden.llm.frames import table
+from netwarden.llm import bpe, decontam, language, quality, rules, secrets, simhash
+from netwarden.llm.frames import held_out, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the boosted trees."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held = held_out(F.col("id"), 5, 0).alias("held_out")
+    return scored.select(F.col("id").alias("doc_id"), held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
@@ -60,6 +69,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
