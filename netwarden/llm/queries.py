@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, chat, decontam, language, quality, rules, secrets, simhash
+from netwarden.llm import bpe, chat, decontam, language, pii, quality, rules, secrets, simhash
 from netwarden.llm.frames import held_out, table
 
 QUERIES = {}
@@ -58,6 +58,18 @@ def joined(found, kinds: list[str]):
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: matches of the patterns, and what the random field adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.search(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(joined(F.col("base"), pii.KINDS), 256).alias("base_sha256"), joined(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 @query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: those of the patterns, and random tokens."""
