@@ -29,8 +29,8 @@ from netwarden.llm.frames import map_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 24
-MARGIN = 4.0
-EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+MARGIN = 2.0
+EPOCHS, RATE, DECAY = 20, 0.5, 1e-5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -45,6 +45,7 @@ _STRETCH = re.compile(
     r"|[+(]?[0-9](?:[\x20().+/-]{0,2}[0-9])*"
 )
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
+_MARKED = re.compile(r"\S*[0-9@+()]\S*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -96,7 +97,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(segment: str) -> str:
-    out = []
+    out: list[str] = []
     for c in segment:
         k = "d" if c.isdigit() else "a" if c.isalpha() else " " if c.isspace() else c
         if not out or out[-1] != k:
@@ -125,6 +126,7 @@ class Lattice:
         out = [
             "any", f"shape={shape[:16]}", f"digits={min(len(digits), 20)}", f"groups={groups}", f"first={shape[0]}", f"last={shape[-1]}",
             f"left={_shape(self.text[max(0, s - 1) : s])}", f"right={_shape(self.text[e : e + 1])}",
+            f"left+={_shape(self.text[max(0, s - 8) : s].rstrip()[-1:])}", f"right+={_shape(self.text[e : e + 8].lstrip()[:1])}",
         ]
         if len(digits) >= 13:
             out.append(f"luhn={luhn(digits)}")
@@ -217,10 +219,13 @@ def _variants(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
     """The neighbourhood of each match as it is, in a form no pattern has, and with the digits of an ordinary number instead."""
     out = []
     for kind, start, end in spans:
-        before, own, after = text[max(0, start - 30) : start], text[start:end], text[end : end + 20]
+        own = text[start:end]
+        # What else stands there may be marked or cut off, so it goes.
+        before, after = (_MARKED.sub("", x) for x in (text[max(0, start - 30) : start], text[end : end + 20]))
         forms = [own]
         if kind == 0:
-            forms.append(own.replace("@", rng.choice([" at ", " (at) ", "[at]"])).replace(".", rng.choice([".", " dot "])))
+            name, _, host = own.partition("@")
+            forms.append(name + rng.choice([" at ", " (at) ", "[at]"]) + host.replace(".", rng.choice([".", " dot ", " (dot) "])))
         elif kind == 2:
             digits = _digits(own)
             forms.append(rng.choice([".", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4)))
@@ -270,7 +275,7 @@ def fit(docs: DataFrame, max_rows: int = 300, id_col: str = "doc_id", text_col:
         return {"text": pa.array(texts, pa.string()), "kind": pa.array(kinds, pa.int32()), "s": pa.array(starts, pa.int32()), "e": pa.array(ends, pa.int32())}
 
     found = map_batches(docs.select(text_col), cut, "text string, kind int, s int, e int")
-    rows = found.select("*", F.xxhash64("text", "kind").alias("h")).orderBy("h", "text", "s").limit(max_rows).collect()
+    rows = found.distinct().select("*", F.xxhash64("text", "kind").alias("h")).orderBy("h", "text", "s").limit(max_rows).collect()
     rng = random.Random(5)
     return train([x for r in rows for x in _variants(r.text, [(r.kind, r.s, r.e)], rng)])
 
