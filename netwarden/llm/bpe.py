@@ -25,8 +25,12 @@ from netwarden.llm.frames import map_batches
 
 #: Bytes of a leaf of the encoding tree; tokens of a leaf of the decoding tree.
 LEAF_BYTES, LEAF_TOKENS = 24, 4096
+#: Below it, letters are the same in every version of Unicode.
+LATIN_END = "\u0250"
+#: Stands for a pair that is no token.
+NO_RANK = 1 << 62
 #: Entries of each memo of a worker; a full memo is emptied.
-MEMO = 150_000
+MEMO = 400_000
 #: A vocabulary is sent to every worker, so its size is checked.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -61,20 +65,19 @@ class Codec:
         """Tokens of a short byte string: merge the pair of lowest rank, the first one of ties, until none is left."""
         get = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        known = [get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            least, at = None, -1
-            for i, rank in enumerate(known):
-                if rank is not None and (least is None or rank < least):
-                    least, at = rank, i
-            if least is None:
-                return [self.ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        known = [get(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while known:
+            least = min(known)
+            if least == NO_RANK:
+                break
+            at = known.index(least)
+            merged = parts[at] = parts[at] + parts.pop(at + 1)
             del known[at]
             if at:
-                known[at - 1] = get(parts[at - 1] + parts[at])
+                known[at - 1] = get(parts[at - 1] + merged, NO_RANK)
             if at < len(known):
-                known[at] = get(parts[at] + parts[at + 1])
+                known[at] = get(merged + parts[at + 1], NO_RANK)
+        return [self.ranks[p] for p in parts]
 
     def stays(self, a: int, b: int) -> bool:
         """Whether two neighbours come back unchanged when they are encoded together."""
@@ -140,9 +143,14 @@ class Codec:
         return packed
 
     def chunk(self, chunk: str) -> bytes:
+        """Packed ids of a text between two cuts."""
+        if chunk[1:].isalpha() and max(chunk) < LATIN_END and (chunk[0] == " " or chunk[0].isalpha()):
+            return self.piece(chunk)  # one match: letters, or a space and letters
+        if chunk[1:-1].isalpha() and chunk[0] == " " and chunk[-1] in ".,;:!?" and max(chunk) < LATIN_END:
+            return self.piece(chunk[:-1]) + self.piece(chunk[-1])
         packed = b"".join(map(self.piece, self.pieces(chunk)))
         if len(chunk) <= 64:
-            if len(self.by_chunk) >= MEMO:
+            if len(self.by_chunk) >= MEMO // 4:
                 self.by_chunk.clear()
             self.by_chunk[chunk] = packed
         return packed
@@ -156,8 +164,8 @@ class Codec:
         else:
             first, *rest = text.split(" ")
             chunks = [first, *[" " + w for w in rest]]
-        get, chunk = self.by_chunk.get, self.chunk
-        return b"".join([packed if (packed := get(c)) is not None else chunk(c) for c in chunks])
+        word, other, chunk = self.by_piece.get, self.by_chunk.get, self.chunk
+        return b"".join([p if (p := word(c)) is not None or (p := other(c)) is not None else chunk(c) for c in chunks])
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of packed ids."""
