@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, chat, decontam, language, pii, quality, rules, secrets, simhash
+from netwarden.llm import bpe, chat, decontam, language, pii, quality, repeats, rules, secrets, simhash
 from netwarden.llm.frames import held_out, table
 
 QUERIES = {}
@@ -58,6 +58,16 @@ def joined(found, kinds: list[str]):
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that start earlier as well."""
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return left.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: matches of the patterns, and what the random field adds."""
