@@ -18,10 +18,12 @@ import heapq
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netwarden.llm.frames import map_batches
+from netwarden.llm.frames import map_batches, small_batches
 
 #: Bytes of a leaf of the encoding tree; tokens of a leaf of the decoding tree.
 LEAF_BYTES, LEAF_TOKENS = 24, 4096
@@ -209,5 +211,24 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(encoded.select("id", "ids"), run, f"id {kind}, ids binary, bytes binary")
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", ok_col: str = "decodes") -> DataFrame:
+    """``docs`` with the packed ids of each text, and whether decoding them gives the text's bytes again."""
+    raw = shared(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
+    codecs: list[Codec] = []
+
+    @F.pandas_udf("ids binary, decodes boolean")
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        if not codecs:
+            codecs.append(Codec(raw.value, pattern))
+        ids = [codecs[0].encode(t) for t in texts]
+        same = [codecs[0].decode(i) == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
+        return pd.DataFrame({"ids": ids, "decodes": same})
+
+    own = "__bpe_coded"
+    out = docs.withColumn(own, coded(F.col(text_col)))
+    return out.select(*docs.columns, F.col(own)["ids"].alias(ids_col), F.col(own)["decodes"].alias(ok_col))
+
+
 def shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))

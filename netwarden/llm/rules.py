@@ -198,4 +198,6 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
 
 def good_only(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass base rule and decision list, columns unchanged."""
-    return judge(docs, fit(docs, labels, text_col=text_col), text_col).filter(F.col(STATISTICS)["kept"]).select(*docs.columns)
+    rules = fit(docs, labels, text_col=text_col)
+    # One condition over one evaluation; a column of its own would be computed again in the filter.
+    return docs.filter(let(statistics(F.col(text_col)), lambda s: ~base_failed(s) & verdict(rules, s)))
