@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netwarden.llm import simhash
+from netwarden.llm import bpe, decontam, rules, secrets, simhash
+from netwarden.llm.frames import table
 from netwarden.session import scratch_folder
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned decision list rejects go."""
+    return rules.good_only(docs, table(spark, sf_dir, "labels"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.one_of_each(docs, size=5, radius=3)
+    """One document of each group of texts with 0.8 or more of their five-word shingles in common stays."""
+    return simhash.one_of_each(docs, size=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; every document stays."""
+    return secrets.without_secrets(docs)
+
+
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids (packed, little-endian, 32 bits each), their number, and whether they decode to the text."""
+    given = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return bpe.with_ids(docs, *given).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("secret_masking", secret_masking), ("tokenization", tokenization),
+]
+#: Learned rules, fingerprints and the tokenizer have no SQL form; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
