@@ -28,7 +28,7 @@ from netwarden.llm.frames import small_batches
 MARKERS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 OTHER, OTHER_TEXT, OTHER_END = "[ROLE] ", " [TEXT] ", " [/ROLE]"
 CONTROLS = [m for pair in MARKERS.values() for m in pair] + [OTHER, OTHER_TEXT, OTHER_END]
-BLOCK_CHARS = 200_000
+BLOCK_CHARS = 20_000
 MAX_VOCABULARY_BYTES = 64 << 20
 
 _FIRST = {"<": "l", "[": "b", " ": "s", "\\": "\\"}
@@ -89,12 +89,13 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def masked_text(formatted: str, offsets: np.ndarray, loss: np.ndarray) -> str:
     """The characters under the mask, each once."""
-    out, at = [], 0
-    for start, end in offsets[loss].tolist():
-        if end > at:
-            out.append(formatted[max(at, start) : end])
-            at = end
-    return "".join(out)
+    own = offsets[loss]
+    if not len(own):
+        return ""
+    reach = np.maximum.accumulate(own[:, 1])
+    first = np.append(True, own[1:, 0] > reach[:-1])
+    last = np.append(first[1:], True)
+    return "".join([formatted[a:b] for a, b in zip(own[first, 0].tolist(), reach[last].tolist())])
 
 
 def tokenizer_from(raw: str):
@@ -164,30 +165,35 @@ def digests(formatted: DataFrame) -> DataFrame:
         seen = False
 
         def row() -> pa.RecordBatch:
-            values = [n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n_tokens]
+            values = [n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, int(n_tokens)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([current], types), *[pa.array([v]) for v in values]], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
             )
 
         for batch in batches:
             types = batch.schema.field(0).type
-            for r in batch.to_pylist():
-                if seen and r["conv_id"] != current:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lists = [batch.column(k) for k in (2, 3, 4)]
+            cuts = np.asarray(lists[0].offsets)
+            starts, ends, losses = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+            for k, (conv_id, formatted) in enumerate(zip(ids, texts)):
+                if seen and conv_id != current:
                     yield row()
                     n_turns = loss_chars = chars = n_tokens = 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                current, seen = r["conv_id"], True
-                for role, text in read_back(r["formatted"]):
+                current, seen = conv_id, True
+                for role, text in read_back(formatted):
                     turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                     n_turns += 1
-                offsets = np.array([r["starts"], r["ends"]], np.int64).T
-                text = unescape(masked_text(r["formatted"], offsets, np.array(r["loss"], bool)))
+                part = slice(cuts[k], cuts[k + 1])
+                text = unescape(masked_text(formatted, np.stack([starts[part], ends[part]], axis=1), losses[part]))
                 loss.update(text.encode("utf-8", "surrogatepass"))
                 loss_chars += len(text)
-                chars += len(r["formatted"])
-                n_tokens += len(r["ids"])
+                chars += len(formatted)
+                n_tokens += cuts[k + 1] - cuts[k]
         if seen:
             yield row()
 
-    columns = ["conv_id", "part", "block", "formatted", "ids", "starts", "ends", "loss"]
-    return formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "part", "block").mapInArrow(run, schema)
+    columns = ["conv_id", "formatted", "starts", "ends", "loss"]
+    ordered = formatted.select(*columns, "part", "block").repartition("conv_id").sortWithinPartitions("conv_id", "part", "block")
+    return ordered.select(*columns).mapInArrow(run, schema)
