@@ -37,7 +37,8 @@ AROUND = LEFT + LENGTH
 #: Occurrences from which a gram is dealt out, and over how many tasks.
 HOT, SALT = 200_000, 64
 #: Anchors, and surroundings, that a task gathers before it sends them on.
-FLUSH_ANCHORS, FLUSH_AROUND = 1_000_000, 60_000
+FLUSH_ANCHORS, FLUSH_AROUND = 1_000_000, 120_000
+#: Stands for a null id, and is read as one.
 NO_ID = -(1 << 63)
 
 
@@ -484,9 +485,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, kept, n_bytes, spans)`` for every document: the remaining bytes and the removed runs (start, end)."""
     spark = docs.sparkSession
     small_batches(spark)
+    # All three readers of the texts ask for the same columns, so the texts are shuffled once.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = Window.partitionBy("did").orderBy("text")
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).isNull().alias("no_id"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = base.withColumn("rn", F.row_number().over(own))
     reports = base.select("did", "rn", "text").mapInArrow(_reports(8 * parts), "slot long, blob binary")
     answers = reports.repartition("slot").select("blob").mapInArrow(_answers, "hot boolean, did long, place long")
@@ -500,7 +502,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = dealt.select("kind", "key", "did", "rn", "a", "b", "hot", "around").mapInArrow(_trees, AROUND_SCHEMA)
     ordered = trees.repartition("key").sortWithinPartitions("kind", "around", "did", "rn", "a")
     ranges = ordered.mapInArrow(_by_content, "did long, rn int, a int, b int").groupBy("did").agg(F.collect_list(F.struct("rn", "a", "b")).alias("ranges"))
-    found = base.join(ranges, "did", "left").select("did", "rn", "no_id", "text", "ranges")
+    found = base.join(ranges, "did", "left").select("did", "rn", "text", "ranges")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -511,7 +513,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = r["text"].encode("utf-8", "surrogatepass")
                 cut.append((len(text), *_cut(text, [(x["a"], x["b"]) for x in r["ranges"] or () if x["rn"] == r["rn"]])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None if r["no_id"] else r["did"] for r in rows], pa.int64()), pa.array([k for _, k, _ in cut], pa.binary()), pa.array([n for n, _, _ in cut], pa.int64()),
+                [pa.array([None if r["did"] == NO_ID else r["did"] for r in rows], pa.int64()), pa.array([k for _, k, _ in cut], pa.binary()), pa.array([n for n, _, _ in cut], pa.int64()),
                  pa.array([[{"start": s, "end": e} for s, e in runs] for _, _, runs in cut], span)], ["id", "kept", "n_bytes", "spans"],
             )
 
