@@ -36,9 +36,9 @@ def tokens(text: Column) -> Column:
     """Lower-case words, and slots as a placeholder followed by its value."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), SLOTS, " ")
     numbers = F.regexp_replace(clean, r"\p{Nd}+(?:[.,]\p{Nd}+)*", f" {NUMBER}$0 ")
-    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}.,]{{1,24}} [\x20]{{0,2}})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f" {UNIT}$0 ")
+    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}.,]{{1,24}} \s{{0,4}})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f" {UNIT}$0 ")
     with_units = F.when(numbers.contains(NUMBER), units).otherwise(numbers)
-    names = F.regexp_replace(with_units, r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]*", f" {NAME}$0 ")
+    names = F.regexp_replace(with_units, r"\p{Lu}(?<=[\p{Ll},;]\s{1,4}\p{Lu})[\p{L}\p{M}]*", f" {NAME}$0 ")
     return F.regexp_extract_all(F.lower(names), F.lit(rf"{SLOTS}[^\s{NAME}-{UNIT}]*|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 

@@ -81,9 +81,14 @@ def battery(token: Column) -> Column:
             mu = 2 * high * (n - high) / n + 1
             z_runs = (runs - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))
             mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-            square = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.pow(y - mean, F.lit(2.0)))
-            cross = F.aggregate(F.transform(v, lambda y, i: F.when(i > 0, (y - mean) * (F.get(v, i - 1) - mean)).otherwise(0.0)), F.lit(0.0), lambda a, y: a + y)
-            z_serial = cross / F.greatest(square, F.lit(1e-9)) * F.sqrt(n)
+
+            def correlation(m: Column) -> Column:
+                """Sum of products of neighbours over the sum of squares, around the mean ``m``, in one pass each."""
+                square = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.pow(y - m, F.lit(2.0)))
+                products = F.transform(v, lambda y, i: F.when(i > 0, (y - m) * (F.get(v, i - 1) - m)).otherwise(0.0))
+                return F.aggregate(products, F.lit(0.0), lambda a, y: a + y) / F.greatest(square, F.lit(1e-9))
+
+            z_serial = let(mean, correlation) * F.sqrt(n)
             by_chance = (F.abs(z_runs) < REJECT_Z) & (F.abs(z_serial) < REJECT_Z)
             size = F.when(n < 28, "20").when(n < 40, "28").when(n < 56, "40").when(n < 80, "56").otherwise("80")
             return F.when(by_chance, F.struct(F.concat(F.lit(name + "-"), size).alias("stratum"), _normal(z_text).alias("p")))
