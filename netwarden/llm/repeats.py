@@ -490,7 +490,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = Window.partitionBy("did").orderBy("text")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = base.withColumn("rn", F.row_number().over(own))
-    reports = base.select("did", "rn", "text").mapInArrow(_reports(8 * parts), "slot long, blob binary")
+    reports = base.select("did", "rn", "text").mapInArrow(_reports(2 * parts), "slot long, blob binary")
     answers = reports.repartition("slot").select("blob").mapInArrow(_answers, "hot boolean, did long, place long")
     # At most one hot gram for HOT anchors, so this side is under a millionth of the text.
     hot = answers.filter("hot").select(F.col("did").alias("key"), F.lit(True).alias("hot")).distinct()
