@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from netwarden.functions.ordered import Blocks, with_rank
-from netwarden.session import checkpointed
+from netwarden.session import scratch_folder
 
 RUN_ROWS = 1_000_000
 
@@ -71,19 +71,18 @@ def run_fold(
         result = df.groupBy(*keys).applyInPandas(first_round, schema)
         return result.select(*keys, *out_names)
 
-    ranked = checkpointed(
-        with_rank(df, keys, order, blocks, "__rn").withColumn("__run", F.floor((F.col("__rn") - 1) / run_rows))
-    )
-    rounds = (ranked.agg(F.max("__run")).first()[0] or 0) + 1
-    result = checkpointed(ranked.filter("__run = 0").drop("__rn", "__run").groupBy(*keys).applyInPandas(first_round, schema))
-    parts = [result]
-    for r in range(1, rounds):
-        states = parts[-1].filter("__last").select(*keys, *[f"__state_{n}" for n in state_names])
-        rows = ranked.filter(F.col("__run") == r).drop("__rn", "__run")
-        parts.append(
-            checkpointed(rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(next_round, schema))
-        )
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select(*keys, *out_names)
+    # Rows by run in folders of their own: a round reads its run and the states of the round before, nothing else.
+    folder = scratch_folder(df.sparkSession, "fold")
+    read = df.sparkSession.read.parquet
+    ranked = with_rank(df, keys, order, blocks, "__rn").withColumn("__run", F.floor((F.col("__rn") - 1) / run_rows)).drop("__rn")
+    ranked.repartition("__run", *keys).write.partitionBy("__run").parquet(f"{folder}/rows")
+    rounds = (read(f"{folder}/rows").agg(F.max("__run")).first()[0] or 0) + 1
+    for r in range(rounds):
+        rows = read(f"{folder}/rows").filter(F.col("__run") == r).drop("__run")
+        if r == 0:
+            done = rows.groupBy(*keys).applyInPandas(first_round, schema)
+        else:
+            states = read(f"{folder}/done/round={r - 1}").filter("__last").select(*keys, *[f"__state_{n}" for n in state_names])
+            done = rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(next_round, schema)
+        done.write.parquet(f"{folder}/done/round={r}")
+    return read(f"{folder}/done").select(*keys, *out_names)

@@ -3,8 +3,8 @@
 A plain window sends all rows of one key to one task. Here the order axis is first cut
 into value blocks of roughly equal size, the window runs per (key, block), and a small
 per-block summary carries the result across block borders. A key that holds a third of
-the table is then spread over as many tasks as it has blocks. Below ``target_rows`` there
-is one block and the plan is the plain window.
+the table is then spread over as many tasks as it has blocks. ``target_rows`` tunes the size of a block; results are
+bit-equal at any setting, as sums are taken over integers and decimals only.
 
 Keys must be non-null; callers fill or filter them first.
 """
@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 TARGET_ROWS = 4_000_000
-MAX_BLOCKS = 8192
 BLOCK = "__block"
 MICROS = 1_000_000
 
@@ -46,27 +45,27 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 
 def _lookup(value: Column, cuts: Sequence) -> Column:
-    """Number of cuts <= value; two levels, so a row costs about 2*sqrt(n) comparisons."""
-    width = max(1, math.isqrt(len(cuts)))
-    groups = [list(cuts[i : i + width]) for i in range(0, len(cuts), width)]
-    heads = F.array(*[F.lit(g[0]) for g in groups])
-    tails = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
-    group = F.size(F.filter(heads, lambda c: c <= value))
-    inside = F.size(F.filter(F.element_at(tails, F.greatest(group, F.lit(1))), lambda c: c <= value))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("int")
+    """Number of sorted cuts <= value, by binary search over a constant array."""
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    known = F.array(*[F.lit(c) for c in cuts])
+
+    def narrowed(at: Column, step: Column) -> Column:
+        return at + F.when(F.get(known, at + step - 1) <= value, step).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), narrowed)
 
 
 def order_blocks(df: DataFrame, order: str, target_rows: int = TARGET_ROWS, rows: int | None = None) -> Blocks:
     """Measure the table and cut the order column at approximate quantiles.
 
-    Only the cut points (at most MAX_BLOCKS numbers) reach the driver. They enter the plan
+    Only the cut points (one number for ``target_rows`` rows) reach the driver. They enter the plan
     as literals, so every branch and every retry sees the same blocks; being approximate
     affects balance only, never results. Pass ``rows`` when the size is already known.
     """
     rows = df.count() if rows is None else rows
     if rows <= target_rows:
         return Blocks(F.lit(0), 1, rows)
-    n = min(MAX_BLOCKS, math.ceil(rows / target_rows))
+    n = math.ceil(rows / target_rows)
     value = as_number(df, order)
     probabilities = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(value, probabilities, 20 * n)).first()[0] or []
@@ -79,11 +78,11 @@ def order_blocks(df: DataFrame, order: str, target_rows: int = TARGET_ROWS, rows
 def hash_blocks(df: DataFrame, digest: str, target_rows: int = TARGET_ROWS, rows: int | None = None) -> Blocks:
     """Blocks over a hex digest column: its prefix is uniform, so no quantile pass is needed."""
     rows = df.count() if rows is None else rows
-    n = min(MAX_BLOCKS, max(1, math.ceil(rows / target_rows)))
+    n = max(1, math.ceil(rows / target_rows))
     if n == 1:
         return Blocks(F.lit(0), 1, rows)
-    prefix = F.conv(F.substring(F.col(digest), 1, 4), 16, 10).cast("long")
-    return Blocks(F.floor(prefix * n / 65536).cast("int"), n, rows)
+    prefix = F.conv(F.substring(F.col(digest), 1, 8), 16, 10).cast("long")
+    return Blocks(F.floor(prefix * n / (1 << 32)).cast("int"), n, rows)
 
 
 def with_block(df: DataFrame, blocks: Blocks) -> DataFrame:
@@ -146,7 +145,10 @@ def with_lag(
 def with_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Blocks, values: Mapping[str, Column]
 ) -> DataFrame:
-    """Inclusive running sums per key in row order."""
+    """Inclusive running sums per key in row order, over integers or decimals: those add up alike in any order."""
+    for field in df.select(*[v.alias(new) for new, v in values.items()]).schema:
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            raise TypeError(f"the sum {field.name} is over floating-point values; cast them to decimal")
     df = with_block(df, blocks)
     spec = _spec(keys, order, blocks).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(v).over(spec).alias(new) for new, v in values.items()])
@@ -246,40 +248,29 @@ def exact_quantiles(
     target_rows: int = TARGET_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key, one row per key.
+    """Linear-interpolated quantiles per key, one row per key, as the built-in ``percentile`` gives them.
 
-    Small tables use the built-in ``percentile``. That keeps every distinct value of a key
-    in one buffer, so large tables count equal values first and read the quantiles off
-    block-wise cumulative counts instead.
+    That keeps every distinct value of a key in one buffer; here equal values are counted first and the quantiles are
+    read off block-wise cumulative counts.
     """
     present = df.filter(F.col(value).isNotNull())
-    rows = present.count() if rows is None else rows
-    if rows <= target_rows:
-        aggregates = [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
-        return present.groupBy(*keys).agg(*aggregates) if keys else present.agg(*aggregates)
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = order_blocks(counted, value, target_rows)
+    blocks = order_blocks(counted, value, target_rows, rows)
     cumulative = with_running_sum(counted, keys, [value], blocks, {"__upto": F.col("__n")})
     totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     # One row per key; small next to the table, and Spark broadcasts it only below its size limit.
-    placed = (
-        cumulative.join(totals, on=list(keys))
-        if keys
-        else cumulative.withColumn("__total", F.lit(present.count()))
-    )
+    one = F.lit(1).alias("__one")
+    placed = cumulative.join(totals, on=list(keys)) if keys else cumulative.select("*", one).join(totals.select("*", one), "__one")
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = F.lit(float(p)) * (F.col("__total") - 1)
         picks += [
             F.min(F.when(F.col("__upto") > F.floor(at), F.col(value))).alias(f"__lo{i}"),
             F.min(F.when(F.col("__upto") > F.ceil(at), F.col(value))).alias(f"__hi{i}"),
-            F.first(at - F.floor(at)).alias(f"__w{i}"),
+            F.first(at - F.floor(at)).alias(f"__up{i}"),
+            F.first(F.ceil(at) - at).alias(f"__down{i}"),
         ]
     picked = placed.groupBy(*keys).agg(*picks) if keys else placed.agg(*picks)
-    return picked.select(
-        *keys,
-        *[
-            (F.col(f"__lo{i}") + F.col(f"__w{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).cast("double").alias(name)
-            for i, name in enumerate(probabilities)
-        ],
-    )
+    low, high = (lambda i: F.col(f"__lo{i}").cast("double")), (lambda i: F.col(f"__hi{i}").cast("double"))
+    between = lambda i: F.when(low(i) == high(i), low(i)).otherwise(F.col(f"__down{i}") * low(i) + F.col(f"__up{i}") * high(i))
+    return picked.select(*keys, *[between(i).alias(name) for i, name in enumerate(probabilities)])

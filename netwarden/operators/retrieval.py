@@ -6,11 +6,10 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netwarden.constants import CAPABILITY_PROSE, KNOWLEDGE, RATIONALE, THREAT_MAP
-from netwarden.functions.text import words
+from netwarden.functions.text import unicode_regex, words
 
 MIN_SCORE = 0.05
 NAMED_FLOOR = 0.6
@@ -132,33 +131,45 @@ def fill_template(severity: Column, attack: Column, source: Column, asset: Colum
     return out
 
 
-def _vector(text: str, vocabulary: dict[str, float]) -> dict[str, float]:
-    counts = Counter(t for t in re.findall(r"\w{2,}", text.lower()) if t in vocabulary)
-    vector = {t: n * vocabulary[t] for t, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in vector.values()))
-    return {t: w / norm for t, w in vector.items()}
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _term_weights(text: Column, vocabulary: dict[str, float]) -> Column:
+    """Array of (term, tf * idf) for the vocabulary's terms in a text."""
+    idf = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(unicode_regex(r"\w{2,}")), F.lit(0))
+
+    def weights(known: Column) -> Column:
+        count = lambda term: F.size(F.filter(known, lambda x: x == term))
+        return F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("term"), (count(t) * idf[t]).alias("w")))
+
+    return _let(F.filter(found, lambda t: t.isin(list(vocabulary))), weights)
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    def of(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        other = lambda term: F.coalesce(F.get(F.filter(y, lambda q: q["term"] == term), F.lit(0))["w"], F.lit(0.0))
+        dot = F.aggregate(x, F.lit(0.0), lambda acc, p: acc + p["w"] * other(p["term"]))
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, p: acc + p["w"] * p["w"]))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), dot / (norm(x) * norm(y))).otherwise(0.0)
+
+    return _let(F.struct(a.alias("x"), b.alias("y")), of)
 
 
 def semantic_risk(rationale: Column, template: Column, attack: Column) -> Column:
     """1 - cosine between rationale and template over the fixed vocabulary.
 
-    The vocabulary is a constant of a few hundred terms, so each row is scored on its own
-    and no shuffle is needed.
+    The vocabulary is a constant of a few hundred terms, so each row is scored on its own, by
+    built-in functions and without a shuffle.
     """
     vocabulary = risk_vocabulary()
-
-    @F.pandas_udf(T.DoubleType())
-    def template_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        # One linear pass per text; repeated texts of a batch (templates above all) are read once.
-        vectors = {text: _vector(text, vocabulary) for text in set(a) | set(b)}
-        cosine = [sum(w * vectors[y].get(t, 0.0) for t, w in vectors[x].items()) for x, y in zip(a, b)]
-        return pd.Series(cosine, dtype="float64")
-
-    cosine = template_cosine(F.coalesce(rationale, F.lit("")), F.coalesce(template, F.lit(""))) / (1.0 + 1e-9)
+    cosine = _cosine(_term_weights(rationale, vocabulary), _term_weights(template, vocabulary)) / (1.0 + 1e-9)
     plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
     named = F.contains(plain(rationale), plain(attack))
-    similarity = F.when(named, F.greatest(cosine, F.lit(NAMED_FLOOR))).otherwise(cosine)
-    return 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))
+    return _let(cosine, lambda c: 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(named, F.greatest(c, F.lit(NAMED_FLOOR))).otherwise(c))))
 
 
 def explain_risk(plans: DataFrame, key: str, num_words: int = 8) -> DataFrame:

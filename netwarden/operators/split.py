@@ -43,19 +43,12 @@ def stratified_split(
 
 
 def split_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int, int]:
-    """(train, val, test) session counts for ``n`` sessions."""
-    if n == 0:
-        return 0, 0, 0
-    test = max(1, round(n * test_size)) if n > 1 else 1
-    val = max(1, round(n * val_size)) if n > 2 else 0
-    train = n - test - val
-    if n <= 3:
-        train = max(1, train)
-    train = max(1, train)
-    if test + val >= n:
-        val = max(0, n - test - 1)
-        train = n - test - val
-    return train, val, test
+    """(train, val, test) counts for ``n`` sessions: one session at least is tested, and validation, from three sessions on,
+    takes no more than leaves one for training."""
+    test = max(1, round(n * test_size)) if n else 0
+    wanted = max(1, round(n * val_size)) if n > 2 else 0
+    val = min(wanted, max(0, n - test - 1))
+    return n - test - val, val, test
 
 
 def session_split(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from netwarden.constants import HIDDEN_WORDS, RATIONALE, THREAT_MAP
 from netwarden import fixtures
 from netwarden.functions import text
-from netwarden.functions.parallel import spread
 from netwarden.operators import alerts, retrieval
 from netwarden.plans.registry import Tables, query
 
@@ -105,8 +104,8 @@ def _(t: Tables):
     from netwarden.plans.trust_queries import action_list
 
     kind = F.when(F.col("plan_id") % 2 == 0, "DDoS_TCP").otherwise("XSS")
-    proposals = action_list(spread(t.plan_context, "plan_id")).select(
-        "plan_id", F.slice("actions", 2, 100).alias("actions"), kind.alias("attack_type"),
+    proposals = action_list(t.plan_context).select(
+        "plan_id", F.slice("actions", 2, F.size("actions")).alias("actions"), kind.alias("attack_type"),
         F.when(F.col("plan_id") % 10 == 0, "  ").otherwise("contain it").alias("rationale"),
     )
     return alerts.lint_plans(alerts.enrich(proposals)).select("plan_id", F.array_join("errors", "; ").alias("errors"))
@@ -118,7 +117,7 @@ def _(t: Tables):
 
 
 def documents(t: Tables):
-    return spread(t.documents.select("doc_id", "text"), "doc_id")
+    return t.documents.select("doc_id", "text")
 
 
 # --- text ---------------------------------------------------------------------------------
@@ -305,13 +304,14 @@ _VOCABULARY = "vocabulary AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") v(term, idf))"
 
 
-def _risk_sql(source: str, key: str) -> str:
-    """Adds ``risk`` to ``source`` (key columns, rationale, template, attack_type)."""
-    return f"""{_vector_sql('a', source, key, 'rationale')}, {_vector_sql('b', source, key, 'template')},
-a_w AS (SELECT {key}, term, tf * idf AS w FROM a_tf JOIN vocabulary USING (term)), b_w AS (SELECT {key}, term, tf * idf AS w FROM b_tf JOIN vocabulary USING (term)),
-a_n AS (SELECT {key}, sqrt(sum(w * w)) AS na FROM a_w GROUP BY ALL), b_n AS (SELECT {key}, sqrt(sum(w * w)) AS nb FROM b_w GROUP BY ALL),
-ab AS (SELECT {key}, sum(a_w.w * b_w.w) AS dot FROM a_w JOIN b_w USING ({key}, term) GROUP BY ALL),
-cosines AS (SELECT s.*, coalesce(dot / (na * nb) / (1e0 + 1e-9), 0e0) AS cosine FROM {source} s LEFT JOIN ab USING ({key}) LEFT JOIN a_n USING ({key}) LEFT JOIN b_n USING ({key})),
+def _risk_sql(source: str) -> str:
+    """Adds ``risk`` to ``source`` (rationale, template, attack_type); every distinct text is made a vector once."""
+    return f"""a_src AS (SELECT DISTINCT rationale FROM {source}), b_src AS (SELECT DISTINCT template FROM {source}),
+{_vector_sql('a', 'a_src', 'rationale', 'rationale')}, {_vector_sql('b', 'b_src', 'template', 'template')},
+a_w AS (SELECT rationale, term, tf * idf AS w FROM a_tf JOIN vocabulary USING (term)), b_w AS (SELECT template, term, tf * idf AS w FROM b_tf JOIN vocabulary USING (term)),
+a_n AS (SELECT rationale, sqrt(sum(w * w)) AS na FROM a_w GROUP BY ALL), b_n AS (SELECT template, sqrt(sum(w * w)) AS nb FROM b_w GROUP BY ALL),
+ab AS (SELECT rationale, template, sum(a_w.w * b_w.w) AS dot FROM (SELECT DISTINCT rationale, template FROM {source}) JOIN a_w USING (rationale) JOIN b_w USING (template, term) GROUP BY ALL),
+cosines AS (SELECT s.*, coalesce(dot / (na * nb) / (1e0 + 1e-9), 0e0) AS cosine FROM {source} s LEFT JOIN ab USING (rationale, template) LEFT JOIN a_n USING (rationale) LEFT JOIN b_n USING (template)),
 risks AS (SELECT *, 1e0 - greatest(0e0, least(1e0, CASE WHEN contains(replace(lower(rationale), '_', ' '), replace(lower(attack_type), '_', ' ')) THEN greatest(cosine, 6e-1) ELSE cosine END)) AS risk FROM cosines)"""
 
 
@@ -333,7 +333,7 @@ def answered(t: Tables):
     return plans.withColumn("template", template).withColumn("rationale", reply)
 
 
-@query("semantic_risk", "alerts", f"""WITH {_PLANNED}, {_VOCABULARY}, answered AS (SELECT alert_id, attack_type, template, {_REPLY} AS rationale FROM planned), {_risk_sql('answered', 'alert_id')}
+@query("semantic_risk", "alerts", f"""WITH {_PLANNED}, {_VOCABULARY}, answered AS (SELECT alert_id, attack_type, template, {_REPLY} AS rationale FROM planned), {_risk_sql('answered')}
 SELECT alert_id, round(risk, 6) AS risk FROM risks""")
 def _(t: Tables):
     risk = retrieval.semantic_risk(F.col("rationale"), F.col("template"), F.col("attack_type"))
@@ -344,7 +344,7 @@ def _(t: Tables):
 split_words AS (SELECT alert_id, unnest(list_filter(string_split(rationale, ' '), lambda w: w <> '')) AS word, unnest(range(len(list_filter(string_split(rationale, ' '), lambda w: w <> '')))) AS pos_no FROM answered),
 firsts AS (SELECT alert_id, word, row_number() OVER (PARTITION BY alert_id ORDER BY min(pos_no)) AS k FROM split_words GROUP BY 1, 2),
 variants AS (SELECT alert_id, 0 AS k, '' AS word, attack_type, template, rationale FROM answered
-  UNION ALL SELECT alert_id, k, word, attack_type, template, replace(rationale, word, '') FROM answered JOIN firsts USING (alert_id) WHERE k <= 8), {_risk_sql('variants', 'alert_id, k')}
+  UNION ALL SELECT alert_id, k, word, attack_type, template, replace(rationale, word, '') FROM answered JOIN firsts USING (alert_id) WHERE k <= 8), {_risk_sql('variants')}
 SELECT r.alert_id, r.word, round(b.risk - r.risk, 6) AS delta FROM risks r JOIN risks b ON b.alert_id = r.alert_id AND b.k = 0 WHERE r.k > 0""")
 def _(t: Tables):
     out = retrieval.explain_risk(answered(t), "alert_id")

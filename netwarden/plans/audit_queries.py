@@ -99,7 +99,7 @@ def trust_log(t: Tables):
     )
 
 
-@query("round_trust_drift", "trust_rounds", f"""WITH RECURSIVE series AS (SELECT client_id, round AS spot, score AS x, row_number() OVER (PARTITION BY client_id ORDER BY round) AS rn FROM trust_rounds WHERE NOT failed_validation), {_page_hinkley('series', 'client_id').replace('1e0 ', '1e0 ')}
+@query("round_trust_drift", "trust_rounds", f"""WITH RECURSIVE series AS (SELECT client_id, round AS spot, score AS x, row_number() OVER (PARTITION BY client_id ORDER BY round) AS rn FROM trust_rounds WHERE NOT failed_validation), {_page_hinkley('series', 'client_id')}
 SELECT count(*) AS clients, sum(alarms) AS alarms FROM (SELECT client_id, CAST(count(*) FILTER (alarm) AS BIGINT) AS alarms FROM ph GROUP BY 1)""".replace("sum(alarms)", "CAST(sum(alarms) AS BIGINT)"))
 def _(t: Tables):
     log = trust_log(t)

@@ -23,8 +23,14 @@ def stream(t: Tables, name: str):
     return (df.filter(condition) if condition else df).selectExpr(*columns)
 
 
-def finish(t: Tables, name: str, df):
-    return jobs.run_available(df, scratch_folder(t.spark, name))
+def finish(t: Tables, name: str, df, closing=None):
+    return jobs.run_available(df, scratch_folder(t.spark, name), closing=closing)
+
+
+def ended(t: Tables, name: str):
+    """A domain table as a stream that ends, with its end."""
+    closing = jobs.Closing(stream(t, name), scratch_folder(t.spark, "end"))
+    return closing.stream, closing
 
 
 # --- files -------------------------------------------------------------------------------------
@@ -59,9 +65,7 @@ def _(t: Tables):
 def captures(t: Tables):
     """Capture files with a hundred packets each; odd files are big-endian, all end cut off."""
     big = lambda c: F.to_binary(F.lpad(F.hex(c), 8, "0"), F.lit("hex"))
-    little = lambda c: F.reverse_bytes(big(c)) if hasattr(F, "reverse_bytes") else F.to_binary(
-        F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1)]), F.lit("hex")
-    )
+    little = lambda c: F.to_binary(F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1)]), F.lit("hex"))
     t_us = micros("ts")
     words = [F.floor(t_us / 1000000), t_us % 1000000, F.lit(4), F.lit(60)]
     odd = F.floor(F.col("event_id") / 100) % 2 == 1
@@ -124,7 +128,7 @@ def _(t: Tables):
 @query("release_check")
 def _(t: Tables):
     folder = scratch_folder(t.spark, "release")
-    t.events.repartition(4, "event_id").write.parquet(f"{folder}/data")
+    t.events.repartition("event_id").write.parquet(f"{folder}/data")
     digests = files.file_digests(t.spark, f"{folder}/data")
     files.write_manifest(digests, f"{folder}/manifest", "certified")
     checked = files.verify_release(digests, files.read_manifest(t.spark, f"{folder}/manifest"))
@@ -140,7 +144,7 @@ def _(t: Tables):
     )
     # One report per hundred runs, one JSON document per line.
     reports = t.matrix_runs.groupBy(F.floor(F.col("run_id") / 100).alias("report")).agg(F.collect_list(item).alias("results"))
-    reports.select(F.struct(F.lit(1).alias("seed"), "results").alias("doc")).select(F.to_json("doc")).repartition(4).write.text(folder)
+    reports.select(F.struct(F.lit(1).alias("seed"), "results").alias("doc")).select(F.to_json("doc")).write.text(folder)
     lines = t.spark.read.schema(f"{files.RESULTS}").json(folder).withColumn("input_file", F.input_file_name())
     one = lines.select(F.explode("results").alias("r"))
     return one.select(
@@ -200,21 +204,22 @@ def _(t: Tables):
 
 # --- streams -----------------------------------------------------------------------------------
 
-@query("stream_sessions", "traffic", """WITH closed AS (SELECT max(epoch_us(ts)) - 600000000 - 21600000000 AS limit_us FROM traffic),
-keyed AS (SELECT epoch_us(ts) AS t, row_id, least("ip.src_host", "ip.dst_host") || '|' || greatest("ip.src_host", "ip.dst_host") AS flow_key FROM traffic),
+@query("stream_sessions", "traffic", """WITH keyed AS (SELECT epoch_us(ts) AS t, row_id, least("ip.src_host", "ip.dst_host") || '|' || greatest("ip.src_host", "ip.dst_host") AS flow_key FROM traffic),
 gapped AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY flow_key ORDER BY t, row_id) <= 21600000000 THEN 0 ELSE 1 END AS opens FROM keyed),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY flow_key ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) AS no FROM gapped)
-SELECT flow_key, count(*) AS n_rows, min(t) AS first_us, max(t) AS last_us FROM numbered GROUP BY flow_key, no HAVING max(t) <= (SELECT limit_us FROM closed)""")
+SELECT flow_key, count(*) AS n_rows, min(t) AS first_us, max(t) AS last_us FROM numbered GROUP BY flow_key, no""")
 def _(t: Tables):
-    live = jobs.live_sessions(stream(t, "traffic"), gap="6 hours", columns=["ip.src_host", "ip.dst_host"])
-    done = finish(t, "sessions", live)
+    source, closing = ended(t, "traffic")
+    live = jobs.live_sessions(source, gap="6 hours", columns=["ip.src_host", "ip.dst_host"])
+    done = finish(t, "sessions", live, closing)
     return done.select("flow_key", "n_rows", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"))
 
 
 @query("stream_alert_counts", "alerts", """WITH w AS (SELECT attack_type, epoch_us(ts) // 3600000000 * 3600000000 AS window_us FROM alerts)
-SELECT window_us, attack_type, count(*) AS n FROM w WHERE window_us + 3600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM alerts) GROUP BY 1, 2""")
+SELECT window_us, attack_type, count(*) AS n FROM w GROUP BY 1, 2""")
 def _(t: Tables):
-    done = finish(t, "counts", jobs.alert_counts(stream(t, "alerts")))
+    source, closing = ended(t, "alerts")
+    done = finish(t, "counts", jobs.alert_counts(source), closing)
     return done.select(F.unix_micros("window_start").alias("window_us"), "attack_type", "n")
 
 
@@ -225,15 +230,18 @@ def _(t: Tables):
     return counted.select(F.unix_micros("window_start").alias("window_us"), "attack_type", "n")
 
 
-@query("stream_fresh_uses")
+_WALK = """WITH RECURSIVE series AS (SELECT agent_id, nonce, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY agent_id, nonce ORDER BY ts, event_id) AS rn FROM sessions_used),
+walk AS (SELECT agent_id, nonce, event_id, rn, t AS used, false AS replay FROM series WHERE rn = 1
+  UNION ALL SELECT s.agent_id, s.nonce, s.event_id, s.rn, CASE WHEN s.t - w.used <= 86400000000 THEN w.used ELSE s.t END, s.t - w.used <= 86400000000 FROM walk w JOIN series s ON s.agent_id = w.agent_id AND s.nonce = w.nonce AND s.rn = w.rn + 1)
+"""
+
+
+@query("stream_fresh_uses", "sessions_used", _WALK + "SELECT event_id, agent_id, nonce FROM walk WHERE NOT replay")
 def _(t: Tables):
-    return finish(t, "fresh", jobs.fresh_uses(stream(t, "sessions_used"), within="1 day")).select("event_id", "agent_id", "nonce")
+    return finish(t, "fresh", jobs.fresh_uses(stream(t, "sessions_used"), seconds=86400)).select("event_id", "agent_id", "nonce")
 
 
-@query("stream_replay_flags", "sessions_used", """WITH RECURSIVE series AS (SELECT agent_id, nonce, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY agent_id, nonce ORDER BY ts, event_id) AS rn FROM sessions_used),
-walk AS (SELECT agent_id, nonce, event_id, rn, t AS used, false AS replay FROM series WHERE rn = 1
-  UNION ALL SELECT s.agent_id, s.nonce, s.event_id, s.rn, CASE WHEN s.t - w.used <= 86400000000 THEN w.used ELSE s.t END, s.t - w.used <= 86400000000 FROM walk w JOIN series s ON s.agent_id = w.agent_id AND s.nonce = w.nonce AND s.rn = w.rn + 1)
-SELECT event_id, replay FROM walk""")
+@query("stream_replay_flags", "sessions_used", _WALK + "SELECT event_id, replay FROM walk")
 def _(t: Tables):
     return finish(t, "replay", jobs.replay_flags(stream(t, "sessions_used"), seconds=86400)).select("event_id", "replay")
 

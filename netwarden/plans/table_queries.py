@@ -200,7 +200,7 @@ def _(t: Tables):
     model = features.fit_features(df, COLUMNS)
     x = features.encode(df, model, features.pooled_values(df, model))
     v = F.col("features")
-    total = F.aggregate(F.slice(v, 4, 1000), F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate(F.slice(v, 4, F.size(v)), F.lit(0.0), lambda a, b: a + b)
     flags = F.array(*[F.lit(c) for c in model.categorical["flag"]["categories"]])
     return x.select(
         "l_orderkey", "l_linenumber", F.round(v[0], 6).alias("quantity_z"), F.round(v[1], 6).alias("discount_z"),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from netwarden.constants import CAPABILITIES, HIGH_RISK, LOW_RISK
 from netwarden import fixtures
-from netwarden.functions.parallel import spread
 from netwarden.operators import alerts, anomaly, audit, retrieval, trust
 from netwarden.plans.alert_queries import _MAPPING, _word_sql
 from netwarden.plans.registry import Tables, query
@@ -34,7 +33,7 @@ def action_list(context):
 
 def plans(t: Tables):
     """One plan per order: its actions, threat context and session."""
-    context = alerts.enrich(action_list(spread(t.plan_context, "plan_id")))
+    context = alerts.enrich(action_list(t.plan_context))
     return (
         context.withColumn("as_of", timestamp("as_of_us")).withColumn("issued_at", timestamp("issued_us"))
         .withColumn("incident_id", F.concat(F.lit("plan-"), F.col("plan_id").cast("string")))

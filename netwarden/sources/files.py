@@ -20,10 +20,17 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a file scan, in the order of files and of lines in them."""
+    place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")]
+    placed = df.select("*", *place).withColumn("__line", F.monotonically_increasing_id())
+    return placed.orderBy("__path", "__block", "__line").limit(n).drop("__path", "__block", "__line")
+
+
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Header CSV read as text, then numeric-like columns coerced."""
     df = spark.read.option("header", True).schema(text_schema(header(spark, path))).csv(path)
-    return coerce_numeric(df if max_rows is None else df.limit(max_rows))
+    return coerce_numeric(df if max_rows is None else first_rows(df, max_rows))
 
 
 def replay_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, streaming: bool = False, files_per_batch: int = 1) -> DataFrame:
@@ -41,8 +48,8 @@ def read_zeek(spark: SparkSession, path: str, max_rows: int | None = None) -> Da
         raise ValueError(f"no #fields line in {path}")
     schema = text_schema(line[0].split("\t")[1:])
     df = spark.read.option("sep", "\t").option("comment", "#").schema(schema).csv(path)
-    df = df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in df.columns])
-    return df if max_rows is None else df.limit(max_rows)
+    df = df if max_rows is None else first_rows(df, max_rows)
+    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in df.columns])
 
 
 def read_log(spark: SparkSession, kind: str, path: str, streaming: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ from netwarden.operators.flows import add_flow_key
 from netwarden.streaming.state import stream_fold
 
 WATERMARK = "10 minutes"
+#: A time after all records, from which a bounded source is over.
+END_OF_TIME = "9999-01-01 00:00:00"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -27,16 +29,47 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     )
 
 
-def run_available(stream: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Process everything there is into parquet below ``path`` and read it back."""
-    query = (
-        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).partitionBy(*partition_by).start()
-    )
-    query.awaitTermination()
+def run_available(stream: DataFrame, path: str, partition_by: Sequence[str] = (), closing: Closing | None = None) -> DataFrame:
+    """Process everything there is into parquet below ``path`` and read it back.
+
+    With ``closing`` the source counts as ended: what is still open (sessions, windows) is closed and written as well.
+    """
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+            .outputMode("append").trigger(availableNow=True).partitionBy(*partition_by).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if closing is not None:
+        closing.write()
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+class Closing:
+    """The end of a bounded source: one row without values, at a time after all others, in a folder that is read along with it.
+
+    The row moves the watermark past everything that is open; its own window or session never closes.
+    """
+
+    def __init__(self, source: DataFrame, folder: str, ts: str = "ts"):
+        self.spark, self.folder, self.ts, self.schema = source.sparkSession, folder, ts, source.schema
+        self.spark.createDataFrame([], self.schema).write.parquet(folder)
+        self.stream = source.unionByName(self.spark.readStream.schema(self.schema).parquet(folder))
+
+    def write(self) -> None:
+        last = F.lit(END_OF_TIME).cast(self.schema[self.ts].dataType).alias(self.ts)
+        row = [last if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the query's known progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def detect_alerts(
     records: DataFrame, model: features.FeatureModel, classifier, min_confidence: float = 0.0, emit_normal: bool = False
 ) -> DataFrame:
@@ -65,26 +98,31 @@ def alert_counts(alerts: DataFrame, ts: str = "ts", length: str = "1 hour", slid
     ).select(F.col("w.start").alias("window_start"), "attack_type", "n")
 
 
-def fresh_uses(uses: DataFrame, ts: str = "ts", within: str = "300 seconds") -> DataFrame:
-    """First use of each nonce; the watermark may hold a nonce somewhat longer than asked."""
-    timed = uses.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", within)
-    return timed.dropDuplicatesWithinWatermark(["agent_id", "nonce"])
+def fresh_uses(uses: DataFrame, row_id: str = "event_id", ts: str = "ts", seconds: float = 300.0) -> DataFrame:
+    """Uses of a nonce that are no replay, by the rule of ``replay_flags``."""
+    return replay_flags(uses, row_id, ts, seconds).filter("NOT replay").drop("replay")
+
 
+def replay_flags(uses: DataFrame, row_id: str = "event_id", ts: str = "ts", seconds: float = 300.0, idle_seconds: float | None = None) -> DataFrame:
+    """Exact replay rule on a stream: the window runs from the last recorded use.
 
-def replay_flags(uses: DataFrame, row_id: str = "event_id", ts: str = "ts", seconds: float = 300.0) -> DataFrame:
-    """Exact replay rule on a stream: the window runs from the last recorded use."""
+    A use that comes late is a replay if it is within the window before the recorded one, and is otherwise fresh without
+    becoming the recorded use. With ``idle_seconds`` a nonce is forgotten after that much processing time without a use: a job
+    that runs for ever should give the window and some minutes; a job over what is available must not, as it would wait for timers.
+    """
     width = int(seconds * 1_000_000)
 
     def fold(rows: pd.DataFrame, state: dict | None):
         used, flags = (state["used"] if state else None), []
         for at in rows["t"]:
-            replay = used is not None and at - used <= width
+            replay = used is not None and abs(at - used) <= width
             flags.append(replay)
-            used = used if replay else int(at)
+            if not replay:
+                used = int(at) if used is None else max(used, int(at))
         return rows[[row_id]].assign(replay=flags), {"used": used}
 
     keyed = uses.select("agent_id", "nonce", row_id, micros(ts).alias("t"))
-    return stream_fold(keyed, ["agent_id", "nonce"], ["t", row_id], fold, f"{row_id} long, replay boolean", "used long")
+    return stream_fold(keyed, ["agent_id", "nonce"], ["t", row_id], fold, f"{row_id} long, replay boolean", "used long", None if idle_seconds is None else int(idle_seconds * 1000))
 
 
 def running_reputation(entries: DataFrame, recent: int = 5, penalty: float = 0.15) -> DataFrame:
