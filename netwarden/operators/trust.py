@@ -169,8 +169,16 @@ def rationale_check(plans: DataFrame) -> DataFrame:
     )
 
 
+def with_replay(plans: DataFrame, key: str = "plan_id", ts: str = "as_of", window_seconds: float = 300.0) -> DataFrame:
+    """``replay``: whether the plan's agent has used its nonce before, inside the window; plans without one have no replay."""
+    flags = nonce_replay(plans.filter(F.col("nonce").isNotNull()), ts=ts, row_id=key, window_seconds=window_seconds).select(key, "replay")
+    return plans.join(flags, key, "left").withColumn("replay", F.coalesce("replay", F.lit(False)))
+
+
 def preprocess_plans(plans: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """Stage 1: all checks, the normalized plan, ``stage1_reasons`` and ``stage1_ok``."""
+    """Stage 1: all checks, the normalized plan, ``stage1_reasons`` and ``stage1_ok``. Plans with a ``nonce`` are checked for replay."""
+    if "nonce" in plans.columns and "replay" not in plans.columns:
+        plans = with_replay(plans, window_seconds=limits.get("nonce_window_seconds", 300.0))
     # The costly text checks come before the window, where no agent is hot yet.
     checked = rationale_check(with_quota(normalize_actions(plans, limits), limit=limits["actions_per_hour"]))
     replay = F.array_compact(F.array(F.when(F.col("replay"), "nonce replay detected"))) if "replay" in plans.columns else F.array().cast("array<string>")

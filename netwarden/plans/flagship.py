@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netwarden.operators import alerts as alert_ops, retrieval, trust
+from netwarden.constants import EMA_ALPHA, HIGH_RISK
+from netwarden.functions.ordered import order_blocks, with_ema
+from netwarden.operators import alerts as alert_ops, anomaly, retrieval, trust
+from netwarden.session import checkpointed
+
+
+def behavioral_trust(plans: DataFrame) -> DataFrame:
+    """``plan_id, behavioral_trust``: the agent's smoothed normality, from what its plans ask for and how often it plans."""
+    asked = plans.select(
+        F.col("plan_id").alias("sequence"), F.col("as_of").alias("ts"), "agent_id", F.size("actions").alias("action_count"),
+        F.size(F.filter("actions", lambda a: a["capability"].isin(list(HIGH_RISK)))).alias("high_risk_count"), (F.size("actions") == 0).alias("policy_violation"),
+    )
+    features = trust.behaviour_features(asked, "sequence")
+    features = checkpointed(features.select("sequence", "ts", "agent_id", *trust.FEATURES))
+    scored = anomaly.behaviour_score(features, trust.FEATURES, anomaly.fit_forest(features, trust.FEATURES, key="sequence"))
+    smoothed = with_ema(scored, ["agent_id"], ["ts", "sequence"], order_blocks(scored, "ts"), "behaviour_score", EMA_ALPHA, 1.0, "behavioral_trust")
+    return smoothed.select(F.col("sequence").alias("plan_id"), "behavioral_trust")
 
 
 def run_incidents(alerts: DataFrame, agent: str = "responder", limits: dict | None = None) -> DataFrame:
-    """Alerts -> plans -> trust decisions; every incident gets its own session and nonce."""
+    """Alerts -> plans -> trust decisions of one agent. Text risk comes from the rationale, behavioural trust from the agent's history,
+    the hourly quota counts all its actions, and a nonce that it used before is a replay."""
     planned = alert_ops.decide(alerts)
     template = retrieval.fill_template(
         F.col("severity"), F.col("attack_type"), F.coalesce("source_id", F.lit("unknown-source")),
@@ -21,11 +38,11 @@ def run_incidents(alerts: DataFrame, agent: str = "responder", limits: dict | No
     )
     plans = (
         planned.withColumn("plan_id", F.col("alert_id")).withColumn("template", template).withColumn("actions", actions)
-        # One responder per asset, so the hourly quota is counted per protected asset.
-        .withColumn("agent_id", F.concat_ws("-", F.lit(agent), F.coalesce("target_asset", F.lit("unknown"))))
+        .withColumn("agent_id", F.lit(agent))
         .withColumn("as_of", F.col("ts")).withColumn("issued_at", F.col("ts"))
         # Derived from the incident, so a retried task repeats the same nonce.
         .withColumn("nonce", F.sha2("incident_id", 256))
-        .withColumn("behavioral_trust", F.lit(1.0))
     )
-    return trust.evaluate_plans(plans, limits or trust.LIMITS)
+    # History, quota and replay each read the plans again.
+    plans = checkpointed(plans)
+    return trust.evaluate_plans(plans.join(behavioral_trust(plans), "plan_id"), limits or trust.LIMITS)

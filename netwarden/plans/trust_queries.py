@@ -142,15 +142,17 @@ def _(t: Tables):
     return e.select("plan_id", F.array_join("e", ",").alias("eligible"), trust.execution_status(F.col("e"), ok, executor).alias("status"))
 
 
-@query("trust_decision", "plan_context", f"""WITH {_PLANS}, passed AS (SELECT *, reasons1 = '' AND reasons2 = '' AS pass FROM stage2),
+def _decided(stage: str) -> str:
+    """The decision of every row of ``stage``, which has the reasons of both stages."""
+    return f"""passed AS (SELECT *, reasons1 = '' AND reasons2 = '' AS pass FROM {stage}),
 valued AS (SELECT *, CASE WHEN pass THEN {_TRUST} END AS value FROM passed), levelled AS (SELECT *, {_LEVEL} AS level FROM valued), moded AS (SELECT *, {_MODE} AS mode FROM levelled),
 done AS (SELECT *, CASE WHEN pass AND mode IN ('restricted_action', 'autonomous_execution') THEN list_filter(names, lambda c: c IN {_names(CAPABILITIES)} AND list_contains(playbooks, c) AND (mode <> 'restricted_action' OR c IN {_names(LOW_RISK)})) ELSE [] END AS e FROM moded)
 SELECT plan_id, coalesce(pass AND mode <> 'read_only', false) AS accepted, CASE WHEN reasons1 <> '' THEN 'preprocessing' WHEN NOT pass THEN 'deterministic_controls' ELSE 'capability_enforcement' END AS terminal_stage,
   level AS trust_level, mode AS autonomy_mode, round(value, 6) AS trust_value, array_to_string(e, ',') AS executed, CASE WHEN len(e) = 0 THEN 'not_attempted' ELSE 'simulated' END AS execution_status,
-  CASE WHEN reasons1 <> '' THEN reasons1 ELSE reasons2 END AS reasons FROM done""")
-def _(t: Tables):
+  CASE WHEN reasons1 <> '' THEN reasons1 ELSE reasons2 END AS reasons FROM done"""
+
 
-    decided = trust.evaluate_plans(plans(t), FEW)
+def decision_columns(decided):
     reasons = F.array_join(F.flatten(F.transform("stage_results", lambda s: s["reasons"])), "; ")
     return decided.select(
         "plan_id", "accepted", "terminal_stage", "trust_level", "autonomy_mode", F.round("trust_value", 6).alias("trust_value"),
@@ -158,6 +160,22 @@ def _(t: Tables):
     )
 
 
+@query("trust_decision", "plan_context", f"WITH {_PLANS}, {_decided('stage2')}")
+def _(t: Tables):
+    return decision_columns(trust.evaluate_plans(plans(t), FEW))
+
+
+@query("trust_decision_history", "plan_context", f"""WITH RECURSIVE {_PLANS}, series AS (SELECT plan_id, agent_id, plan_id % 2 AS nonce, as_of_us AS t, row_number() OVER (PARTITION BY agent_id, plan_id % 2 ORDER BY as_of_us, plan_id) AS rn FROM context),
+walk AS (SELECT plan_id, agent_id, nonce, rn, t AS used, false AS replay FROM series WHERE rn = 1
+  UNION ALL SELECT s.plan_id, s.agent_id, s.nonce, s.rn, CASE WHEN s.t - w.used <= 7200000000 THEN w.used ELSE s.t END, s.t - w.used <= 7200000000
+  FROM walk w JOIN series s ON s.agent_id = w.agent_id AND s.nonce = w.nonce AND s.rn = w.rn + 1),
+remembered AS (SELECT s.* REPLACE (concat_ws('; ', CASE WHEN w.replay THEN 'nonce replay detected' END, nullif(s.reasons1, '')) AS reasons1) FROM stage2 s JOIN walk w USING (plan_id)), {_decided('remembered')}""")
+def _(t: Tables):
+    """The decision with nonces that agents use again."""
+    with_nonce = plans(t).withColumn("nonce", F.concat(F.lit("nonce"), (F.col("plan_id") % 2).cast("string")))
+    return decision_columns(trust.evaluate_plans(with_nonce, {**FEW, "nonce_window_seconds": 7200}))
+
+
 _DECISIONS = """decisions AS (SELECT sequence, epoch_us(ts) AS t, coalesce(agent_id, 'unknown') AS agent_id, action_count, least(high_risk_count, action_count) AS high_risk_count, NOT accepted AS policy_violation FROM audit),
 windowed AS (SELECT *, count(*) OVER w - 1 AS recent_events, count(*) FILTER (policy_violation) OVER w - CAST(policy_violation AS INT) AS violations FROM decisions WINDOW w AS (PARTITION BY agent_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)),
 features AS (SELECT sequence, high_risk_count / action_count AS high_risk_share, action_count, CASE WHEN recent_events > 0 THEN violations / recent_events ELSE 0e0 END AS violation_rate, recent_events FROM windowed)"""
