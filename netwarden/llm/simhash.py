@@ -235,6 +235,24 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, limit: int = LIMIT) ->
         rows = checkpointed(rows.join(large, ["mask", "bucket"], "left_semi").select("fp", F.explode(deeper[F.col("mask")]).alias("mask")).distinct())
 
 
+def starred(pairs: list[tuple[int, int]], wide: bool) -> list[tuple[int, int]]:
+    """Links of the same components, to the smallest node of each, so that other buckets are likely to give the same links. Pairs of short texts
+    (odd nodes of wide fingerprints) stay as they are, for they are to be compared again."""
+    kept = [p for p in pairs if wide and p[0] & p[1] & 1]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    for a, b in pairs:
+        if not (wide and a & b & 1):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    return kept + [(x, r) for x in list(up) if (r := root(x)) != x]
+
+
 def compared(rows: DataFrame, radius: int) -> DataFrame:
     """Spanning links of every bucket ``(mask, bucket)``, bucket after bucket over sorted partitions. A fingerprint is a number ``fp``, or
     an array of numbers, which a link names by the number ``node``."""
@@ -246,8 +264,9 @@ def compared(rows: DataFrame, radius: int) -> DataFrame:
         def links(columns):
             mask, bucket, node, fp = columns
             change = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])
-            pairs = np.array(links_of(np.append(0, np.cumsum(change)), fp, radius), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
+            pairs = links_of(np.append(0, np.cumsum(change)), fp, radius)
+            linked = starred([(int(node[i]), int(node[j])) for i, j in pairs], wide)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             now = [batch.column(k).to_numpy() for k in range(3)]
@@ -362,13 +381,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame({"fp": [wide_fingerprint_of(t, size) for t in texts], "few": [few_shingles_of(t, size) for t in texts]})
 
     made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), wide(F.col(text_col)).alias("w"))
-    prints = checkpointed(made.select("id", "copy", "w.fp", "w.few", F.xxhash64("w.fp", "w.few").alias("node")))
+    # The last bit of a node tells whether its text is a short one.
+    named = F.shiftleft(F.shiftright(F.xxhash64("w.fp", "w.few"), 1), 1).bitwiseOR((F.size("w.few") > 0).cast("long"))
+    prints = checkpointed(made.select("id", "copy", "w.fp", "w.few", named.alias("node")))
     classes = checkpointed(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("few").alias("few")))
-    links = link_similar(classes.select("node", "fp"), similarity).distinct()
+    links = checkpointed(link_similar(classes.select("node", "fp"), similarity).distinct())
+    both_short = F.col("a").bitwiseAND(F.col("b")).bitwiseAND(F.lit(1)) == 1
+    again = links.filter(both_short)
     for end in ("a", "b"):
-        links = links.join(classes.select(F.col("node").alias(end), F.col("few").alias(f"few_{end}")), end)
+        again = again.join(classes.select(F.col("node").alias(end), F.col("few").alias(f"few_{end}")), end)
     shared = F.size(F.array_intersect("few_a", "few_b")) >= similarity * F.size(F.array_union("few_a", "few_b"))
-    links = links.filter((F.size("few_a") == 0) | (F.size("few_b") == 0) | shared).select("a", "b")
+    links = links.filter(~both_short).unionByName(again.filter(shared).select("a", "b"))
     roots = components(links).withColumnRenamed("node", "linked")
     rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("node"), F.min("first").alias("id"))
