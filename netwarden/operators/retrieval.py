@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netwarden.constants import CAPABILITY_PROSE, KNOWLEDGE, RATIONALE, THREAT_MAP
 from netwarden.functions.text import unicode_regex, words
+from netwarden.session import checkpointed
 
 MIN_SCORE = 0.05
 NAMED_FLOOR = 0.6
@@ -54,7 +55,8 @@ def retrieve(
     keeps at most ``top_k`` rows per query before the final shuffle.
     """
     n_docs = corpus.count()
-    counts = term_counts(corpus, doc_key, doc_text)
+    # Terms are counted once; document frequencies, weights and norms read the counts.
+    counts = checkpointed(term_counts(corpus, doc_key, doc_text))
     idf = inverse_document_frequency(counts, n_docs)
     docs = weighted(counts, idf, doc_key)
     asked = weighted(term_counts(queries, query_key, query_text), idf, query_key)

@@ -401,3 +401,34 @@ def test_report_of_a_class_never_predicted(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a"), (None, "a")], "t string, p string").dropna()
     r = {x["label"]: x for x in metrics.class_report(df, "t", "p").collect()}
     assert r["b"]["precision"] == 0.0 and r["macro avg"]["recall"] == 0.5
+
+
+def test_running_sums_refuse_floating_point(spark):
+    from netwarden.functions import ordered
+
+    df = spark.createDataFrame([(1, 0.5)], "k int, v double")
+    with pytest.raises(TypeError):
+        ordered.with_running_sum(df, ["k"], ["k"], ordered.order_blocks(df, "k"), {"s": F.col("v")})
+
+
+def test_first_rows_follow_the_files(spark, tmp_path):
+    from netwarden.sources import files
+
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text("a,b\n" + "".join(f"{k * 10 + i},x\n" for i in range(4)))
+    assert [r["a"] for r in files.read_csv(spark, str(tmp_path), max_rows=6).orderBy("a").collect()] == [0.0, 1.0, 2.0, 3.0, 10.0, 11.0]
+
+
+def test_each_tree_samples_the_whole_population(spark):
+    from netwarden.operators import anomaly
+
+    rows = spark.range(6000).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    forest = anomaly.fit_forest(rows, ["x", "y"], "id", trees=12, max_samples=64)
+    again = anomaly.fit_forest(rows.repartition(5), ["x", "y"], "id", trees=12, max_samples=64)
+    assert forest == again and len(forest["trees"]) == 12
+    assert len({str(t) for t in forest["trees"]}) == 12
+    small = anomaly.fit_forest(rows.limit(10), ["x", "y"], "id", trees=3)
+    assert len(small["trees"]) == 3
+    odd = rows.limit(200).union(spark.createDataFrame([(-1, 1e6, 50.0)], rows.schema))
+    scores = {r["id"]: r["behaviour_score"] for r in anomaly.behaviour_score(odd, ["x", "y"], forest).collect()}
+    assert scores[-1] < sum(scores.values()) / len(scores)
