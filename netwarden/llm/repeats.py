@@ -2,7 +2,7 @@
 
 The task is to find every string of ``LENGTH`` bytes that starts earlier as well. Anchors sample the suffixes: of the grams of ``GRAM`` bytes in a string, those
 with the smallest hash are anchors, wherever the string lies, so all its occurrences hold the same anchor at the same place. Only anchors whose
-gram occurs at least twice go on, each with the bytes around it that a string may reach.
+gram occurs at least twice go on, each with the bytes around it that the strings reach in which it is the anchor.
 
 The suffixes of one gram, sorted, with the lengths of the prefixes that neighbours share, are an enhanced suffix array. A scan with a stack gives its
 tree of intervals: suffixes that share their next d bytes. In an interval the bytes to the left tell which occurrences belong to one maximal
@@ -241,22 +241,25 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         own, pos = own[mine], places[mine] & 0xFFFFFFFF
         at = offsets[own] + pos
         padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+        hashes = grams(data) if len(at) else np.zeros(0, np.uint64)
+        order = np.pad((hashes >> np.uint64(32)).astype(np.uint32), LEFT, constant_values=0xFFFFFFFF)
         for lo in range(0, len(at), FLUSH_AROUND):
             part = slice(lo, lo + FLUSH_AROUND)
             a, o = at[part], own[part]
             around = padded[a[:, None] + np.arange(AROUND)]
-            left = np.minimum(LEFT, a - offsets[o])
-            right = np.minimum(LENGTH, offsets[o + 1] - a)
+            # Only strings in which this gram has the smallest hash; the others have an anchor of their own.
+            own_hash = order[a + LEFT][:, None]
+            before = order[a[:, None] + np.arange(LEFT - 1, -1, -1)] < own_hash
+            after = order[a[:, None] + np.arange(LEFT + 1, 2 * LEFT + 1)] < own_hash
+            reach_left = np.where(before.any(axis=1), before.argmax(axis=1), LEFT)
+            reach_right = np.where(after.any(axis=1), after.argmax(axis=1) + GRAM, LENGTH)
+            left = np.minimum(reach_left, a - offsets[o])
+            right = np.minimum(reach_right, offsets[o + 1] - a)
+            useful = left + right >= LENGTH
+            a, o, own_pos, left, right, around = a[useful], o[useful], pos[part][useful], left[useful], right[useful], around[useful]
             column = np.arange(AROUND)
             around[(column < LEFT - left[:, None]) | (column >= LEFT + right[:, None])] = 0
-            words = around[:, LEFT : LEFT + GRAM]
-            key = np.ascontiguousarray(words).view(np.uint64)
-            h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15)
-            for k, factor in ((1, 0xBF58476D1CE4E5B9), (2, 0x94D049BB133111EB)):
-                h ^= h >> np.uint64(29)
-                h += key[:, k]
-                h *= np.uint64(factor)
-            held.append((h ^ h >> np.uint64(32), did[o], rn[o], pos[part], left, right, around))
+            held.append((hashes[a], did[o], rn[o], own_pos, left, right, around))
             size += len(a)
             if size >= FLUSH_AROUND:
                 yield from flush()
