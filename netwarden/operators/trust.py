@@ -62,10 +62,15 @@ def nonce_replay(
         return group[[row_id]].assign(replay=flags), {"used": recorded}
 
     kind = uses.schema[row_id].dataType.simpleString()
-    return run_fold(
-        rows, [agent, nonce], ["__t", row_id], blocks or order_blocks(rows, "__t"), fold,
+    # Most nonces are used once and need no fold.
+    counted = rows.join(rows.groupBy(agent, nonce).agg(F.count(F.lit(1)).alias("__uses")), [agent, nonce])
+    again = counted.filter("__uses > 1").drop("__uses")
+    once = counted.filter("__uses = 1").select(agent, nonce, row_id, F.lit(False).alias("replay"))
+    folded = run_fold(
+        again, [agent, nonce], ["__t", row_id], blocks or order_blocks(again, "__t"), fold,
         f"{row_id} {kind}, replay boolean", "used long", run_rows,
     )
+    return folded.unionByName(once)
 
 
 # --- stage 1: preprocessing checks ---------------------------------------------------------
@@ -152,7 +157,10 @@ def normalize_actions(plans: DataFrame, limits: dict = LIMITS) -> DataFrame:
 
 def with_quota(plans: DataFrame, key: str = "plan_id", ts: str = "as_of", limit: int = LIMITS["actions_per_hour"], seconds: int = 3600) -> DataFrame:
     """Actions of the agent in the last hour plus this plan's, against the hourly quota."""
-    counted = with_trailing_sums(plans, ["agent_id"], ts, key, seconds, {"recent_actions": F.size("actions").cast("long")})
+    # Only four narrow columns meet by agent; the plans themselves stay spread by their key, whatever one agent's share is.
+    asked = plans.select(key, "agent_id", ts, F.size("actions").cast("long").alias("__asked"))
+    summed = with_trailing_sums(asked, ["agent_id"], ts, key, seconds, {"recent_actions": F.col("__asked")})
+    counted = plans.join(summed.select(key, "recent_actions"), key)
     total = F.col("recent_actions") + F.size("actions")
     reason = F.concat(
         F.lit("hourly action quota exceeded ("), total.cast("string"), F.lit(f" > {limit}: "),
