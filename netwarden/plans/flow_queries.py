@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netwarden.functions.ordered import micros
 from netwarden.operators import flows, split
 from netwarden.plans.registry import Tables, query
+from netwarden.session import scratch_folder
 
 GAP = 6 * 3600.0
 
@@ -238,6 +239,19 @@ def _(t: Tables):
     return split.partition_manifest(parts, "c_mktsegment")
 
 
+@query("saved_partitions", "", """
+WITH parts AS (SELECT c_custkey, c_mktsegment, CAST(ntile(7) OVER (ORDER BY md5('42|' || c_custkey), c_custkey) - 1 AS INTEGER) AS client_id FROM customer)
+SELECT client_id, c_mktsegment, count(*) AS samples, min(c_custkey) AS first_key, max(c_custkey) AS last_key FROM parts GROUP BY 1, 2""")
+def _(t: Tables):
+    """Partitions written by client and read back, beside their manifest."""
+    folder = scratch_folder(t.spark, "partitions")
+    split.save_partitions(split.iid_partition(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", 7), folder, "c_mktsegment")
+    keys = ["client_id", "c_mktsegment"]
+    stored = t.spark.read.parquet(f"{folder}/rows").groupBy(*keys).agg(F.min("c_custkey").alias("first_key"), F.max("c_custkey").alias("last_key"))
+    manifest = t.spark.read.schema("client_id int, c_mktsegment string, samples long").json(f"{folder}/manifest")
+    return manifest.join(stored, keys).select(*keys, "samples", "first_key", "last_key")
+
+
 @query("sample_per_client", "", """
 SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('5|' || o_orderkey), o_orderkey) AS rn FROM orders) WHERE rn <= 4""")
 def _(t: Tables):

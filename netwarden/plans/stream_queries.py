@@ -135,21 +135,22 @@ def _(t: Tables):
     return checked.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "ok", "reasons")
 
 
-@query("experiment_results", "matrix_runs", "SELECT mode, attack, round(fraction * 100, 6) AS fraction, round(macro_f1, 9) AS macro_f1, CAST(run_id AS VARCHAR) AS seed FROM matrix_runs")
+@query("experiment_results", "matrix_runs", """SELECT mode, attack, round(fraction * 100, 6) AS fraction, round(macro_f1, 9) AS macro_f1, CAST(run_id AS VARCHAR) AS seed, 1 AS seed_count, false AS is_summary FROM matrix_runs
+UNION ALL SELECT mode, attack, 0e0, round(avg(macro_f1), 9), 'repeated-summary', count(*), true FROM matrix_runs GROUP BY mode, attack""")
 def _(t: Tables):
+    """Reports of single runs, a hundred to a report, and reports of summaries, read as one table."""
     folder = scratch_folder(t.spark, "results")
     item = F.struct(
         "mode", "attack", F.col("fraction").alias("malicious_fraction_requested"), F.col("run_id").alias("training_seed"),
         F.struct("macro_f1", "accuracy").alias("metrics"),
     )
-    # One report per hundred runs, one JSON document per line.
     reports = t.matrix_runs.groupBy(F.floor(F.col("run_id") / 100).alias("report")).agg(F.collect_list(item).alias("results"))
-    reports.select(F.struct(F.lit(1).alias("seed"), "results").alias("doc")).select(F.to_json("doc")).write.text(folder)
-    lines = t.spark.read.schema(f"{files.RESULTS}").json(folder).withColumn("input_file", F.input_file_name())
-    one = lines.select(F.explode("results").alias("r"))
-    return one.select(
-        "r.mode", "r.attack", F.round(F.col("r.malicious_fraction_requested") * 100, 6).alias("fraction"),
-        F.round("r.metrics.macro_f1", 9).alias("macro_f1"), F.col("r.training_seed").cast("string").alias("seed"),
+    cells = t.matrix_runs.groupBy("mode", "attack").agg(F.struct(F.count(F.lit(1)).alias("n_seeds"), F.avg("macro_f1").alias("mean")).alias("macro_f1"))
+    summary = F.struct("mode", "attack", F.struct("macro_f1").alias("metrics"))
+    reports.select(F.to_json(F.struct(F.lit(1).alias("seed"), "results"))).write.text(folder)
+    cells.select(F.to_json(F.struct(F.array(summary).alias("summaries")))).write.mode("append").text(folder)
+    return files.load_results(t.spark, folder, one_per_file=False).select(
+        "mode", "attack", F.round("fraction", 6).alias("fraction"), F.round("macro_f1", 9).alias("macro_f1"), "seed", "seed_count", "is_summary"
     )
 
 
@@ -202,6 +203,19 @@ def _(t: Tables):
     return finish(t, "alerting", jobs.detect_alerts(live, model, classifier, 0.05, emit_normal=True)).select("event_id", "attack_type", "confidence")
 
 
+@query("stream_batch_agreement", "", "SELECT (SELECT count(*) FROM events) AS alerts, 0 AS missing, 0 AS extra")
+def _(t: Tables):
+    """Alerts of the stream against those of the batch, from one trained detector."""
+    _, model, classifier = trained(t)
+    keys = ["event_id", "attack_type", "confidence"]
+    make = lambda rows: jobs.detect_alerts(rows, model, classifier, 0.0, emit_normal=True)
+    batch = checkpointed(make(records(t.events)).select(*keys))
+    live = checkpointed(finish(t, "agreement", make(records(jobs.table_stream(t.spark, t.sf_dir, "events")))).select(*keys))
+    side = lambda rows, name: rows.withColumn(name, F.lit(1))
+    both = side(live, "__live").join(side(batch, "__batch"), keys, "full")
+    return both.agg(F.count("__live").alias("alerts"), F.count_if(F.col("__live").isNull()).alias("missing"), F.count_if(F.col("__batch").isNull()).alias("extra"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 @query("stream_sessions", "traffic", """WITH keyed AS (SELECT epoch_us(ts) AS t, row_id, least("ip.src_host", "ip.dst_host") || '|' || greatest("ip.src_host", "ip.dst_host") AS flow_key FROM traffic),

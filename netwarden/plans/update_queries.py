@@ -106,6 +106,21 @@ def _(t: Tables):
     return up.gaussian_noise(updates(t), reference(t), flagged(), 0.5, seed=3).select("round", "client_id", "param", "idx", "value")
 
 
+@query("stress_gaussian_extent", "", f"""WITH {_U}, marked AS (SELECT round, client_id, {_POISONED} AS flagged, count(*) AS n FROM updates GROUP BY 1, 2, 3) SELECT *, CASE WHEN flagged THEN n ELSE 0 END AS n_changed, true AS plausible FROM marked""")
+def _(t: Tables):
+    """Where the noise goes and how strong it is: of every client's noise, the norm is about the asked share of its update's norm."""
+    own = updates(t).select("round", "client_id", "param", "idx", F.col("value").alias("before"))
+    noisy = up.gaussian_noise(updates(t), reference(t), flagged(), 0.5, seed=3).join(own, ["round", "client_id", "param", "idx"])
+    change = F.col("value") - F.col("before")
+    strength = noisy.groupBy("round", "client_id").agg(
+        F.max(flagged()).alias("flagged"), F.count(F.lit(1)).alias("n"), F.count_if(change != 0).alias("n_changed"), F.sqrt(F.sum(change * change)).alias("norm")
+    )
+    ratio = F.col("norm") / F.col("own")
+    plausible = F.when(F.col("flagged"), (ratio > 0.25) & (ratio < 0.8)).otherwise(F.col("norm") == 0)
+    norms = up.update_norms(updates(t), reference(t)).select("round", "client_id", F.col("norm").alias("own"))
+    return strength.join(norms, ["round", "client_id"]).select("round", "client_id", "flagged", "n", "n_changed", plausible.alias("plausible"))
+
+
 @query("stress_label_noise", "traffic", """WITH risky AS (SELECT row_id, label, row_number() OVER (ORDER BY md5('0|' || row_id), row_id) AS rn, count(*) OVER () AS n FROM traffic WHERE label <> 'click')
 SELECT row_id, CASE WHEN rn <= round_even(n * CAST(0.3 AS DOUBLE), 0) THEN 'click' ELSE label END AS label FROM risky UNION ALL SELECT row_id, label FROM traffic WHERE label = 'click'""")
 def _(t: Tables):
@@ -189,6 +204,18 @@ def _(t: Tables):
     )
 
 
+@query("secure_rounds_outcomes", "", "SELECT vec_id // 50 AS round, count(*) AS clients, 0 AS overlap FROM embeddings GROUP BY 1")
+def _(t: Tables):
+    """Every client of a round has one outcome: accepted, rejected by validation, or rejected by the detector."""
+    evidence = up.secure_rounds(updates(t), reference(t), max_ratio=1e3, aggregation="coordinate_median")[1]
+    names = ["accepted", "rejected_validation", "rejected_detector"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
+    return evidence.select(
+        "round", sum((F.size(n) for n in names), F.lit(0)).cast("long").alias("clients"),
+        sum((F.size(F.array_intersect(a, b)) for a, b in pairs), F.lit(0)).alias("overlap"),
+    )
+
+
 _CONFUSION = """count(*) FILTER (malicious AND rejected) AS tp, count(*) FILTER (NOT malicious AND rejected) AS fp, count(*) FILTER (NOT malicious AND NOT rejected) AS tn, count(*) FILTER (malicious AND NOT rejected) AS fn"""
 _RATES = "round(tp / nullif(tp + fn, 0), 6) AS tpr, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(tn / nullif(tn + fp, 0), 6) AS tnr"
 

@@ -119,9 +119,9 @@ SUMMARIES = (
 )
 
 
-def load_results(spark: SparkSession, path: str) -> DataFrame:
-    """Repeated-experiment reports (single runs or summaries) as one flat table."""
-    files = spark.read.schema(f"{RESULTS}, {SUMMARIES}").option("multiLine", True).json(path).withColumn("input_file", F.input_file_name())
+def load_results(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Repeated-experiment reports (single runs or summaries) as one flat table; a report fills its file, or a line of it."""
+    files = spark.read.schema(f"{RESULTS}, {SUMMARIES}").option("multiLine", one_per_file).json(path).withColumn("input_file", F.input_file_name())
     c = F.col
     r, s = "r", "s"
     runs = files.select("input_file", "seed", F.explode("results").alias(r)).select(
