@@ -208,7 +208,7 @@ def _ranges(did, rn, start, end) -> pa.RecordBatch:
     return _batch(0, did[cuts], did[cuts], rn[cuts], start[cuts], reach[last], None)
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surroundings(batches: Iterator[pa.RecordBatch], settle_copies: bool = True) -> Iterator[pa.RecordBatch]:
     """For the anchors of documents in order: the bytes around each. Copies of one that the task has met in this flush are removed at once."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -225,7 +225,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sorted_mixed = mixed[order]
         first = np.append(True, sorted_mixed[1:] != sorted_mixed[:-1])
         source = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        copy = ~first & (words[order] == words[source]).all(axis=1)
+        copy = ~first & (words[order] == words[source]).all(axis=1) & settle_copies
         gone, kept = order[copy], np.sort(order[~copy])
         gone = gone[left[gone] + right[gone] >= LENGTH]
         yield _ranges(did[gone], rn[gone], pos[gone] - left[gone], pos[gone] + right[gone])
@@ -387,6 +387,74 @@ def settle(key: np.ndarray, time: np.ndarray, pos: np.ndarray, left: np.ndarray,
     return np.concatenate(out_row), np.concatenate(out_start), np.concatenate(out_end)
 
 
+def maximal_repeats(key: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeats of at least ``least`` bytes around each gram: (bytes left of the gram, bytes from it on, all rows that hold it).
+
+    An interval of the right order whose rows go on differently cannot be extended to the right; its rows in the order of
+    their left bytes form intervals again, none of which can be extended to the left.
+    """
+    rights, lefts = around[:, LEFT:], around[:, :LEFT][:, ::-1]
+    order = np.lexsort([right, *_words(rights)[::-1], key])
+    shared = _common(rights[order], right[order])
+    same_gram = np.append(False, key[order][1:] == key[order][:-1]) & (shared >= GRAM)
+    cuts = np.append(np.flatnonzero(~same_gram), len(order))
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if end - start < 2:
+            continue
+        rows, extra = order[start:end], (shared[start:end] - GRAM).tolist()
+        by_left = np.lexsort([left[rows], *_words(lefts[rows])[::-1]])
+        prefix = _common(lefts[rows][by_left], left[rows][by_left]).tolist()
+        rank = np.empty(len(rows), np.int64)
+        rank[by_left] = np.arange(len(rows))
+        for depth, _, first, last in intervals(extra):
+            child = {int(rank[first]): 0}
+            for i in range(first + 1, last + 1):
+                child[int(rank[i])] = child[int(rank[i - 1])] + (extra[i] == depth)
+            ranks = sorted(child)
+            common = [-1] + [min(prefix[a + 1 : b + 1]) for a, b in zip(ranks, ranks[1:])]
+            for extent, _, lo, hi in intervals(common):
+                held = ranks[lo : hi + 1]
+                if extent + GRAM + depth >= least and len({child[r] for r in held}) > 1:
+                    yield extent, GRAM + depth, [int(rows[by_left[r]]) for r in held]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every occurrence of every maximal repeat around the grams of a task; a repeat is named by its bytes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def work(key, did, rn, pos, size_of, around) -> pa.RecordBatch:
+        left, right = size_of // 256, size_of % 256
+        names, lengths, own, starts = [], [], [], []
+        for before, after, rows in maximal_repeats(key, left, right, around):
+            name = hashlib.blake2b(around[rows[0], LEFT - before : LEFT + after].tobytes(), digest_size=16).hexdigest()
+            for r in rows:
+                names.append(name)
+                lengths.append(before + after)
+                own.append(r)
+                starts.append(int(pos[r]) - before)
+        own = np.array(own, np.int64)
+        columns = [pa.array(names, pa.string()), pa.array(lengths, pa.int32()), pa.array(did[own]), pa.array(rn[own]), pa.array(starts, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["repeat", "length", "did", "rn", "start"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, _ = _flat(batch.column(6))
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4, 5)]
+        held.append((columns[0], columns[1], columns[2], columns[3].astype(np.int64), columns[4].astype(np.int64), data.reshape(-1, AROUND)))
+        size += batch.num_rows
+        if size >= FLUSH_AROUND:
+            whole = [np.concatenate([h[k] for h in held]) for k in range(6)]
+            cut = np.flatnonzero(whole[0] != whole[0][-1])
+            if len(cut):
+                yield work(*[x[: cut[-1] + 1] for x in whole])
+                whole = [x[cut[-1] + 1 :] for x in whole]
+            held, size = [tuple(whole)], len(whole[0])
+    if size:
+        yield work(*[np.concatenate([h[k] for h in held]) for k in range(6)])
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges from sorted surroundings, gram after gram; strings of hot grams that did not repeat here go on by content."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -484,11 +552,11 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[
     return b"".join(kept), [(s, e) for s, e in runs]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, kept, n_bytes, spans)`` for every document: the remaining bytes and the removed runs (start, end)."""
+def _around(docs: DataFrame, id_col: str, text_col: str, settle_copies: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents under their own keys, the surroundings of repeated grams, and the hot grams."""
     spark = docs.sparkSession
     small_batches(spark)
-    # All three readers of the texts ask for the same columns, so the texts are shuffled once.
+    # All readers of the texts ask for the same columns, so the texts are shuffled once.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = Window.partitionBy("did").orderBy("text")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -498,7 +566,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # At most one hot gram for HOT anchors, so this side is under a millionth of the text.
     hot = answers.filter("hot").select(F.col("did").alias("key"), F.lit(True).alias("hot")).distinct()
     places = answers.filter("not hot").groupBy("did").agg(F.collect_list("place").alias("places"))
-    around = base.join(places, "did").select("did", "rn", "text", "places").mapInArrow(_surroundings, AROUND_SCHEMA)
+    found = base.join(places, "did").select("did", "rn", "text", "places")
+    return base, found.mapInArrow(lambda b: _surroundings(b, settle_copies), AROUND_SCHEMA), hot
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(repeat, length, id, start)``: every occurrence of every maximal repeat of at least ``LENGTH`` bytes.
+
+    A repeat is seen through the anchors in it, so one that reaches beyond their surroundings appears as several that overlap; it is named by
+    its bytes. Grams with over ``HOT`` occurrences are compared in ``SALT`` parts.
+    """
+    _, around, hot = _around(docs, id_col, text_col, settle_copies=False)
+    marked = around.filter("kind = 1").join(F.broadcast(hot), "key", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("did"), F.lit(SALT))).otherwise(F.lit(0))
+    dealt = marked.withColumn("slot", F.xxhash64("key", salt)).repartition("slot").sortWithinPartitions("key", "slot")
+    found = dealt.select("kind", "key", "did", "rn", "a", "b", "around").mapInArrow(_groups, "repeat string, length int, did long, rn int, start int")
+    return found.distinct().select("repeat", "length", F.nullif(F.col("did"), F.lit(NO_ID)).alias("id"), "start")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, kept, n_bytes, spans)`` for every document: the remaining bytes and the removed runs (start, end)."""
+    base, around, hot = _around(docs, id_col, text_col, settle_copies=True)
     marked = around.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)) & (F.col("kind") == 1))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("did"), F.lit(SALT))).otherwise(F.lit(0))
     dealt = marked.withColumn("slot", F.xxhash64("key", salt)).repartition("slot").sortWithinPartitions("kind", "key", "slot")

@@ -107,3 +107,57 @@ def test_earlier_reach():
         common = lambda a, b: min(shared[min(a, b) + 1 : max(a, b) + 1])
         want = [(r, max((common(r, q) for q in ranks if when[q] < when[r]), default=-1)) for r in ranks]
         assert repeats.earlier_reach(ranks, shared, when) == want
+
+
+def contexts(rng, n):
+    """Surroundings of one or two grams over a small alphabet."""
+    out = []
+    for _ in range(n):
+        left = "".join(rng.choices("ab", k=rng.randint(0, 4)))
+        right = "".join(rng.choices("ab", k=rng.randint(0, 4)))
+        out.append((left, rng.choice("xy") * repeats.GRAM + right))
+    return out
+
+
+def test_maximal_repeats():
+    rng = random.Random(5)
+    for _ in range(150):
+        made = contexts(rng, rng.randint(1, 9))
+        around = np.zeros((len(made), repeats.AROUND), np.uint8)
+        for i, (left, right) in enumerate(made):
+            around[i, repeats.LEFT - len(left) : repeats.LEFT + len(right)] = np.frombuffer((left + right).encode(), np.uint8)
+        key = np.array([ord(r[0]) for _, r in made], np.uint64)
+        sizes = np.array([len(x) for x, _ in made]), np.array([len(x) for _, x in made])
+        got = {(a, b, frozenset(rows)) for a, b, rows in repeats.maximal_repeats(key, *sizes, around, least=0)}
+        want = set()
+        for i, (left, right) in enumerate(made):
+            for a in range(len(left) + 1):
+                for b in range(repeats.GRAM, len(right) + 1):
+                    rows = [j for j, (x, y) in enumerate(made) if x.endswith(left[len(left) - a :]) and len(x) >= a and y.startswith(right[:b])]
+                    longer = lambda strings: len(set(strings)) == 1 and "" not in strings
+                    before = [made[j][0][len(made[j][0]) - a - 1 : len(made[j][0]) - a] if len(made[j][0]) > a else "" for j in rows]
+                    after = [made[j][1][b : b + 1] for j in rows]
+                    if len(rows) > 1 and not longer(before) and not longer(after):
+                        want.add((a, b, frozenset(rows)))
+        assert got == want
+
+
+def test_groups_cover_what_is_removed(spark):
+    rows = [(i, t) for i, t in rows_of(6) if i is not None][:90]
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in repeats.repeat_groups(docs).collect():
+        groups.setdefault((r["repeat"], r["length"]), set()).add((r["id"], r["start"]))
+    for (_, length), places in groups.items():
+        assert len(places) > 1 and length >= repeats.LENGTH
+        assert len({texts[i][s : s + length] for i, s in places}) == 1
+    covered = {i: bytearray(len(t)) for i, t in texts.items()}
+    for (_, length), places in groups.items():
+        for i, s in sorted(places)[1:]:
+            covered[i][s : s + length] = b"\1" * length
+    for r in repeats.without_repeats(docs).collect():
+        for s, e in r["spans"]:
+            assert all(covered[r["id"]][s:e])
+    assert repeats.repeat_groups(docs.limit(0)).count() == 0
