@@ -56,15 +56,17 @@ def build_chain(
             before.append(previous)
             previous = hashlib.sha256((previous + entry).encode("utf-8")).hexdigest()
             after.append(previous)
-        out = entries[["position", text]].assign(previous_hash=before, entry_hash=after)
-        return out, {"hash": previous}
+        # The order columns go along, so nothing has to be joined back.
+        return entries[[*order, "position", text]].assign(previous_hash=before, entry_hash=after), {"hash": previous}
 
-    hashed = run_fold(
-        rows.select(chain, "position", text, "__tip"), [chain], ["position"],
+    order = list(order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*order).schema)
+
+    return run_fold(
+        rows.select(chain, *order, "position", text, "__tip"), [chain], ["position"],
         Blocks(blocks.column, blocks.n, blocks.rows) if blocks.n == 1 else order_blocks(rows, "position", rows=blocks.rows),
-        fold, f"position long, {text} string, previous_hash string, entry_hash string", "hash string", run_rows,
+        fold, f"{kinds}, position long, {text} string, previous_hash string, entry_hash string", "hash string", run_rows,
     )
-    return rows.drop(text, "__tip", "__from").join(hashed, [chain, "position"])
 
 
 def verify_chain(entries: DataFrame, chain: str, text: Column | str = "canonical") -> DataFrame:
