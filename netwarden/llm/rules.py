@@ -24,7 +24,8 @@ WINDOW = 5
 #: Least words, and largest percentage of words in repeated windows, of the base rule.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 STATISTICS = "__quality_statistics"
-FEATURES = ["symbol_rate", "repeat_rate", "dup_line_rate", "mean_word", "n_words"]
+#: What rules may test: signs of junk that do not depend on the language, unlike the length of words.
+FEATURES = ["symbol_rate", "repeat_rate", "dup_line_rate", "n_words"]
 
 
 def _repeat_words(w: Column) -> Column:
@@ -71,7 +72,6 @@ def features(s: Column) -> dict[str, Column]:
         "symbol_rate": s["n_symbols"] / n,
         "repeat_rate": s["n_repeat_words"] / n,
         "dup_line_rate": s["lines"]["dup"] / F.greatest(s["lines"]["n"], F.lit(1)),
-        "mean_word": s["word_chars"] / n,
         "n_words": s["n_words"].cast("double"),
     }
 
@@ -137,33 +137,34 @@ def _grow(x: np.ndarray, bad: np.ndarray, cuts: int) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> tuple[Rule, float]:
-    """The prefix of the rule worth most on rows it has not seen, and its share of low quality there, by Laplace's rule."""
+def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> tuple[Rule, float, float]:
+    """The prefix of the rule worth most on rows it has not seen, its share of low quality there, and that share by Laplace's rule."""
     def worth(r: Rule) -> float:
         mask = covers(r, x)
         p, n = bad[mask].sum(), (~bad[mask]).sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     best = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
-    mask = covers(best, x)
-    return best, (bad[mask].sum() + 1) / (mask.sum() + 2) if best else 0.0
+    hits, n = bad[covers(best, x)].sum(), covers(best, x).sum()
+    return (best, hits / n, (hits + 1) / (n + 2)) if best and n else ((), 0.0, 0.0)
 
 
-def learn(x: np.ndarray, bad: np.ndarray, held: np.ndarray, min_precision: float = 0.95, max_rules: int = 16, cuts: int = 256) -> list[Rule]:
-    """Ordered rules for rows marked ``bad``; ``held`` rows only prune."""
+def learn(x: np.ndarray, bad: np.ndarray, held: np.ndarray, min_precision: float = 0.98, min_sure: float = 0.85, max_rules: int = 16, cuts: int = 256) -> list[Rule]:
+    """Ordered rules for rows marked ``bad``; ``held`` rows only prune. A rule must be right on ``min_precision`` of the held rows it
+    covers, and on enough of them for ``min_sure`` by Laplace's rule."""
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     while len(rules) < max_rules:
         rule = _grow(x[left & ~held], bad[left & ~held], cuts)
-        rule, precision = _prune(rule, x[left & held], bad[left & held])
-        if not rule or precision < min_precision:
+        rule, precision, sure = _prune(rule, x[left & held], bad[left & held])
+        if precision < min_precision or sure < min_sure:
             return rules
         rules.append(rule)
         left &= ~covers(rule, x)
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_precision: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """Rules learned from at most ``max_rows`` labelled documents."""
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.select(F.col("doc_id").alias("label_id"), F.col("quality"), F.xxhash64("doc_id").alias("h")).orderBy("h", "label_id", "quality").limit(max_rows)
