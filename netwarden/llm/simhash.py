@@ -10,8 +10,8 @@ thousand near copies give a thousand links.
 
 ``one_of_each`` keeps one document of each group of similar texts, given as a share of common shingles. Such pairs differ in too many of 64
 bits for shared parts, so it takes 256 bits: pairs meet where ``SAMPLE_BITS`` of ``SAMPLES`` fixed selections of the bits agree, and are
-linked, again bit-sliced, if they differ in no more bits than texts of that similarity do. At the similarity itself about 99 of 100 pairs meet and nine
-of ten are linked; below 0.6 hardly any is.
+linked, again bit-sliced, if they differ in no more bits than texts of that similarity do. By the binomial law, at the similarity itself about 99 of 100
+pairs meet and nine of ten are linked.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other; copies share a fingerprint and are one node; an
 empty table gives an empty result; columns other than the id and the text are ignored.
