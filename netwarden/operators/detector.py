@@ -17,8 +17,7 @@ def train_detector(
 ) -> tuple[LogisticRegressionModel, float]:
     """Train with balanced class weights; keep the model with the best validation macro-F1."""
     weights = class_weights(train, label).select(label, "weight")
-    # One row per class.
-    ready = train.join(F.broadcast(weights), label).withColumn("x", array_to_vector(vector)).withColumn(label, F.col(label).cast("double"))
+    ready = train.join(weights, label).withColumn("x", array_to_vector(vector)).withColumn(label, F.col(label).cast("double"))
     best = None
     for strength in strengths:
         model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=strength, maxIter=40, standardization=False).fit(ready)

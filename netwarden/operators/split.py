@@ -149,8 +149,8 @@ def dirichlet_partition(
     spark = df.sparkSession
     plan = spark.createDataFrame([(v, c) for (v, _), c in zip(classes, cuts)], "__key string, __cuts array<long>")
     ranked = _ranked_by_hash(df, ["__key"], row_id, seed)
-    # One row per class with clients-1 numbers: its size does not grow with the data.
-    placed = ranked.join(F.broadcast(plan), "__key")
+    # One row per class with clients-1 numbers; Spark sees its size.
+    placed = ranked.join(plan, "__key")
     at = F.col("__rn") - 1
     client = F.size(F.filter("__cuts", lambda c: c <= at))
     return placed.withColumn("client_id", client).drop("__rn", "__cuts", "__key")

@@ -240,14 +240,28 @@ def _(t: Tables):
     return rounded(ev.expected_rates(t.predictions), "accuracy", "far", "uabr", "sapr")
 
 
-@query("gate_status_counts", "scenarios", f"""WITH {_ABLATION} SELECT variant, 'policy_status' AS gate, CASE WHEN NOT policy THEN 'disabled' WHEN decision_stage = 'policy' THEN 'blocked' ELSE 'passed' END AS status, count(*) AS n FROM rows0 GROUP BY ALL""")
+_STAGES = "['baseline', 'policy', 'semantic', 'context', 'behavior', 'history', 'human_review_policy', 'dynamic_trust', 'default_allow']"
+# Gate, its place among the stages, the variant's switch, and its status where it stops and where it lets pass.
+_GATE_RULES = [
+    ("policy", 1, "policy", "'blocked'", "'passed'"), ("semantic", 2, "semantic", "'blocked'", "'passed'"), ("context", 3, "context", "'blocked'", "'passed'"),
+    ("behavior", 4, "behavior", "'blocked'", "CASE WHEN behavior_state <> 'normal' THEN 'flagged' ELSE 'passed' END"),
+    ("history", 5, "history", "'blocked'", "CASE WHEN history_state <> 'clean' THEN 'flagged' ELSE 'passed' END"),
+    ("dynamic_trust", 7, "dynamic", "CASE WHEN value < 4e-1 THEN 'blocked' WHEN value < 85e-2 THEN 'human_review' ELSE 'verified_allow' END", "'passed'"),
+]
+_GATE_SQL = " UNION ALL ".join(
+    f"SELECT variant, '{gate}_status' AS gate, CASE WHEN NOT {switch} THEN 'disabled' WHEN place = {k} THEN {stopped} WHEN place > {k} THEN {passed} ELSE 'not_reached' END AS status FROM placed"
+    for gate, k, switch, stopped, passed in _GATE_RULES
+)
+
+
+@query("gate_status_counts", "scenarios", f"WITH {_ABLATION}, placed AS (SELECT *, list_position({_STAGES}, decision_stage) - 1 AS place FROM rows0), statuses AS ({_GATE_SQL}) SELECT variant, gate, status, count(*) AS n FROM statuses GROUP BY ALL")
 def _(t: Tables):
-    return ev.gate_status_counts(ev.run_variants(scenarios(t))).filter("gate = 'policy_status'")
+    return ev.gate_status_counts(ev.run_variants(scenarios(t)))
 
 
-@query("top_reasons", "scenarios", f"WITH {_ABLATION} SELECT decision_reason AS reason, count(*) AS n FROM rows0 WHERE variant = 'full' GROUP BY 1 ORDER BY n DESC, reason LIMIT 12")
+@query("top_reasons", "scenarios", f"WITH {_ABLATION} SELECT decision_reason AS reason, count(*) AS n FROM rows0 GROUP BY 1 ORDER BY n DESC, reason LIMIT 12")
 def _(t: Tables):
-    return ev.top_reasons(ev.run_variants(scenarios(t)).filter("variant = 'full'"))
+    return ev.top_reasons(ev.run_variants(scenarios(t)))
 
 
 # --- classification ----------------------------------------------------------------------------
