@@ -9,9 +9,10 @@ abandoned as soon as all its counters exceed the radius. A bucket emits only lin
 thousand near copies give a thousand links.
 
 ``one_of_each`` keeps one document of each group of similar texts, given as a share of common shingles. Such pairs differ in too many of 64
-bits for shared parts, so it takes 256 bits: pairs meet where ``SAMPLE_BITS`` of ``SAMPLES`` fixed selections of the bits agree, and are
-linked, again bit-sliced, if they differ in no more bits than texts of that similarity do. By the binomial law, at the similarity itself about 99 of 100
-pairs meet and nine of ten are linked.
+bits for shared parts, so it takes 256 bits of the distinct shingles: pairs meet where ``SAMPLE_BITS`` of ``SAMPLES`` fixed selections of the bits
+agree, and are linked, again bit-sliced, if they differ in no more bits than texts of that similarity do. These links only say which texts to
+compare: inside the components they form, texts are compared by their distinct shingles, and only pairs that have the share join a group.
+By the binomial law, at the similarity itself about 99 of 100 pairs meet and nine of ten are linked.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other; copies share a fingerprint and are one node; an
 empty table gives an empty result; columns other than the id and the text are ignored.
@@ -37,8 +38,8 @@ BITS = 64
 LIMIT = 8192
 #: Bits of a wide fingerprint, how many selections of them make buckets, and of how many bits each.
 WIDE_BITS, SAMPLES, SAMPLE_BITS = 256, 64, 16
-#: Texts of at most so many shingles are compared by the shingles themselves once their fingerprints link them.
-FEW = 64
+#: Texts whose shingles one task compares with as many others; larger components are dealt out over blocks of this size.
+BLOCK = 256
 #: Lanes of a block of the bit-sliced comparison.
 LANES = 1 << 14
 
@@ -75,25 +76,24 @@ def fingerprint_of(text: str | None, size: int) -> int:
     return int.from_bytes(majority(b"".join([digest(x, SEED) for x in shingles]), BITS), "big", signed=True)
 
 
-def wide_fingerprint_of(text: str | None, size: int) -> np.ndarray:
-    """256 bits of one text as four signed numbers."""
+def wide_fingerprint_of(text: str | None, size: int) -> tuple[np.ndarray, int]:
+    """256 bits of the distinct shingles of one text as four signed numbers, and a hash of the set of shingles."""
     import xxhash
 
     digest = xxhash.xxh3_128_digest
-    shingles = shingles_of(text, size)
+    shingles = set(shingles_of(text, size))
     if not shingles:
-        return np.zeros(WIDE_BITS // 64, np.int64)
-    return np.frombuffer(majority(b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in shingles]), WIDE_BITS), np.int64)
+        return np.zeros(WIDE_BITS // 64, np.int64), 0
+    hashes = sorted(digest(x, SEED) + digest(x, SEED + 1) for x in shingles)
+    packed = b"".join(hashes)
+    return np.frombuffer(majority(packed, WIDE_BITS), np.int64), int.from_bytes(xxhash.xxh64_digest(packed, SEED), "big", signed=True)
 
 
-def few_shingles_of(text: str | None, size: int) -> list[int]:
-    """Hashes of the distinct shingles of a short text, whose fingerprint is a rough one; none of a longer text."""
+def shingle_set_of(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text."""
     import xxhash
 
-    if len(text or "") > 60 * FEW:
-        return []
-    own = sorted({int.from_bytes(xxhash.xxh64_digest(x, SEED), "big", signed=True) for x in shingles_of(text, size)})
-    return own if len(own) <= FEW else []
+    return np.array([int.from_bytes(xxhash.xxh64_digest(x, SEED), "big", signed=True) for x in set(shingles_of(text, size))], np.int64)
 
 
 def fingerprint(text: Column, size: int = 3) -> Column:
@@ -235,10 +235,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, limit: int = LIMIT) ->
         rows = checkpointed(rows.join(large, ["mask", "bucket"], "left_semi").select("fp", F.explode(deeper[F.col("mask")]).alias("mask")).distinct())
 
 
-def starred(pairs: list[tuple[int, int]], wide: bool) -> list[tuple[int, int]]:
-    """Links of the same components, to the smallest node of each, so that other buckets are likely to give the same links. Pairs of short texts
-    (odd nodes of wide fingerprints) stay as they are, for they are to be compared again."""
-    kept = [p for p in pairs if wide and p[0] & p[1] & 1]
+def starred(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of the same components, to the smallest node of each, so that other buckets are likely to give the same links."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -247,10 +245,9 @@ def starred(pairs: list[tuple[int, int]], wide: bool) -> list[tuple[int, int]]:
         return x
 
     for a, b in pairs:
-        if not (wide and a & b & 1):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-    return kept + [(x, r) for x in list(up) if (r := root(x)) != x]
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, r) for x in list(up) if (r := root(x)) != x]
 
 
 def compared(rows: DataFrame, radius: int) -> DataFrame:
@@ -265,7 +262,7 @@ def compared(rows: DataFrame, radius: int) -> DataFrame:
             mask, bucket, node, fp = columns
             change = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])
             pairs = links_of(np.append(0, np.cumsum(change)), fp, radius)
-            linked = starred([(int(node[i]), int(node[j])) for i, j in pairs], wide)
+            linked = starred([(int(node[i]), int(node[j])) for i, j in pairs])
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -293,47 +290,108 @@ def differing_bits(similarity: float) -> int:
     return round(WIDE_BITS * angle + 1.3 * math.sqrt(WIDE_BITS * angle * (1 - angle)))
 
 
-def selection(rng: random.Random, bits: int, taken: list[int] = ()) -> list[int]:
-    """Places of further bits beside those already taken."""
-    return [*taken, *rng.sample([b for b in range(WIDE_BITS) if b not in set(taken)], bits)]
+def selection(rng: random.Random, bits: int) -> list[int]:
+    """Places of some bits."""
+    return rng.sample(range(WIDE_BITS), bits)
 
 
-def sampled(rows: DataFrame, selections: dict[int, list[list[int]]]) -> DataFrame:
-    """Each row in one bucket for every selection that belongs to its ``mask``."""
+def sampled(rows: DataFrame, selections: list[list[int]]) -> DataFrame:
+    """Each row in one bucket for every selection."""
     def numbered(places: list[int]):
         words = [sum(1 << (b % 64) for b in places if b // 64 == k) for k in range(WIDE_BITS // 64)]
         return F.struct(*[F.lit(signed(w)).alias(f"m{k}") for k, w in enumerate(words)])
 
-    out = None
-    serial = 0
-    for mask, own in selections.items():
-        masks = F.array(*[F.struct(F.lit(serial + i).alias("mask"), numbered(p).alias("bits")) for i, p in enumerate(own)])
-        serial += len(own)
-        made = rows.filter(F.col("mask") == mask).select("node", "fp", F.explode(masks).alias("s"))
-        out = made if out is None else out.unionByName(made)
+    masks = F.array(*[F.struct(F.lit(i).alias("mask"), numbered(p).alias("bits")) for i, p in enumerate(selections)])
+    out = rows.select("node", "fp", F.explode(masks).alias("s"))
     parts = [F.get("fp", F.lit(k)).bitwiseAND(F.col(f"s.bits.m{k}")) for k in range(WIDE_BITS // 64)]
     return out.select("node", "fp", F.col("s.mask").alias("mask"), F.xxhash64(*parts).alias("bucket"))
 
 
+def block_of(node: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(SEED)), blocks).cast("long")
+
+
 def link_similar(prints: DataFrame, similarity: float, limit: int = LIMIT) -> DataFrame:
-    """Links ``(a, b)`` between the nodes of similar wide fingerprints in a materialized table ``(node, fp)``. Buckets over the limit are divided by
-    eight selections of eight more bits each, until none is left or the bits are used up."""
+    """Links ``(a, b)`` between the nodes of similar wide fingerprints in a materialized table ``(node, fp)``. The rows of a bucket over the limit
+    are dealt out over blocks of half the limit, and every two blocks are compared, so the limit changes no component."""
     rng = random.Random(SEED)
     radius = differing_bits(similarity)
-    chosen = [selection(rng, SAMPLE_BITS) for _ in range(SAMPLES)]
-    rows = sampled(prints.select("node", "fp", F.lit(0).alias("mask")), {0: chosen})
-    out = None
-    while True:
-        large = checkpointed(rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("mask", "bucket"))
-        divided = len(chosen[0]) < 64 and not large.isEmpty()
-        found = compared(rows.join(large, ["mask", "bucket"], "left_anti") if divided else rows, radius)
-        out = found if out is None else out.unionByName(found)
-        if not divided:
-            return out
-        hot = checkpointed(rows.join(large, ["mask", "bucket"], "left_semi"))
-        deeper = {r[0]: [selection(rng, 8, chosen[r[0]]) for _ in range(8)] for r in sorted(hot.select("mask").distinct().collect())}  # one row a selection
-        chosen = [p for own in deeper.values() for p in own]
-        rows = sampled(hot, deeper).distinct()
+    rows = sampled(prints.select("node", "fp"), [selection(rng, SAMPLE_BITS) for _ in range(SAMPLES)])
+    large = checkpointed(rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
+    if large.isEmpty():
+        return compared(rows, radius)
+    found = compared(rows.join(large, ["mask", "bucket"], "left_anti"), radius)
+    blocks = F.ceil(2 * F.col("n") / limit)
+    hot = rows.join(large, ["mask", "bucket"]).withColumn("blocks", blocks).withColumn("own", block_of(F.col("node"), F.col("blocks")))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != F.col("own"))
+    dealt = hot.withColumn("other", F.explode(other))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    return found.unionByName(compared(dealt.select("node", "fp", "mask", pair.alias("bucket")), radius))
+
+
+def sharing(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions whose sets have that share in common; a pair that lies in one ``group``, or that earlier pairs join, is left out."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    group = np.unique(group, return_inverse=True)[1]
+    marked = np.zeros(len(ids), np.int32)
+    found = []
+    for i in range(len(sets) - 1):
+        if (group[i + 1 :] == group[i]).all():
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        marked[own] = 1
+        shared = np.add.reduceat(marked[ids[ends[i] :]], ends[i:-1] - ends[i])
+        marked[own] = 0
+        near = shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9
+        for j in (np.flatnonzero(near & (group[i + 1 :] != group[i])) + i + 1).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                found.append((i, j))
+    return found
+
+
+def verified(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of the nodes in each ``part`` of ``(part, node, label, shingles)`` that have the share; nodes of one label are joined already."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node")
+        nodes = part["node"].to_numpy()
+        pairs = sharing([np.asarray(x) for x in part["shingles"]], part["label"].to_numpy(), similarity) if len(nodes) > 1 else []
+        return pd.DataFrame({"a": nodes[[i for i, _ in pairs]], "b": nodes[[j for _, j in pairs]]}, dtype="int64")
+
+    return rows.select("part", "node", "label", "shingles").groupBy("part").applyInPandas(links, "a long, b long")
+
+
+def link_shared(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs of one ``root`` in a materialized table ``(node, root, shingles)`` that have the share.
+
+    A root of many nodes is compared in blocks, each of which has the root's own node as well. Where that leaves several groups, every block of
+    nodes outside the largest group is compared with every other block.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / block))
+    sized = members.join(sizes, "root").withColumn("blocks", blocks)
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = sized.withColumn("k", F.explode(F.when(F.col("node") == F.col("root"), everywhere).otherwise(F.array(block_of(F.col("node"), F.col("blocks"))))))
+    first = checkpointed(verified(dealt.withColumn("part", F.xxhash64("root", "k")).withColumn("label", F.col("node")), similarity))
+    large = checkpointed(sized.filter("blocks > 1").select("node", "root"))
+    if large.isEmpty():
+        return first
+    joined = components(first.join(large.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "label")
+    labelled = checkpointed(large.join(joined, "node", "left").select("node", "root", F.coalesce("label", "node").alias("label")))
+    groups = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
+    main = groups.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("n_groups"))
+    main = main.filter("n_groups > 1").withColumn("main_blocks", F.ceil(F.col("n_main") / block)).withColumn("blocks", F.col("main_blocks") + F.ceil((F.col("n") - F.col("n_main")) / block))
+    open_ = labelled.join(main, "root").withColumn("rest", F.col("label") != F.col("main"))
+    # Blocks of the largest group come first; two of them need not meet.
+    own = F.when(F.col("rest"), F.col("main_blocks") + block_of(F.col("node"), F.col("blocks") - F.col("main_blocks"))).otherwise(block_of(F.col("node"), F.col("main_blocks")))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (k != F.col("own")) & (F.col("rest") | (k >= F.col("main_blocks"))))
+    pairs = open_.withColumn("own", own).withColumn("other", F.explode(other))
+    part = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    again = pairs.select("node", "label", part.alias("part")).join(members.select("node", "shingles"), "node")
+    return first.unionByName(verified(again, similarity))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -376,22 +434,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     fp, node, component = "__simhash_fp", "__simhash_node", "__simhash_component"
 
-    @F.pandas_udf("fp array<long>, few array<long>")
+    @F.pandas_udf("fp array<long>, node long")
     def wide(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": [wide_fingerprint_of(t, size) for t in texts], "few": [few_shingles_of(t, size) for t in texts]})
+        made = [wide_fingerprint_of(t, size) for t in texts]
+        return pd.DataFrame({"fp": [x for x, _ in made], "node": pd.Series([x for _, x in made], dtype="int64")})
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set_of(t, size) for t in texts], dtype=object)
 
+    # A node is a set of shingles: texts of one node have all of them in common.
     made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), wide(F.col(text_col)).alias("w"))
-    # The last bit of a node tells whether its text is a short one.
-    named = F.shiftleft(F.shiftright(F.xxhash64("w.fp", "w.few"), 1), 1).bitwiseOR((F.size("w.few") > 0).cast("long"))
-    prints = checkpointed(made.select("id", "copy", "w.fp", "w.few", named.alias("node")))
-    classes = checkpointed(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("few").alias("few")))
-    links = checkpointed(link_similar(classes.select("node", "fp"), similarity).distinct())
-    both_short = F.col("a").bitwiseAND(F.col("b")).bitwiseAND(F.lit(1)) == 1
-    again = links.filter(both_short)
-    for end in ("a", "b"):
-        again = again.join(classes.select(F.col("node").alias(end), F.col("few").alias(f"few_{end}")), end)
-    shared = F.size(F.array_intersect("few_a", "few_b")) >= similarity * F.size(F.array_union("few_a", "few_b"))
-    links = links.filter(~both_short).unionByName(again.filter(shared).select("a", "b"))
+    prints = checkpointed(made.select("id", "copy", "w.fp", "w.node"))
+    classes = checkpointed(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp")))
+    near = checkpointed(components(link_similar(classes.filter("node <> 0").select("node", "fp"), similarity).distinct()))
+    shown = prints.join(near, "node").groupBy("node", "root").agg(F.min(F.struct("id", "copy")).alias("row"))
+    shown = shown.select(F.col("node").alias(node), F.col("root").alias(component), F.col("row.id").alias(fp), F.col("row.copy").alias("__simhash_copy"))
+    texts = docs.join(shown, docs[id_col].eqNullSafe(F.col(fp)) & (F.xxhash64(docs[text_col]) == F.col("__simhash_copy")))
+    sets = texts.select(F.col(node).alias("node"), F.col(component).alias("root"), shingles(docs[text_col]).alias("shingles"))
+    links = link_shared(checkpointed(sets.dropDuplicates(["node"])), similarity)
     roots = components(links).withColumnRenamed("node", "linked")
     rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("node"), F.min("first").alias("id"))

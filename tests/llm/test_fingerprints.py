@@ -116,3 +116,54 @@ def test_empty_table(spark):
     assert simhash.one_of_each(docs).count() == 0
     assert simhash.fingerprint_of(None, 3) == 0
     assert docs.select(simhash.fingerprint(F.col("text"))).count() == 0
+
+
+def test_bucket_size_changes_no_result(spark):
+    rng = np.random.default_rng(8)
+    nodes = []
+    for base in rng.integers(0, 2**63, (40, 4)):  # pairs about 40 of 256 bits apart, in buckets that all of them share
+        for _ in range(2):
+            noise = np.packbits(rng.random(256) < 0.085, bitorder="little").view(np.int64)
+            nodes.append((base ^ noise).tolist())
+    prints = spark.createDataFrame(list(enumerate(nodes)), "node long, fp array<long>")
+    one, many = ([(r["a"], r["b"]) for r in simhash.link_similar(prints, 0.8, limit).collect()] for limit in (8192, 2))
+    assert roots(80, one) == roots(80, many)
+
+
+def share(a, b):
+    a, b = set(simhash.shingles_of(a, 5)), set(simhash.shingles_of(b, 5))
+    return len(a & b) / len(a | b)
+
+
+def kept_ids(spark, texts, block=None):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+
+
+def test_short_pairs_inside_a_templated_family(spark):
+    """Texts of one template that lie below the share, among them pairs above it."""
+    template = [f"t{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        texts.append(" ".join([*template, *(f"own{i}x{k}" for k in range(8))]))
+        if i % 3 == 0:
+            texts.append(texts[-1] + " more")
+    want = [i for i, root in enumerate(roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= 0.8])) if root == i]
+    assert len(want) == 150
+    assert kept_ids(spark, texts) == want
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_shares_inside_a_component(spark, block):
+    rng = np.random.default_rng(2)
+    sets = []
+    for base in range(6):
+        for _ in range(12):
+            sets.append(sorted({base * 1000 + int(x) for x in rng.choice(60, 52, replace=False)}))
+    rows = [(i, i // 36 * 36, x) for i, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, root long, shingles array<long>")
+    found = [(r["a"], r["b"]) for r in simhash.link_shared(members, 0.8, block).collect()]
+    close = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))
+    want = [(i, j) for i in range(72) for j in range(i) if i // 36 == j // 36 and close(i, j)]
+    assert all(close(a, b) for a, b in found)
+    assert roots(72, found) == roots(72, want) and 6 < len(set(roots(72, want))) < 72
