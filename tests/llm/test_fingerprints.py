@@ -120,14 +120,15 @@ def test_empty_table(spark):
 
 def test_bucket_size_changes_no_result(spark):
     rng = np.random.default_rng(8)
-    nodes = []
-    for base in rng.integers(0, 2**63, (40, 4)):  # pairs about 40 of 256 bits apart, in buckets that all of them share
-        for _ in range(2):
-            noise = np.packbits(rng.random(256) < 0.085, bitorder="little").view(np.int64)
-            nodes.append((base ^ noise).tolist())
-    prints = spark.createDataFrame(list(enumerate(nodes)), "node long, fp array<long>")
+    base = rng.integers(0, 2**63, 4)
+    apart = (simhash.differing_bits(0.8) + 12) / 256  # most pairs differ in more bits than are linked
+    rows = []
+    for i in range(200):
+        noise = np.packbits(rng.random(256) < (1 - (1 - 2 * apart) ** 0.5) / 2, bitorder="little").view(np.int64)
+        rows.append((i, (base ^ noise).tolist()))
+    prints = spark.createDataFrame(rows, "node long, fp array<long>")
     one, many = ([(r["a"], r["b"]) for r in simhash.link_similar(prints, 0.8, limit).collect()] for limit in (8192, 2))
-    assert roots(80, one) == roots(80, many)
+    assert roots(200, one) == roots(200, many) and 1 < len(set(roots(200, one))) < 200
 
 
 def share(a, b):
@@ -135,22 +136,17 @@ def share(a, b):
     return len(a & b) / len(a | b)
 
 
-def kept_ids(spark, texts, block=None):
+def kept_ids(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     return sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
 
 
 def test_short_pairs_inside_a_templated_family(spark):
-    """Texts of one template that lie below the share, among them pairs above it."""
-    template = [f"t{i}" for i in range(40)]
-    texts = []
-    for i in range(150):
-        texts.append(" ".join([*template, *(f"own{i}x{k}" for k in range(8))]))
-        if i % 3 == 0:
-            texts.append(texts[-1] + " more")
-    want = [i for i, root in enumerate(roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= 0.8])) if root == i]
-    assert len(want) == 150
-    assert kept_ids(spark, texts) == want
+    """Texts of one template at a share of 0.786, among them pairs at 0.818."""
+    template = [f"t{i}" for i in range(48)]
+    texts = [" ".join([*template, f"pair{i // 2}", *(f"own{i}x{k}" for k in range(5))]) for i in range(400)]
+    assert share(texts[0], texts[2]) < 0.8 <= share(texts[0], texts[1])
+    assert kept_ids(spark, texts) == list(range(0, 400, 2))
 
 
 @pytest.mark.parametrize("block", [256, 7])
@@ -167,3 +163,19 @@ def test_shares_inside_a_component(spark, block):
     want = [(i, j) for i in range(72) for j in range(i) if i // 36 == j // 36 and close(i, j)]
     assert all(close(a, b) for a, b in found)
     assert roots(72, found) == roots(72, want) and 6 < len(set(roots(72, want))) < 72
+
+
+def test_long_texts_below_the_share_stay(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts, changes = [" ".join(words)], {}
+    for n in (6, 12, 18, 24, 30):  # every change of a word costs five shingles
+        changed = words.copy()
+        for k in range(n):
+            changed[5 + 13 * k] = f"n{n}k{k}"
+        texts.append(" ".join(changed))
+        changes[len(texts) - 1] = share(texts[0], texts[-1])
+    line = " ".join(f"line{i}" for i in range(8))  # two pages that share one line, repeated more often than they have other words
+    texts += [" ".join([line] * 200 + [f"page{p}w{i}" for i in range(600)]) for p in (1, 2)]
+    assert any(0.6 < s < 0.8 for s in changes.values()) and any(s >= 0.8 for s in changes.values())
+    want = [i for i, root in enumerate(roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= 0.8])) if root == i]
+    assert kept_ids(spark, texts) == want
