@@ -23,7 +23,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: ``[A-Z0-9]+`` of at least 12 more characters, and ``[0-9a-f]+`` of at least 32: the same matches as finding all and dropping short ones.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
 FALSE_SHARE, REJECT_Z = 0.01, 3.3
 #: Steps of the grid of p-values for one power of ten, and its last step.
 STEPS, LAST = 4, 80

@@ -49,6 +49,21 @@ def test_ordinary_tokens_alone_are_not_found(spark):
     assert secrets.scan(docs).filter(F.size("spans") > 0).count() == 0
 
 
+def test_random_tokens_after_an_equals_sign(spark):
+    rng = random.Random(9)
+    forms = ["AUTH={}", "export CREDENTIAL={}", "x := {}", "y :={}", "https://h.example/p?sig={}&n=1", "?a=b&key={}", "AVERYLONGNAMEOFAVARIABLE={}", "k=={}", "a='{}'"]
+    rows = []
+    for i in range(90):
+        token = random_token(rng, 33)
+        rows.append((i, "é " + forms[i % len(forms)].format(token) + " end", token))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["id"]: [tuple(x) for x in r["spans"]] for r in secrets.scan(docs).collect()}
+    held = [(t.index(token), 3, t.index(token) + len(token)) in got[i] for i, t, token in rows]
+    for k, form in enumerate(forms):
+        assert sum(held[k :: len(forms)]) >= 9, form
+    assert not any("AVERYLONGNAME" in t[s:e] for i, t, _ in rows for s, _, e in got[i])
+
+
 def test_masking(spark):
     rows = [(1, "é😀 token = abcdefgh1 end", 24), (1, "é😀 token = abcdefgh1 end", 24), (None, None, None), (2, "", 0), (3, "token=" + "a1" * 20 + "!", 47), (4, "clean", 5)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_chars long, found string")
