@@ -7,8 +7,8 @@ the best division into segments and single outside tokens, so boundaries and typ
 the forward-backward sums of the same recursion give the expected features.
 
 Training takes at most ``max_rows`` texts in which a pattern matches; the matches are the marks, and written variants of them (an address spelled
-out, a number without its plus sign) teach the field forms that no pattern has. A segment is added if it touches no match of a
-pattern and its score against lying outside exceeds ``MARGIN``.
+out, a number without its plus sign) teach the field forms that no pattern has. A stretch is cut at the matches of patterns, and what lies
+between them is divided by itself. A segment is added if its score against lying outside exceeds ``MARGIN``.
 
 Offsets are code points, the end exclusive. A null text is an empty text and has no span; repeated rows are searched alike; an empty table gives an
 empty result; without matches to learn from nothing is added; other columns are ignored. Whole texts are searched.
@@ -280,21 +280,40 @@ def fit(docs: DataFrame, max_rows: int = 300, id_col: str = "doc_id", text_col:
     return train([x for r in rows for x in _variants(r.text, [(r.kind, r.s, r.e)], rng)])
 
 
+def between(text: str, start: int, end: int, weights: Weights) -> list[tuple[int, int, int]]:
+    """What the field finds in the part of a stretch that lies before, between or behind matches of the patterns."""
+    out = []
+    for s, e in stretches(text[start:end]) if start < end else []:
+        out += decode(Lattice(text, start + s, start + e), weights)
+    return out
+
+
 def spans_of(text: str | None, weights: Weights) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Matches of the patterns, and all spans with those that the field adds; by kind, then start."""
     text = text or ""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
     added = []
     if weights:
         import bisect
 
+        taken: list[list[int]] = []  # matches that overlap, put together
+        for start, end in sorted((s, e) for _, s, e in base):
+            if taken and start < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], end)
+            else:
+                taken.append([start, end])
+        ends = [e for _, e in taken]
+        blank = text  # as in training, no match stands beside what is searched
+        if taken:
+            blank = "".join(text[low:s] + " " * (e - s) for low, (s, e) in zip([0, *ends], taken)) + text[ends[-1] :]
         for start, end in stretches(text):
-            at = bisect.bisect_left(starts, end)
-            if any(e > start for _, e in taken[max(0, at - 4) : at]):
-                continue  # a pattern has found what lies here
-            added += decode(Lattice(text, start, end), weights)
+            low = start
+            for s, e in taken[bisect.bisect_right(ends, start) :]:
+                if s >= end:
+                    break
+                added += between(blank, low, s, weights)
+                low = e
+            added += decode(Lattice(text, start, end), weights) if low == start else between(blank, low, end, weights)
     return base, sorted(base + added)
 
 

@@ -82,6 +82,16 @@ def test_unseen_forms(weights):
     assert [[k for k, _, _ in spans] for _, spans in found] == [[3], [2], [2]] and all(not base for base, _ in found)
 
 
+def test_what_lies_beside_a_match_is_searched(weights):
+    cases = [("the shon 10.0.0.1 (555) 123-4567 hested", "10.0.0.1", "555) 123-4567"), ("paid 4111/1111/1111/1111/10.0.0.1 then", "10.0.0.1", "4111/1111/1111/1111")]
+    for text, matched, other in cases:
+        base, spans = pii.spans_of(text, weights)
+        assert [text[s:e] for _, s, e in base] == [matched]
+        added = [x for x in spans if x not in base]
+        assert any(other in text[s:e] for _, s, e in added), (text, added)
+        assert all(e <= base[0][1] or s >= base[0][2] for _, s, e in added)
+
+
 def test_plain_numbers_stay(weights):
     for text in ["in 1999-12-31 and 3.14.15", "total 123456789 units", "a 1 2 3 4 5 6 7 8 9 10 b", "met at noon.then at 5 pm", "1,234,567 people", "v1.2.3.4000"]:
         assert pii.spans_of(text, weights) == ([], [])
