@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import bpe, chat, decontam, language, pii, quality, repeats, rules, secrets, simhash
+from netwarden.llm import bpe, chat, codes, decontam, infill, language, pii, quality, repeats, rules, secrets, simhash, vectors
 from netwarden.llm.frames import held_out, table
 
 QUERIES = {}
@@ -126,3 +126,29 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         s["lines"]["dup"].cast("long").alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
         s["base_failed"].alias("base_failed"), s["kept"].alias("kept"),
     )
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.search(rows, rows.filter(F.col("vec_id") % 20 == 0), vectors.fit(rows))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and rebuilt from what was written."""
+    filled = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return filled.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector, its error and that of all rows with its label."""
+    model = codes.fit(table(spark, sf_dir, "embeddings"))
+    coded = codes.error_by_label(codes.encode(model, spark))
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(model.digest()).alias("codebooks_sha256"))
