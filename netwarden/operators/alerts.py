@@ -41,12 +41,15 @@ def mapping_gaps(classes: DataFrame, column: str = "attack_type") -> DataFrame:
     )
 
 
+def is_emitted(min_confidence: float = 0.0, emit_normal: bool = False) -> Column:
+    """Whether a scored record becomes an alert."""
+    keep = F.col("confidence") >= min_confidence
+    return keep if emit_normal else keep & (F.col("attack_type") != "Normal")
+
+
 def emit_alerts(scored: DataFrame, min_confidence: float = 0.0, emit_normal: bool = False) -> DataFrame:
     """Drop Normal and weak predictions; clean the provenance fields of what remains."""
-    keep = F.col("confidence") >= min_confidence
-    if not emit_normal:
-        keep = keep & (F.col("attack_type") != "Normal")
-    return scored.filter(keep).withColumn("source_id", canonicalize(F.col("source_id"))).withColumn(
+    return scored.filter(is_emitted(min_confidence, emit_normal)).withColumn("source_id", canonicalize(F.col("source_id"))).withColumn(
         "target_asset", canonicalize(F.col("target_asset"))
     )
 

@@ -6,11 +6,12 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from netwarden.constants import CAPABILITY_PROSE, KNOWLEDGE, RATIONALE, THREAT_MAP
 from netwarden.functions.text import unicode_regex, words
-from netwarden.session import checkpointed
+from netwarden.operators import postings
+from netwarden.session import stored
 
 MIN_SCORE = 0.05
 NAMED_FLOOR = 0.6
@@ -31,13 +32,9 @@ def inverse_document_frequency(counts: DataFrame, n_docs: int) -> DataFrame:
     )
 
 
-def weighted(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, w) with unnormalized tf*idf; terms outside the vocabulary drop out."""
-    return counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-
-
-def norms(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def weighted(counts: DataFrame, idf: DataFrame, key: str, parts: int = 1) -> DataFrame:
+    """(key, term, w) with unnormalized tf*idf; terms outside the vocabulary drop out, and a term's rows are spread over ``parts``."""
+    return postings.join_terms(counts, idf, key, parts).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def retrieve(
@@ -48,33 +45,29 @@ def retrieve(
     query_key: str = "query_id",
     query_text: str = "query",
     top_k: int = 2,
+    part_docs: int = postings.PART_DOCS,
 ) -> DataFrame:
     """The ``top_k`` documents per query by TF-IDF cosine, above the minimum score.
 
-    Only (document, query) pairs that share a term are ever formed, and each map task
-    keeps at most ``top_k`` rows per query before the final shuffle.
+    Only postings that can lift a document over the minimum and the query's k-th score are opened.
     """
-    n_docs = corpus.count()
-    # Terms are counted once; document frequencies, weights and norms read the counts.
-    counts = checkpointed(term_counts(corpus, doc_key, doc_text))
-    idf = inverse_document_frequency(counts, n_docs)
-    docs = weighted(counts, idf, doc_key)
-    asked = weighted(term_counts(queries, query_key, query_text), idf, query_key)
-    doc_norms = norms(docs, doc_key)
-    query_norms = norms(asked, query_key)
-    dot = (
-        docs.join(asked.withColumnRenamed("w", "__wq"), "term")
-        .groupBy(doc_key, query_key)
-        .agg(F.sum(F.col("w") * F.col("__wq")).alias("__dot"))
-    )
-    scored = (
-        dot.join(doc_norms, doc_key)
-        .join(query_norms.withColumnRenamed("norm", "__nq"), query_key)
-        .select(query_key, doc_key, (F.col("__dot") / (F.col("norm") * F.col("__nq"))).alias("score"))
-        .filter(F.col("score") > MIN_SCORE)
-    )
-    best = Window.partitionBy(query_key).orderBy(F.round("score", 12).desc(), F.col(doc_key).desc())
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top_k)
+    n_docs, n_queries = corpus.count(), queries.count()
+    parts, query_parts = postings.parts_of(n_docs, part_docs), postings.parts_of(n_queries, part_docs)
+    # Terms are counted once; document frequencies, weights and lengths read the counts.
+    counts = stored(term_counts(corpus, doc_key, doc_text), "terms")
+    idf = stored(inverse_document_frequency(counts, n_docs), "idf")
+    docs, asked = weights_of(counts, term_counts(queries, query_key, query_text), idf, doc_key, query_key, parts, query_parts)
+    return postings.search(docs, stored(asked, "asked"), doc_key, query_key, top_k, MIN_SCORE, parts, query_parts)
+
+
+def weights_of(
+    counts: DataFrame, asked_counts: DataFrame, idf: DataFrame, doc_key: str, query_key: str, parts: int = 1, query_parts: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Normalized weights (key, term, w) of what documents hold of the terms asked for, and of the queries."""
+    asked = weighted(asked_counts, idf, query_key, query_parts)
+    wanted = idf.join(asked_counts.select("term").distinct(), "term", "left_semi")
+    docs = postings.normalized(weighted(counts, wanted, doc_key, parts), postings.lengths(weighted(counts, idf, doc_key, parts), doc_key), doc_key)
+    return docs, postings.normalized(asked, postings.lengths(asked, query_key), query_key)
 
 
 def knowledge_base(spark) -> DataFrame:

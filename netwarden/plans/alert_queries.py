@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netwarden.constants import HIDDEN_WORDS, RATIONALE, THREAT_MAP
 from netwarden import fixtures
 from netwarden.functions import text
-from netwarden.operators import alerts, retrieval
+from netwarden.operators import alerts, postings, retrieval
 from netwarden.plans.registry import Tables, query
 
 
@@ -263,7 +263,8 @@ doc_n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM doc_w GROUP BY 1)"""
 def _(t: Tables):
     docs = documents(t)
     counts = retrieval.term_counts(docs, "doc_id", "text")
-    vectors = retrieval.weighted(counts, retrieval.inverse_document_frequency(counts, docs.count()), "doc_id")
+    n_docs = docs.count()
+    vectors = retrieval.weighted(counts, retrieval.inverse_document_frequency(counts, n_docs), "doc_id", postings.parts_of(n_docs, postings.PART_DOCS))
     return vectors.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"),
         F.round(F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("top_weight"),

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from netwarden import fixtures
 from netwarden.functions.ordered import micros
 from netwarden.operators import detector, features, metrics, split
+from netwarden.operators.alerts import is_emitted
 from netwarden.plans.audit_queries import _page_hinkley, _REPUTATION, _chain_sql, _ema_sql, _text_sql, entry_text, rounded
 from netwarden.plans.registry import Tables, query
 from netwarden.session import checkpointed, scratch_folder
 from netwarden.sources import files, pcap, streams
-from netwarden.streaming import jobs
+from netwarden.streaming import jobs, statistics
 
 
 def stream(t: Tables, name: str):
@@ -83,14 +84,39 @@ def captures(t: Tables):
     )
 
 
+def capture_packets(t: Tables):
+    folder = scratch_folder(t.spark, "captures")
+    pcap.write_captures(captures(t), folder)
+    packets = pcap.read_packets(t.spark, folder, range_bytes=1500)
+    return packets.withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+
+
 @query("packet_timestamps", "", "SELECT 'capture-' || event_id // 100 AS path, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS packet_no, epoch_us(ts) AS ts_us FROM events")
 def _(t: Tables):
-    return pcap.packet_timestamps(captures(t))
+    """Read from files, in ranges that cut through records."""
+    return pcap.numbered(capture_packets(t))
 
 
 @query("packet_counts", "", "SELECT 'capture-' || event_id // 100 AS path, count(*) AS packets FROM events GROUP BY 1")
 def _(t: Tables):
-    return pcap.packet_counts(pcap.packet_timestamps(captures(t)))
+    return pcap.packet_counts(capture_packets(t))
+
+
+@query("message_records", "", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def _(t: Tables):
+    """A topic read by a query that is stopped halfway and resumed after the topic has grown."""
+    topic, out = scratch_folder(t.spark, "topic"), scratch_folder(t.spark, "messages")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    lines = t.events.select("event_id", F.when(F.col("event_id") % 5 == 0, "{broken").when(F.col("event_id") % 7 == 0, "  ").otherwise(line).alias("value"))
+    for half in (0, 1):
+        lines.filter(F.col("event_id") % 2 == half).select("value").repartition(3).write.mode("append").text(topic)
+        records = streams.message_records(t.spark, topic, ["event_id", "event_type"], bytes_per_trigger=1 << 20, range_bytes=1 << 16, progress=f"{out}/progress.json")
+        run = records.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return t.spark.read.schema(records.schema).parquet(f"{out}/rows")
 
 
 @query("json_records", "", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
@@ -216,6 +242,25 @@ def _(t: Tables):
     return both.agg(F.count("__live").alias("alerts"), F.count_if(F.col("__live").isNull()).alias("missing"), F.count_if(F.col("__batch").isNull()).alias("extra"))
 
 
+@query("stream_run_statistics", "alerts", """SELECT count(*) AS records_read, count(*) FILTER (attack_type <> 'Normal' AND confidence >= CAST(0.4 AS DOUBLE)) AS alerts_emitted,
+count(*) FILTER (NOT (attack_type <> 'Normal' AND confidence >= CAST(0.4 AS DOUBLE))) AS alerts_suppressed, true AS timed FROM alerts""")
+def _(t: Tables):
+    """What a run over scored records told about itself, batch by batch, added up."""
+    listener = statistics.RunStatistics()
+    t.spark.streams.addListener(listener)
+    try:
+        scored = statistics.observed(stream(t, "alerts"), 0.4)
+        folder = scratch_folder(t.spark, "statistics")
+        run = scored.filter(is_emitted(0.4)).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+        listener.wait(run)
+    finally:
+        t.spark.streams.removeListener(listener)
+    total = statistics.totals(listener.table(t.spark))
+    timed = (F.col("records_per_second") > 0) & (F.col("processing_seconds") > 0) & (F.col("total_seconds") >= F.col("processing_seconds"))
+    return total.select(*statistics.COUNTS, timed.alias("timed"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 @query("stream_sessions", "traffic", """WITH keyed AS (SELECT epoch_us(ts) AS t, row_id, least("ip.src_host", "ip.dst_host") || '|' || greatest("ip.src_host", "ip.dst_host") AS flow_key FROM traffic),
@@ -284,7 +329,9 @@ def _(t: Tables):
 
 @query("stream_repeat_incidents", "alerts", """SELECT alert_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY coalesce(source_id, 'unknown-source') ORDER BY ts, alert_id) <= 21600000000, false) AS repeat FROM alerts""")
 def _(t: Tables):
-    return finish(t, "repeat", jobs.repeat_incidents(stream(t, "alerts"), minutes=360)).select("alert_id", "repeat")
+    source, closing = ended(t, "alerts")
+    # The table is a file in no order; a watermark over all of its span lets no row be late.
+    return finish(t, "repeat", jobs.repeat_incidents(source, minutes=360, watermark="1000 days"), closing).select("alert_id", "repeat")
 
 
 _ENTRY = _text_sql("sequence", "epoch_us(ts)", "incident_id", "agent_id", "accepted", "trust_level", "terminal_stage")

@@ -59,3 +59,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files, on the same shared storage as checkpoints."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared scratch folder and read again: like a checkpoint, but columns can be left out, and its
+    size is known to the planner."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from netwarden.operators.clean import coerce_numeric
 from netwarden.operators.features import FeatureModel
 from netwarden.schemas import LOGS
+from netwarden.sources import ranges
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -73,9 +76,20 @@ def load_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, FeatureMod
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file below ``path`` that is not empty; a task holds one piece of a file at a time."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def digest(batches):
+        for batch in batches:
+            found = []
+            for file in batch.column("path").to_pylist():
+                total = hashlib.sha256()
+                for piece in ranges.chunks(file):
+                    total.update(piece)
+                found.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+    return listed.mapInArrow(digest, "path string, length long, sha256 string")
 
 
 def write_manifest(digests: DataFrame, path: str, status: str | None = None) -> None:

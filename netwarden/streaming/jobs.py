@@ -13,11 +13,12 @@ from netwarden.functions.ordered import micros
 from netwarden.operators import alerts as alert_ops, audit, detector, features
 from netwarden.operators.analytics import fresh_detector, page_hinkley_step
 from netwarden.operators.flows import add_flow_key
-from netwarden.streaming.state import stream_fold
+from netwarden.streaming import statistics
+from netwarden.streaming.state import predecessor_within, stream_fold
 
 WATERMARK = "10 minutes"
-#: A time after all records, from which a bounded source is over.
-END_OF_TIME = "9999-01-01 00:00:00"
+#: A time after all records, from which a bounded source is over; nanoseconds in 64 bits reach it.
+END_OF_TIME = "2250-01-01 00:00:00"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -73,10 +74,10 @@ def late_rows(query: StreamingQuery) -> int:
 def detect_alerts(
     records: DataFrame, model: features.FeatureModel, classifier, min_confidence: float = 0.0, emit_normal: bool = False
 ) -> DataFrame:
-    """Record stream -> frozen encoding -> prediction -> alerts."""
+    """Record stream -> frozen encoding -> prediction -> alerts, counted for ``statistics.RunStatistics`` on the way."""
     scored = detector.predict(features.encode(records, model), classifier)
     named = scored.withColumn("attack_type", detector.class_name(F.col("class_index"), model.classes)).drop("features", "class_index")
-    return alert_ops.emit_alerts(named, min_confidence, emit_normal)
+    return alert_ops.emit_alerts(statistics.observed(named, min_confidence, emit_normal), min_confidence, emit_normal)
 
 
 def live_sessions(records: DataFrame, ts: str = "ts", gap: str = "30 seconds", columns: Sequence[str] | None = None, watermark: str = WATERMARK) -> DataFrame:
@@ -174,19 +175,14 @@ def running_trust(scores: DataFrame, key: str, order: str, value: str, alpha: fl
     )
 
 
-def repeat_incidents(alerts: DataFrame, alert_id: str = "alert_id", ts: str = "ts", minutes: int = 30) -> DataFrame:
-    """Whether the source had an incident in the window; only its last time is kept as state."""
-    width = minutes * 60 * 1_000_000
+def repeat_incidents(alerts: DataFrame, alert_id: str = "alert_id", ts: str = "ts", minutes: int = 30, watermark: str = WATERMARK) -> DataFrame:
+    """Whether the source had an earlier incident in the window, as the batch rule has it.
 
-    def fold(rows: pd.DataFrame, state: dict | None):
-        last, repeats = (state["last"] if state else None), []
-        for at in rows["t"]:
-            repeats.append(last is not None and at - last <= width)
-            last = int(at)
-        return rows[[alert_id]].assign(repeat=repeats), {"last": last}
-
-    keyed = alerts.select(F.coalesce("source_id", F.lit(alert_ops.UNKNOWN_SOURCE)).alias("source"), alert_id, micros(ts).alias("t"))
-    return stream_fold(keyed, ["source"], ["t", alert_id], fold, f"{alert_id} long, repeat boolean", "last long")
+    An alert's flag comes when the watermark has passed it, so alerts may come in any order within the watermark; later ones are dropped and
+    counted by the query's progress. State is kept per source and window, and forgotten behind the watermark.
+    """
+    keyed = alerts.select(F.coalesce("source_id", F.lit(alert_ops.UNKNOWN_SOURCE)).alias("source"), alert_id, F.col(ts).cast("timestamp").alias("event_time"))
+    return predecessor_within(keyed.withWatermark("event_time", watermark), "source", alert_id, "event_time", minutes * 60 * 1_000_000)
 
 
 def chained_sink(entries: DataFrame, path: str, checkpoint: str, chain: str = "log_id", order: str = "sequence") -> StreamingQuery:

@@ -1,6 +1,9 @@
 """Small literal cases per operator."""
 
+import math
+import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from netwarden.functions import text
 from netwarden.operators import (
-    alerts, analytics, anomaly, audit, clean, evaluate as ev, features, flows, metrics, profile, retrieval, split, trust, updates,
+    alerts, analytics, anomaly, audit, clean, evaluate as ev, features, flows, metrics, postings, profile, retrieval, split, trust, updates,
 )
 from netwarden.session import scratch_folder
 from netwarden.sources import files, pcap
@@ -191,6 +194,56 @@ def test_retrieval_matches_brute_force(spark):
     assert [(r["doc_id"], pytest.approx(r["score"])) for r in sorted(got, key=lambda r: r["place"])] == [(1, one), (2, two)]
 
 
+def cosines(docs, asked, k):
+    """(query, doc, place) by brute force."""
+    tokens = lambda t: Counter(re.findall(r"\w{2,}", t.lower()))
+    df = Counter(w for _, t in docs for w in tokens(t))  # a text's distinct words
+    idf = {w: math.log((1 + len(docs)) / (1 + n)) + 1 for w, n in df.items()}
+    vector = lambda t: {w: n * idf[w] for w, n in tokens(t).items() if w in idf}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    out = []
+    for q, text in asked:
+        u = vector(text)
+        scored = []
+        for d, t in docs:
+            v = vector(t)
+            scored.append((round(sum(x * v.get(w, 0.0) for w, x in u.items()) / length(u) / length(v), 12), d))
+        out += [(q, d, i + 1, s) for i, (s, d) in enumerate(sorted([x for x in scored if x[0] > 0.05], reverse=True)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part_docs,probe,share", [(100_000, 512, 0.6), (40, 20, 1.0), (7, 0, 0.3)])
+def test_bounded_retrieval_gives_what_all_pairs_give(spark, monkeypatch, part_docs, probe, share):
+    """Common words are in every text; blocks are dealt over parts, with good and bad bounds."""
+    monkeypatch.setattr(postings, "PROBE_ROWS", probe)
+    monkeypatch.setattr(postings, "CLOSED_SHARE", share)
+    rng = np.random.default_rng(4)
+    names = [f"w{i}" for i in range(400)]
+    weights = 1.0 / np.arange(1, 401)
+    text = lambda n: " ".join(["the", "of", *rng.choice(names, n, p=weights / weights.sum())])
+    docs = [(i, text(int(rng.integers(1, 60)))) for i in range(300)] + [(300 + i, "the of w1 w2") for i in range(20)]
+    asked = [(f"q{i}", text(int(rng.integers(1, 25)))) for i in range(25)] + [("all", "the of"), ("none", "unknown words")]
+    corpus, queries = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id string, query string")
+    for k in (1, 3):
+        got = sorted((r["query_id"], r["doc_id"], r["place"], round(r["score"], 12)) for r in retrieval.retrieve(corpus, queries, top_k=k, part_docs=part_docs).collect())
+        want = cosines(docs, asked, k)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
+
+
+def test_few_pairs_are_scored(spark):
+    """Of the pairs that share a term, few get as far as being scored."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    counts = retrieval.term_counts(docs, "doc_id", "text")
+    idf = retrieval.inverse_document_frequency(counts, docs.count())
+    known, wanted = retrieval.weights_of(counts, retrieval.term_counts(asked, "item_id", "text"), idf, "doc_id", "item_id")
+    held, cut = postings.plans(known, wanted, "doc_id", "item_id", 3, 0.05)
+    met = postings.candidates(cut, held, 1, "item_id", "doc_id").count()
+    sharing = held.join(wanted.select("item_id", "term"), "term").select("doc_id", "item_id").distinct().count()
+    assert met < sharing / 3
+
+
 def test_semantic_risk_floor(spark):
     df = spark.createDataFrame([("Saw DDoS UDP again", "Medium severity DDoS_UDP detected", "DDoS_UDP"), ("", "x", "XSS")], "r string, t string, a string")
     got = [x[0] for x in df.select(retrieval.semantic_risk(F.col("r"), F.col("t"), F.col("a"))).collect()]
