@@ -6,8 +6,10 @@ one diagonal (same distance between their positions) must fill the item's slots
 the document, and no two become one. A document holds an item when windows on consistent diagonals make up at least ``COVERAGE`` of the
 item's windows.
 
-Items under ``WINDOW`` tokens are one window of their own length; those under ``WHOLE`` tokens only match documents that have no further token.
-A window counts only if at least half of its tokens are words. Null or empty texts have no tokens and match nothing; repeated rows
+Items under ``WINDOW`` tokens are one window of their own length; those under ``WHOLE`` tokens match documents that have no further token, or, from
+``SHORTEST`` tokens on and with a slot, documents that hold them with the same values. A window of which less than half are words is matched with its values; an item counts as held by half
+of its windows, or by half of those that are matched without values. On a diagonal that is not consistent only windows without a changed value count. Numbers of any
+length and texts that are all numbers are tokens like others. Null or empty texts have no tokens and match nothing; repeated rows
 of one id give one row; an item that occurs twice in the benchmark counts under both ids; empty tables give an empty result; other columns are ignored.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netwarden.llm.frames import let
 
-WINDOW, WHOLE, COVERAGE = 8, 5, 0.5
+WINDOW, WHOLE, SHORTEST, COVERAGE = 8, 5, 3, 0.5
 #: Benchmark windows that are broadcast at most (about 30 bytes each); more of them meet the documents in a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -35,7 +37,7 @@ SLOTS = f"[{NAME}-{UNIT}]"
 def tokens(text: Column) -> Column:
     """Lower-case words, and slots as a placeholder followed by its value."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), SLOTS, " ")
-    numbers = F.regexp_replace(clean, r"\p{Nd}+(?:[.,]\p{Nd}+)*", f" {NUMBER}$0 ")
+    numbers = F.regexp_replace(clean, r"\p{Nd}++(?:[.,]\p{Nd}++)*+", f" {NUMBER}$0 ")
     units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}.,]{{1,24}} \s{{0,4}})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f" {UNIT}$0 ")
     with_units = F.when(numbers.contains(NUMBER), units).otherwise(numbers)
     names = F.regexp_replace(with_units, r"\p{Lu}(?<=[\p{Ll},;]\s{1,4}\p{Lu})[\p{L}\p{M}]*", f" {NAME}$0 ")
@@ -51,22 +53,35 @@ def _template(token: Column) -> Column:
 
 
 def windows(text: Column, lengths: list[int]) -> Column:
-    """Array of (position, hash of the template, slot values) for every window of the given lengths."""
+    """Array of (position, hash of the template, whether that has the values too, slot values) for every window of the given lengths."""
 
     def of_length(w: Column, template: Column, slotted: Column, length: int) -> Column:
-        fits = F.size(w) == length if length < WHOLE else F.size(w) >= length
-        starts = F.when(fits, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
-        hashed = F.xxhash64
+        none = F.array().cast("array<int>")
+        starts = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(none)
 
-        def window(i: Column) -> Column:
-            own = F.filter(F.slice(w, i + 1, length), _is_slot)
-            return F.struct(
-                i.alias("pos"), hashed(F.lit(length), *[F.get(template, i + k) for k in range(length)]).alias("h"),
-                F.when(slotted, own).alias("slots"),
-            )
+        def plain(i: Column) -> Column:
+            return F.xxhash64(F.lit(length), *[F.get(template, i + k) for k in range(length)])
 
-        made = F.transform(starts, window)
-        return F.when(slotted, F.filter(made, lambda x: 2 * F.size(x["slots"]) <= length)).otherwise(made)
+        def window(i: Column, own: Column, heavy: Column) -> Column:
+            # What is mostly slots says too little without its values; a name there is a word like any other.
+            verbatim = F.xxhash64(F.lit(-length), *[F.ltrim(F.get(w, i + k), F.lit(NAME)) for k in range(length)])
+            return F.struct(i.alias("pos"), F.when(heavy, verbatim).otherwise(plain(i)).alias("h"), heavy.alias("heavy"), F.when(~heavy, own).alias("slots"))
+
+        def slots(i: Column) -> Column:
+            return F.filter(F.slice(w, i + 1, length), _is_slot)
+
+        def free(i: Column) -> Column:
+            return F.struct(i.alias("pos"), plain(i).alias("h"), F.lit(False).alias("heavy"), F.lit(None).cast("array<string>").alias("slots"))
+
+        if length >= WHOLE:
+            with_slots = F.transform(starts, lambda i: let(slots(i), lambda own: window(i, own, 2 * F.size(own) > length)))
+            return F.when(slotted, with_slots).otherwise(F.transform(starts, free))
+        # Few plain words stand in any text: they count only where they are all of it, and with a value wherever it stands beside the same words.
+        whole = F.transform(F.when(F.size(w) == length, F.array(F.lit(0))).otherwise(none), lambda i: window(i, slots(i), F.lit(False)))
+        if length < SHORTEST:
+            return whole
+        valued = F.transform(F.filter(F.when(slotted, starts).otherwise(none), lambda i: F.size(slots(i)) > 0), lambda i: window(i, slots(i), F.lit(True)))
+        return F.concat(whole, valued)
 
     def over(pair: Column) -> Column:
         return F.flatten(F.array(*[of_length(pair["w"], pair["t"], pair["s"], n) for n in lengths]))
@@ -85,13 +100,13 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     lengths = sorted(r[0] for r in sized.select("length").distinct().collect())  # at most WINDOW values
     parts = [sized.filter(F.col("length") == n).select("item_id", F.explode(windows(F.col("text"), [n])).alias("w")) for n in lengths]
     if not parts:
-        return sized.select("item_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("own"), F.lit(1).cast("long").alias("n_windows")), [WINDOW]
+        return sized.selectExpr("item_id", "0 at", "0L h", "false heavy", "cast(null as array<string>) own", "1L n_windows", "1L n_light"), [WINDOW]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = out.select("item_id", F.col("w.pos").alias("at"), F.col("w.h").alias("h"), F.col("w.slots").alias("own")).distinct()
-    counts = out.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return out.join(counts, out["item_id"].eqNullSafe(counts["item_id"])).select(out["*"], "n_windows"), lengths
+    out = out.select("item_id", F.col("w.pos").alias("at"), F.col("w.h").alias("h"), F.col("w.heavy").alias("heavy"), F.col("w.slots").alias("own")).distinct()
+    counts = out.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(~F.col("heavy"), F.col("at"))).alias("n_light"))
+    return out.join(counts, out["item_id"].eqNullSafe(counts["item_id"])).select(out["*"], "n_windows", "n_light"), lengths
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,21 +114,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted, lengths = benchmark_windows(items)
     if wanted.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    own = docs.select(F.col(id_col).alias("id"), F.explode(windows(F.col(text_col), lengths)).alias("w")).select("id", "w.*")
+    own = docs.select(F.col(id_col).alias("id"), F.explode(windows(F.col(text_col), lengths)).alias("w")).select("id", "w.pos", "w.h", "w.slots")
     hits = own.join(wanted, "h").filter(F.size(F.coalesce("slots", F.array())) == F.size(F.coalesce("own", F.array())))
     none = F.array().cast("array<struct<own:string,slots:string>>")
     pairs = F.coalesce(F.arrays_zip("own", "slots"), none)
-    diagonals = hits.groupBy("id", "item_id", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
+    same = F.coalesce(F.col("own") == F.col("slots"), F.lit(True))
+    diagonals = hits.groupBy("id", "item_id", "n_windows", "n_light", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+        F.collect_set(F.struct("at", "heavy", same.alias("same"))).alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
     )
     n = F.size("pairs")
     steady = (n == F.size(F.array_distinct(F.transform("pairs", lambda p: p["own"])))) & (n == F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))))
-    held = diagonals.filter(steady).groupBy("id", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"),
+    # Where one slot is filled inconsistently, what stands there unchanged still counts.
+    diagonals = diagonals.withColumn("steady", steady)
+    held = diagonals.withColumn("at", F.when(F.col("steady"), F.col("at")).otherwise(F.filter("at", lambda x: x["same"])))
+    held = held.withColumn("pairs", F.when(F.col("steady"), F.col("pairs")).otherwise(F.filter("pairs", lambda p: p["own"] == p["slots"]))).filter(F.size("at") > 0)
+    places = F.flatten(F.collect_list("at"))
+    held = held.groupBy("id", "item_id", "n_windows", "n_light").agg(
+        F.size(F.array_distinct(F.transform(places, lambda x: x["at"]))).cast("long").alias("n_matched"),
+        F.size(F.array_distinct(F.transform(F.filter(places, lambda x: ~x["heavy"]), lambda x: x["at"]))).alias("n_light_matched"),
         F.sum(n).cast("long").alias("n_slots"),
         F.sum(F.size(F.filter("pairs", lambda p: p["own"] != p["slots"]))).cast("long").alias("n_changed"),
     )
-    return held.filter(F.col("n_matched") >= COVERAGE * F.col("n_windows")).select("id", "item_id", "n_matched", "n_windows", "n_slots", "n_changed")
+    # A changed copy has only the windows that are matched by their template; a literal one has all.
+    light = (F.col("n_light") > 0) & (F.col("n_light_matched") >= COVERAGE * F.col("n_light"))
+    enough = light | (F.col("n_matched") >= COVERAGE * F.col("n_windows"))
+    return held.filter(enough).select("id", "item_id", "n_matched", "n_windows", "n_slots", "n_changed")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,3 +67,28 @@ def test_no_python_in_the_plan(spark):
     plan = decontam.contaminated(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert docs.select(decontam.tokens(F.col("text"))).count() == docs.count()
+
+
+def held(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame([(k + 100, t) for k, t in enumerate(items)], "item_id long, text string")
+    return {(r["id"], r["item_id"]) for r in decontam.contaminated(d, i).collect()}
+
+
+def test_items_made_of_numbers_and_short_items(spark):
+    items = ["Compute 12 + 7 * 3 - 4 / 2", "Compute 3 plus 4", "what is it"]
+    around = "some words before it and then {} and many other words behind it that say nothing"
+    docs = [around.format(items[0]), around.format("Compute 12 + 7 * 3 - 4 / 9"), around.format(items[1]), around.format("Compute 3 plus 5"), around.format(items[2]), "what is it", "Compute 8 plus 9"]
+    assert held(spark, docs, items) == {(0, 100), (2, 101), (5, 102), (6, 101)}
+
+
+def test_one_inconsistent_slot_costs_only_its_windows(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+    item = f"take 5 apples {words} then take 5 more"
+    assert held(spark, [f"take 6 apples {words} then take 7 more", f"take 6 apples {words} then take 6 more"], [item]) == {(0, 100), (1, 100)}
+
+
+def test_long_runs_of_numbers(spark):
+    """Neither recursion nor time grows with a run of numbers."""
+    docs = [",".join("1" * 5000), "0.25," * 200_000, "1 " * 100_000, "0" * 300_000, "a" * 300_000, "é" * 100_000 + "😀" * 100_000, "1,a" * 100_000]
+    assert held(spark, docs, ["this item is about 7 things that no document has"]) == set()
