@@ -11,7 +11,8 @@ out, a number without its plus sign) teach the field forms that no pattern has.
 between them is divided by itself. A segment is added if its score against lying outside exceeds ``MARGIN``.
 
 Offsets are code points, the end exclusive. A null text is an empty text and has no span; repeated rows are searched alike; an empty table gives an
-empty result; without matches to learn from nothing is added; other columns are ignored. Whole texts are searched.
+empty result; without matches to learn from nothing is added; other columns are ignored. Whole texts are searched; of a long stretch, such as a table of
+numbers, one segment to each of its tokens is held. A stretch of five characters or fewer holds none of the kinds but what the patterns find.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 24
 MARGIN = 2.0
 EPOCHS, RATE, DECAY = 20, 0.5, 1e-5
+#: Tokens of a stretch that is learned from, at most.
+TRAIN_TOKENS = 60
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,8 +43,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: A stretch: an address, written or spelled out, or digits with what may stand between them; up to four words before it give context.
 _STRETCH = re.compile(
-    r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[\[(](?:at|AT)[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]{1,63}){1,4}"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]+"
+    r"(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+"
     r"|[+(]?[0-9](?:[\x20().+/-]{0,2}[0-9])*"
 )
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
@@ -77,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, low))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in m[0].split("."))):
                 out.append((1, m.start(), m.end()))
         for m in _CARD.finditer(text):
             digits = _digits(m[0])
@@ -140,13 +143,18 @@ class Lattice:
             out.append("plus")
         return out + self.context
 
+    def starts(self, j: int):
+        """First tokens of the segments that token j - 1 may end."""
+        last = self.text[self.tokens[j - 1][1] - 1]
+        for i in range(max(0, j - LONGEST), j):
+            first = self.text[self.tokens[i][0]]
+            if (first.isalnum() or first in "+(") and last.isalnum() and j - i > 1 or j - i == 1 and self.tokens[i][1] - self.tokens[i][0] > 5:
+                yield i
+
     def segments(self):
-        n = len(self.tokens)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                first, last = self.text[self.tokens[i][0]], self.text[self.tokens[j - 1][1] - 1]
-                if (first.isalnum() or first in "+(") and last.isalnum() and j - i > 1 or j - i == 1 and self.tokens[i][1] - self.tokens[i][0] > 5:
-                    yield i, j
+        for j in range(1, len(self.tokens) + 1):
+            for i in self.starts(j):
+                yield i, j
 
 
 Weights = dict[tuple[int, str], float]
@@ -163,16 +171,18 @@ def _scored(lattice: Lattice, weights: Weights) -> dict[int, list[tuple[int, int
 
 
 def decode(lattice: Lattice, weights: Weights) -> list[tuple[int, int, int]]:
-    """The best segments of a stretch whose score exceeds the margin, as (kind, start, end)."""
+    """The best segments of a stretch whose score exceeds the margin, as (kind, start, end); of the segments only the best one to each end is held."""
     n = len(lattice.tokens)
-    by_end = _scored(lattice, weights)
     best = [0.0] * (n + 1)
     back: list[tuple[int, int, float] | None] = [None] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for i, kind, score, _ in by_end.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind, score)
+        for i in lattice.starts(j):
+            names = lattice.features(i, j)
+            for kind in range(len(KINDS)):
+                score = sum(weights.get((kind, name), 0.0) for name in names)
+                if best[i] + score > best[j]:
+                    best[j], back[j] = best[i] + score, (i, kind, score)
     out, j = [], n
     while j:
         if back[j] is None:
@@ -242,6 +252,7 @@ def _variants(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
 
 
 def train(samples: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 11) -> Weights:
+    """Weights from marked neighbourhoods; stretches of over ``TRAIN_TOKENS`` tokens, mostly tables, teach nothing."""
     rng = random.Random(seed)
     weights: Weights = {}
     squares: dict[tuple[int, str], float] = defaultdict(float)
@@ -249,7 +260,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 11)
     for text, spans in samples:
         for start, end in stretches(text):
             lattice = Lattice(text, start, end)
-            if len(lattice.tokens) <= 60:
+            if len(lattice.tokens) <= TRAIN_TOKENS:
                 lattices.append((lattice, {s for s in spans if start <= s[1] and s[2] <= end}))
     for _ in range(EPOCHS):
         rng.shuffle(lattices)

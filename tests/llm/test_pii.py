@@ -114,3 +114,30 @@ def test_variants_mark_their_span():
         for _, s, e in spans:
             assert text[s:e].startswith("john") and text[s:e].endswith("com")
     assert list(itertools.islice(pii.stretches("no number here"), 1)) == []
+
+
+def test_zeros_without_end():
+    assert pii.base_spans("x " + "0" * 5000 + ".1.1.1 y") == [(1, 2, 5008)]
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
+    assert pii.base_spans("000.0.0.00") == [(1, 0, 10)]
+
+
+def test_long_addresses_are_stretches():
+    for text in ["a" * 90 + " at " + "b" * 80 + ".example.org", "a.b at c dot d dot e dot f dot g dot h"]:
+        assert pii.stretches(text) == [(0, len(text))]
+
+
+def test_long_stretches_take_time_in_proportion():
+    import time
+
+    weights = {(3, "digits=10"): 3.0, (2, "luhn=True"): 1.0}
+    spent = []
+    for n in (500, 4000):
+        text = " ".join(str(k) for k in range(n))
+        start = time.process_time()
+        pii.spans_of(text, weights)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 14 * spent[0] + 0.1
+    start = time.process_time()
+    pii.spans_of("a.b-" * 250_000, weights)
+    assert time.process_time() - start < 20
