@@ -136,10 +136,11 @@ def log_probabilities(net: Network, tables: dict[str, np.ndarray], data: np.ndar
 
 def fit(docs: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network learned from at most ``max_rows`` documents with a language whose id is not held out; ``None`` without any."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col), 3, 1))
-    ids = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("chosen")).distinct().orderBy("h", "chosen").limit(max_rows)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = own.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id"), 3, 1))
+    ids = known.select(F.xxhash64("id").alias("h"), F.col("id").alias("chosen")).distinct().orderBy("h", "chosen").limit(max_rows)
     # At most max_rows rows of two numbers, whatever the input; of each text a few windows.
-    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("chosen"))
+    rows = known.join(F.broadcast(ids), F.col("id") == F.col("chosen"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         windows = []
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col:
             windows.append([w.tobytes() for w in chosen])
         return {"h": batch.column(0), "lang": batch.column(1), "windows": pa.array(windows, pa.list_(pa.binary()))}
 
-    got = map_batches(rows.select("h", lang_col, text_col), cut, "h bigint, lang string, windows array<binary>").orderBy("h", "lang", "windows").limit(max_rows).collect()
+    got = map_batches(rows.select("h", "lang", "text"), cut, "h bigint, lang string, windows array<binary>").orderBy("h", "lang", "windows").limit(max_rows).collect()
     if not got:
         return None
     languages = sorted({r.lang for r in got})

@@ -54,3 +54,11 @@ def test_edges(spark):
     nothing = language.fit(docs.limit(0))
     assert nothing is None and {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(docs.limit(0), net).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, "some words in english" if i % 2 else "einige worte auf deutsch", "en" if i % 2 else "de") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ["h", "chosen", "id", "windows", "score", "lang_pred"]:
+        docs = docs.withColumn(name, F.lit("x"))
+    assert language.predict(docs, language.fit(docs)).count() == 12
