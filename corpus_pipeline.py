@@ -33,7 +33,8 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids (packed, little-endian, 32 bits each), their number, and whether they decode to the text."""
+    """Every document with its token ids (packed, little-endian, 32 bits each), their number, and whether they decode to the text,
+    in ``ids``, ``n_tokens`` and ``decodes``; columns of these names are replaced."""
     import public_tokenizers
 
     given = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN

@@ -212,7 +212,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", ok_col: str = "decodes") -> DataFrame:
-    """``docs`` with the packed ids of each text, and whether decoding them gives the text's bytes again."""
+    """``docs`` with the packed ids of each text, and whether decoding them gives the text's bytes again; columns of these names are replaced."""
     raw = shared(docs.sparkSession, path)
     small_batches(docs.sparkSession)
     codecs: list[Codec] = []
@@ -227,7 +227,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", i
 
     own = "__bpe_coded"
     out = docs.withColumn(own, coded(F.col(text_col)))
-    return out.select(*docs.columns, F.col(own)["ids"].alias(ids_col), F.col(own)["decodes"].alias(ok_col))
+    return out.select(*[c for c in docs.columns if c not in (ids_col, ok_col)], F.col(own)["ids"].alias(ids_col), F.col(own)["decodes"].alias(ok_col))
 
 
 def shared(spark: SparkSession, path: str):
