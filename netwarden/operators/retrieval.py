@@ -131,29 +131,56 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _term_weights(text: Column, vocabulary: dict[str, float]) -> Column:
-    """Array of (term, tf * idf) for the vocabulary's terms in a text."""
-    idf = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+def _known_terms(text: Column, vocabulary: dict[str, float]) -> Column:
+    """The vocabulary's terms in a text, as often as they occur."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(unicode_regex(r"\w{2,}")), F.lit(0))
+    return F.filter(found, lambda t: t.isin(list(vocabulary)))
+
+
+def _idf(vocabulary: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+
+
+def _count(terms: Column, term: Column) -> Column:
+    return F.size(F.filter(terms, lambda x: x == term))
+
+
+def _term_weights(text: Column, vocabulary: dict[str, float]) -> Column:
+    """Array of (term, n, tf * idf) for the vocabulary's terms in a text."""
+    idf = _idf(vocabulary)
 
     def weights(known: Column) -> Column:
-        count = lambda term: F.size(F.filter(known, lambda x: x == term))
-        return F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("term"), (count(t) * idf[t]).alias("w")))
+        return F.transform(
+            F.array_distinct(known), lambda t: F.struct(t.alias("term"), _count(known, t).alias("n"), (_count(known, t) * idf[t]).alias("w"))
+        )
+
+    return _let(_known_terms(text, vocabulary), weights)
 
-    return _let(F.filter(found, lambda t: t.isin(list(vocabulary))), weights)
+
+def _weight(vector: Column, term: Column) -> Column:
+    return F.coalesce(F.get(F.filter(vector, lambda q: q["term"] == term), F.lit(0))["w"], F.lit(0.0))
+
+
+def _total(vector: Column, of) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda acc, p: acc + of(p))
 
 
 def _cosine(a: Column, b: Column) -> Column:
     def of(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        other = lambda term: F.coalesce(F.get(F.filter(y, lambda q: q["term"] == term), F.lit(0))["w"], F.lit(0.0))
-        dot = F.aggregate(x, F.lit(0.0), lambda acc, p: acc + p["w"] * other(p["term"]))
-        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, p: acc + p["w"] * p["w"]))
-        return F.when((F.size(x) > 0) & (F.size(y) > 0), dot / (norm(x) * norm(y))).otherwise(0.0)
+        norm = lambda v: F.sqrt(_total(v, lambda p: p["w"] * p["w"]))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), _total(x, lambda p: p["w"] * _weight(y, p["term"])) / (norm(x) * norm(y))).otherwise(0.0)
 
     return _let(F.struct(a.alias("x"), b.alias("y")), of)
 
 
+def _risk(cosine: Column, text: Column, attack: Column) -> Column:
+    """1 - cosine within 0 and 1; a text that names the attack is no further than the floor."""
+    plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
+    near = lambda c: F.when(F.contains(plain(text), plain(attack)), F.greatest(c, F.lit(NAMED_FLOOR))).otherwise(c)
+    return _let(cosine / (1.0 + 1e-9), lambda c: 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), near(c))))
+
+
 def semantic_risk(rationale: Column, template: Column, attack: Column) -> Column:
     """1 - cosine between rationale and template over the fixed vocabulary.
 
@@ -161,18 +188,44 @@ def semantic_risk(rationale: Column, template: Column, attack: Column) -> Column
     built-in functions and without a shuffle.
     """
     vocabulary = risk_vocabulary()
-    cosine = _cosine(_term_weights(rationale, vocabulary), _term_weights(template, vocabulary)) / (1.0 + 1e-9)
-    plain = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit(" "))
-    named = F.contains(plain(rationale), plain(attack))
-    return _let(cosine, lambda c: 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(named, F.greatest(c, F.lit(NAMED_FLOOR))).otherwise(c))))
+    return _risk(_cosine(_term_weights(rationale, vocabulary), _term_weights(template, vocabulary)), rationale, attack)
 
 
 def explain_risk(plans: DataFrame, key: str, num_words: int = 8) -> DataFrame:
-    """Risk change when each of the first distinct words is removed; needs rationale, template, attack_type."""
-    distinct = F.array_distinct(F.filter(F.split("rationale", r"[\s\p{Z}]+"), lambda w: w != ""))
-    exploded = plans.withColumn("__base", semantic_risk(F.col("rationale"), F.col("template"), F.col("attack_type"))).withColumn(
-        "word", F.explode(F.slice(distinct, 1, num_words))
+    """Risk change when each of the first distinct words is removed; needs rationale, template, attack_type.
+
+    A text is made a vector once. Removing a word changes only the words that hold it, so product and length are corrected by the
+    terms that these lose and gain.
+    """
+    vocabulary = risk_vocabulary()
+    idf = _idf(vocabulary)
+    words_of = F.filter(F.split(F.coalesce("rationale", F.lit("")), r"[\s\p{Z}]+"), lambda w: w != "")
+    vectors = plans.select(
+        key, "rationale", "attack_type", words_of.alias("words"), _term_weights(F.col("rationale"), vocabulary).alias("x"),
+        _term_weights(F.col("template"), vocabulary).alias("y"),
+    )
+    c = F.col
+    scored = vectors.select(
+        "*", _total(c("x"), lambda p: p["w"] * _weight(c("y"), p["term"])).alias("dot"), _total(c("x"), lambda p: p["w"] * p["w"]).alias("xx"),
+        _total(c("y"), lambda p: p["w"] * p["w"]).alias("yy"), _total(c("x"), lambda p: p["n"].cast("double")).alias("n"),
+    )
+    cosine = lambda dot, xx, n: F.when((n > 0) & (c("yy") > 0), dot / F.sqrt(xx * c("yy"))).otherwise(0.0)
+    base = scored.withColumn("base", _risk(cosine(c("dot"), c("xx"), c("n")), c("rationale"), c("attack_type")))
+    exploded = base.select("*", F.explode(F.slice(F.array_distinct("words"), 1, num_words)).alias("word"))
+    touched = F.array_join(F.filter("words", lambda w: F.contains(w, c("word"))), " ")
+    pair = F.struct(
+        _known_terms(touched, vocabulary).alias("lost"), _known_terms(F.replace(touched, c("word"), F.lit("")), vocabulary).alias("gained")
     )
-    masked = exploded.withColumn("__masked", F.replace("rationale", F.col("word"), F.lit("")))
-    without = semantic_risk(F.col("__masked"), F.col("template"), F.col("attack_type"))
-    return masked.select(key, "word", (F.col("__base") - without).alias("delta"))
+    changes = _let(pair, lambda p: F.transform(
+        F.array_distinct(F.concat(p["lost"], p["gained"])),
+        lambda t: F.struct(t.alias("term"), (_count(p["gained"], t) - _count(p["lost"], t)).alias("n")),
+    ))
+    weighed = F.transform(changes, lambda d: F.struct(
+        d["n"].alias("n"), (d["n"] * idf[d["term"]]).alias("w"), _weight(c("x"), d["term"]).alias("x"), _weight(c("y"), d["term"]).alias("y")
+    ))
+    without = _let(weighed, lambda d: cosine(
+        c("dot") + _total(d, lambda p: p["w"] * p["y"]), c("xx") + _total(d, lambda p: p["w"] * (2.0 * p["x"] + p["w"])),
+        c("n") + _total(d, lambda p: p["n"].cast("double")),
+    ))
+    masked = F.replace("rationale", c("word"), F.lit(""))
+    return exploded.select(key, "word", (c("base") - _risk(without, masked, c("attack_type"))).alias("delta"))

@@ -11,11 +11,11 @@ from netwarden.constants import (
     ASSET_TARGETED, AUTONOMY, CAPABILITIES, EMA_ALPHA, LOW_RISK, PROTECTED_TARGETS, REJECT_BELOW_TRUST,
     SOURCE_TARGETED, TRUST_LEVELS, TRUST_THRESHOLDS, TRUST_WEIGHTS,
 )
-from netwarden.functions.folds import RUN_ROWS, run_fold
-from netwarden.functions.ordered import Blocks, micros, order_blocks, with_ema, with_trailing_sums
+from netwarden.functions.ordered import Blocks, micros, order_blocks, with_ema, with_lag, with_rank, with_running_sum, with_trailing_sums
 from netwarden.functions.text import canonicalize, canonicalize_nested, obfuscation, sanitize_decision
 from netwarden.operators.alerts import expected_target
 from netwarden.operators.retrieval import semantic_risk
+from netwarden.session import checkpointed
 
 
 def client_trust(
@@ -41,36 +41,50 @@ def nonce_replay(
     row_id: str = "event_id",
     window_seconds: float = 300.0,
     blocks: Blocks | None = None,
-    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Flag a nonce used again within the window of its last *recorded* use.
 
-    A replay is not recorded, so the window does not slide with it; that makes the rule a
-    greedy fold rather than a lag.
+    A replay is not recorded, so the window does not slide with it: a use is recorded when it is the first one beyond the
+    window of a recorded use. A pause over the window always leads to a recorded use, so uses are judged in clusters without such a pause. In a
+    cluster no longer than the window only the first is recorded; in a longer one the recorded uses are those that pointers reach (``reached``).
     """
     width = int(window_seconds * 1_000_000)
+    keys, order = [agent, nonce], ["__t", row_id]
     rows = uses.select(agent, nonce, row_id, micros(ts).alias("__t"))
-
-    def fold(group: pd.DataFrame, state: dict | None):
-        recorded = state["used"] if state else None
-        flags = []
-        for at in group["__t"]:
-            replay = recorded is not None and at - recorded <= width
-            flags.append(replay)
-            if not replay:
-                recorded = int(at)
-        return group[[row_id]].assign(replay=flags), {"used": recorded}
-
-    kind = uses.schema[row_id].dataType.simpleString()
-    # Most nonces are used once and need no fold.
-    counted = rows.join(rows.groupBy(agent, nonce).agg(F.count(F.lit(1)).alias("__uses")), [agent, nonce])
-    again = counted.filter("__uses > 1").drop("__uses")
-    once = counted.filter("__uses = 1").select(agent, nonce, row_id, F.lit(False).alias("replay"))
-    folded = run_fold(
-        again, [agent, nonce], ["__t", row_id], blocks or order_blocks(again, "__t"), fold,
-        f"{row_id} {kind}, replay boolean", "used long", run_rows,
-    )
-    return folded.unionByName(once)
+    blocks = blocks or order_blocks(rows, "__t")
+    lagged = with_lag(rows, keys, order, blocks, {"__before": "__t"})
+    opens = F.coalesce(F.col("__t") - F.col("__before") > width, F.lit(True))
+    clustered = with_running_sum(lagged.withColumn("__opens", opens), keys, order, blocks, {"__cluster": F.col("__opens").cast("long")})
+    clustered = checkpointed(clustered.select(*keys, row_id, "__t", "__opens", "__cluster"))
+    spans = clustered.groupBy(*keys, "__cluster").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"))
+    long = clustered.join(spans.filter(F.col("__to") - F.col("__from") > width), [*keys, "__cluster"])
+    recorded = reached(long, [*keys, "__cluster"], row_id, width, blocks).select(*keys, row_id, F.lit(True).alias("__recorded"))
+    judged = clustered.join(recorded, [*keys, row_id], "left")
+    return judged.select(*keys, row_id, (~F.col("__opens") & F.col("__recorded").isNull()).alias("replay"))
+
+
+def reached(rows: DataFrame, keys: list[str], row_id: str, width: int, blocks: Blocks) -> DataFrame:
+    """The rows of every key that lead to each other from the first, each to the first one more than ``width`` after it.
+
+    A pointer is a row's position and that of the row it leads to. In every round what is reached goes on along the pointers, and each pointer
+    is joined to the one where it ends, so it leads twice as far: a chain of n rows takes log2(n) rounds, whose joins are by key and position, so
+    the rows of one key lie in all tasks.
+    """
+    ranked = with_rank(rows.select(*keys, row_id, "__t"), keys, ["__t", row_id], blocks, "__at")
+    # The row that a row leads to follows all that are no later than its own time and the width.
+    moments = F.array(F.struct(F.col("__t").alias("__when"), F.lit(0).alias("__asks")), F.struct((F.col("__t") + width).alias("__when"), F.lit(1).alias("__asks")))
+    doubled = ranked.select(*keys, row_id, "__at", F.inline(moments)).withColumnRenamed("__when", "__t")
+    counted = with_running_sum(doubled, keys, ["__t", "__asks", row_id], blocks, {"__upto": (1 - F.col("__asks")).cast("long")})
+    pointers = counted.filter("__asks = 1").select(*keys, row_id, "__at", (F.col("__upto") + 1).alias("__to"))
+    places = checkpointed(pointers)
+    ends = places.select(*keys, F.col("__at").alias("__to"))
+    jumps = checkpointed(places.select(*keys, "__at", "__to").join(ends, [*keys, "__to"]))  # pointers behind the last row lead nowhere
+    seen = places.filter("__at = 1").select(*keys, "__at")
+    while not jumps.isEmpty():
+        seen = checkpointed(seen.unionByName(seen.join(jumps, [*keys, "__at"]).select(*keys, F.col("__to").alias("__at"))))
+        onward = jumps.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__then"))
+        jumps = checkpointed(jumps.join(onward, [*keys, "__to"]).select(*keys, "__at", F.col("__then").alias("__to")))
+    return places.join(seen, [*keys, "__at"]).select(*keys, row_id)
 
 
 # --- stage 1: preprocessing checks ---------------------------------------------------------

@@ -113,12 +113,20 @@ def test_page_hinkley_over_several_rounds(skewed, blocks):
     assert one == many and one
 
 
-def test_nonce_replay_over_several_rounds(skewed):
-    df = skewed.select(F.col("id").alias("event_id"), F.timestamp_seconds("t").alias("ts"), F.col("k").alias("agent_id"), F.lit("n").alias("nonce"))
-    one = rows(trust.nonce_replay(df, window_seconds=40))
-    many = rows(trust.nonce_replay(df, window_seconds=40, blocks=ordered.Blocks(F.lit(0), 1, 3000), run_rows=100))
-    assert one == many
-    assert {r[-1] for r in one} == {True, False}
+@pytest.mark.parametrize("seconds", [0, 3, 40, 5000])
+def test_nonce_replay_by_pointers(skewed, seconds):
+    """A hot nonce with a use every second: its chain is followed by doubling, in one block or many, as the fold would."""
+    df = skewed.select(F.col("k").alias("agent_id"), F.lit("n").alias("nonce"), F.col("id").alias("event_id"), F.timestamp_seconds("t").alias("ts"))
+    want = {}
+    for _, group in df.toPandas().sort_values(["ts", "event_id"]).groupby("agent_id"):
+        used = None
+        for at, i in zip(group["ts"], group["event_id"]):
+            want[i] = used is not None and (at - used).total_seconds() <= seconds
+            used = used if want[i] else at
+    cut = ordered.order_blocks(df.select((F.unix_micros("ts")).alias("__t")), "__t", 90)
+    assert cut.n > 20
+    for blocks in (None, cut):
+        assert {r["event_id"]: r["replay"] for r in trust.nonce_replay(df, window_seconds=seconds, blocks=blocks).collect()} == want
 
 
 def test_chain_over_several_rounds(skewed):
