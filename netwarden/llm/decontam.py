@@ -62,25 +62,28 @@ def windows(text: Column, lengths: list[int]) -> Column:
         def plain(i: Column) -> Column:
             return F.xxhash64(F.lit(length), *[F.get(template, i + k) for k in range(length)])
 
-        def window(i: Column, own: Column, heavy: Column) -> Column:
-            # What is mostly slots says too little without its values; a name there is a word like any other.
-            verbatim = F.xxhash64(F.lit(-length), *[F.ltrim(F.get(w, i + k), F.lit(NAME)) for k in range(length)])
-            return F.struct(i.alias("pos"), F.when(heavy, verbatim).otherwise(plain(i)).alias("h"), heavy.alias("heavy"), F.when(~heavy, own).alias("slots"))
-
         def slots(i: Column) -> Column:
             return F.filter(F.slice(w, i + 1, length), _is_slot)
 
+        def placed(at: Column) -> Column:
+            return F.transform(at, lambda i: F.struct(i.alias("pos"), slots(i).alias("slots")))
+
+        def window(x: Column, heavy: Column) -> Column:
+            # What is mostly slots says too little without its values; a name there is a word like any other.
+            verbatim = F.xxhash64(F.lit(-length), *[F.ltrim(F.get(w, x["pos"] + k), F.lit(NAME)) for k in range(length)])
+            return F.struct(x["pos"].alias("pos"), F.when(heavy, verbatim).otherwise(plain(x["pos"])).alias("h"), heavy.alias("heavy"), F.when(~heavy, x["slots"]).alias("slots"))
+
         def free(i: Column) -> Column:
             return F.struct(i.alias("pos"), plain(i).alias("h"), F.lit(False).alias("heavy"), F.lit(None).cast("array<string>").alias("slots"))
 
         if length >= WHOLE:
-            with_slots = F.transform(starts, lambda i: let(slots(i), lambda own: window(i, own, 2 * F.size(own) > length)))
+            with_slots = F.transform(placed(starts), lambda x: window(x, 2 * F.size(x["slots"]) > length))
             return F.when(slotted, with_slots).otherwise(F.transform(starts, free))
         # Few plain words stand in any text: they count only where they are all of it, and with a value wherever it stands beside the same words.
-        whole = F.transform(F.when(F.size(w) == length, F.array(F.lit(0))).otherwise(none), lambda i: window(i, slots(i), F.lit(False)))
+        whole = F.transform(placed(F.when(F.size(w) == length, F.array(F.lit(0))).otherwise(none)), lambda x: window(x, F.lit(False)))
         if length < SHORTEST:
             return whole
-        valued = F.transform(F.filter(F.when(slotted, starts).otherwise(none), lambda i: F.size(slots(i)) > 0), lambda i: window(i, slots(i), F.lit(True)))
+        valued = F.transform(F.filter(placed(F.when(slotted, starts).otherwise(none)), lambda x: F.size(x["slots"]) > 0), lambda x: window(x, F.lit(True)))
         return F.concat(whole, valued)
 
     def over(pair: Column) -> Column:
