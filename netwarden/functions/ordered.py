@@ -12,6 +12,7 @@ Keys must be non-null; callers fill or filter them first.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ MICROS = 1_000_000
 
 @dataclass(frozen=True)
 class Blocks:
-    """A deterministic block number per row, monotone in the leading order column."""
+    """A deterministic block number per row, monotone in the order columns."""
 
     column: Column
     n: int
@@ -44,35 +45,59 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _lookup(value: Column, cuts: Sequence) -> Column:
-    """Number of sorted cuts <= value, by binary search over a constant array."""
+#: A cut: a value of each order column; ``None`` from some column on is the first row with the values before it.
+Cut = tuple
+
+
+def _lookup(values: Sequence[Column], cuts: Sequence[Cut]) -> Column:
+    """Number of sorted cuts <= the values, compared column by column, by binary search over constant arrays."""
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    known = F.array(*[F.lit(c) for c in cuts])
+    # A column that no cut compares needs no array.
+    used = [k for k in range(len(values)) if any(c[k] is not None for c in cuts)]
+    known = {k: F.array(*[F.lit(c[k]) for c in cuts]) for k in used}
+
+    def behind(i: Column, k: int = 0) -> Column:
+        if k not in known:
+            return F.lit(True)
+        cut = F.get(known[k], i)
+        return cut.isNull() | (cut < values[k]) | ((cut == values[k]) & behind(i, k + 1))
 
     def narrowed(at: Column, step: Column) -> Column:
-        return at + F.when(F.get(known, at + step - 1) <= value, step).otherwise(0)
+        inside = at + step <= len(cuts)
+        return at + F.when(inside & F.coalesce(behind(at + step - 1), F.lit(False)), step).otherwise(0)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), narrowed)
 
 
-def order_blocks(df: DataFrame, order: str, target_rows: int = TARGET_ROWS, rows: int | None = None) -> Blocks:
-    """Measure the table and cut the order column at approximate quantiles.
+def _cuts(df: DataFrame, order: Sequence[str], n: int) -> list[Cut]:
+    """Cuts of the rows into about ``n`` equal parts. A value at which several cuts fall is cut on by the next column, among its own rows."""
+    value = as_number(df, order[0])
+    found = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    times = Counter(found)
+    out = [(v, *[None] * (len(order) - 1)) for v in times]
+    heavy = {v: m for v, m in times.items() if m > 1}
+    if heavy and len(order) > 1 and isinstance(df.schema[order[1].strip("`")].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType)):
+        for v, m in heavy.items():  # half as many as there are parts, at most
+            out += [(v, *c) for c in _cuts(df.filter(value == F.lit(v)), order[1:], m + 1)]
+    return sorted(out, key=lambda c: [(x is not None, x or 0) for x in c])
+
+
+def order_blocks(df: DataFrame, order: str | Sequence[str], target_rows: int | None = None, rows: int | None = None) -> Blocks:
+    """Measure the table and cut the order columns at approximate quantiles.
 
-    Only the cut points (one number for ``target_rows`` rows) reach the driver. They enter the plan
-    as literals, so every branch and every retry sees the same blocks; being approximate
+    Rows of one value in the first column are cut by the next ones, if those are numbers or times; a single column leaves them together. Only
+    the cut points (one for ``target_rows`` rows) reach the driver. They enter the plan as literals, so every branch and every retry sees the same blocks; being approximate
     affects balance only, never results. Pass ``rows`` when the size is already known.
     """
+    order = [order] if isinstance(order, str) else list(order)
+    target_rows = target_rows or TARGET_ROWS
     rows = df.count() if rows is None else rows
     if rows <= target_rows:
         return Blocks(F.lit(0), 1, rows)
-    n = math.ceil(rows / target_rows)
-    value = as_number(df, order)
-    probabilities = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(value, probabilities, 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = _cuts(df, order, math.ceil(rows / target_rows))
     if not cuts:
         return Blocks(F.lit(0), 1, rows)
-    return Blocks(F.coalesce(_lookup(value, cuts), F.lit(0)), len(cuts) + 1, rows)
+    return Blocks(F.coalesce(_lookup([as_number(df, c) for c in order], cuts), F.lit(0)), len(cuts) + 1, rows)
 
 
 def hash_blocks(df: DataFrame, digest: str, target_rows: int = TARGET_ROWS, rows: int | None = None) -> Blocks:
@@ -222,7 +247,6 @@ def with_trailing_sums(
     width = int(round(seconds * MICROS))
     names = list(values)
     timed = df.withColumn("__t", micros(ts)).select("*", *[F.coalesce(v, F.lit(0)).alias(f"__v_{n}") for n, v in values.items()])
-    blocks = blocks or order_blocks(timed, "__t")
     moments = F.array(
         F.struct(F.col("__t").alias("__at"), F.lit(1).alias("__in")),
         F.struct((F.col("__t") + width + 1).alias("__at"), F.lit(0).alias("__in")),
@@ -234,6 +258,7 @@ def with_trailing_sums(
     doubled = timed.select("*", F.inline(moments)).select(
         *slim, F.col("__at").alias("__t"), "__in", *[F.col(f"__v_{n}") for n in names]
     )
+    blocks = blocks or order_blocks(doubled, ["__t", "__in", tie])
     signed = {n: F.when(F.col("__in") == 1, F.col(f"__v_{n}")).otherwise(-F.col(f"__v_{n}")) for n in names}
     summed = with_running_sum(doubled, keys, ["__t", "__in", tie], blocks, signed)
     arrived = summed.filter(F.col("__in") == 1)

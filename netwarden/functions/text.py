@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -138,9 +139,14 @@ def redact(text: Column) -> Column:
         ).otherwise(v)
         return let(value, cleaned)
 
-    for label in SENSITIVE:
-        text = step(text, label)
-    return text
+    def gated(value: Column) -> Column:
+        clean = value
+        for label in SENSITIVE:
+            clean = step(clean, label)
+        # A text that could match nothing, which most are, goes through no step.
+        return F.when(reduce(Column.__or__, [_may_match(value, label) for label in SENSITIVE]), clean).otherwise(value)
+
+    return let(text, gated)
 
 
 def sanitize_decision(df: DataFrame) -> DataFrame:

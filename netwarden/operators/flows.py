@@ -72,7 +72,7 @@ def sessionize(
     df = add_flow_key(df.filter(F.col(ts).isNotNull()), columns)
     if inactivity_seconds is None:
         return df.withColumn("session_no", F.lit(1).cast("long")).withColumn("session_id", F.col("flow_key"))
-    blocks = blocks or order_blocks(df, ts)
+    blocks = blocks or order_blocks(df, [ts, row_id])
     numbered = _number_sessions(df.withColumn("__t", micros(ts)), row_id, int(inactivity_seconds * 1_000_000), blocks)
     return numbered.withColumn(
         "session_id", F.concat(F.col("flow_key"), F.lit("|session="), F.col("session_no").cast("string"))
@@ -130,7 +130,7 @@ def sliding_windows(
     """
     if length < 1 or stride < 1:
         raise ValueError("length and stride must be positive")
-    blocks = blocks or order_blocks(df, ts)
+    blocks = blocks or order_blocks(df, [ts, row_id])
     ranked = with_rank(df.select(key, ts, row_id, label), [key], [ts, row_id], blocks, "__rn")
     run = F.floor((F.col("__rn") - 1) / run_rows)
     shared = (run > 0) & ((F.col("__rn") - 1) % run_rows < length - 1)
@@ -199,7 +199,7 @@ def temporal_audit(df: DataFrame, ts: str = "ts", row_id: str = "row_id", column
         F.count(F.lit(1)).alias("valid_rows"),
         (F.count_if(F.col("__t") < F.col("__before")) == 0).alias("input_order_ok"),
     )
-    gaps = with_lag(valid, [], ["__t", row_id], order_blocks(valid, "__t", rows=total), {"__before": "__t"}).select(
+    gaps = with_lag(valid, [], ["__t", row_id], order_blocks(valid, ["__t", row_id], rows=total), {"__before": "__t"}).select(
         ((F.col("__t") - F.col("__before")) / 1000.0).alias("gap_ms")
     )
     gap_quantiles = exact_quantiles(gaps, [], "gap_ms", {"median_gap_ms": 0.5, "p95_gap_ms": 0.95}, rows=total)

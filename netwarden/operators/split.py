@@ -67,7 +67,7 @@ def session_split(
     if min(train, val, test) <= 0:
         raise ValueError(f"cannot fill every split from {n} session(s): train={train} val={val} test={test}")
     if chronological:
-        ranked = with_rank(sessions, [], ["__start", session], order_blocks(sessions, "__start", rows=n), "__rn")
+        ranked = with_rank(sessions, [], ["__start", session], order_blocks(sessions, ["__start", session], rows=n), "__rn")
         names, cuts = ("train", "val", "test"), (train, train + val)
     else:
         ranked = _ranked_by_hash(sessions, [], session, seed, rows=n)

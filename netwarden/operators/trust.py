@@ -40,7 +40,7 @@ def nonce_replay(
     ts: str = "ts",
     row_id: str = "event_id",
     window_seconds: float = 300.0,
-    blocks: Blocks | None = None,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Flag a nonce used again within the window of its last *recorded* use.
 
@@ -51,19 +51,19 @@ def nonce_replay(
     width = int(window_seconds * 1_000_000)
     keys, order = [agent, nonce], ["__t", row_id]
     rows = uses.select(agent, nonce, row_id, micros(ts).alias("__t"))
-    blocks = blocks or order_blocks(rows, "__t")
+    blocks = order_blocks(rows, order, target_rows)
     lagged = with_lag(rows, keys, order, blocks, {"__before": "__t"})
     opens = F.coalesce(F.col("__t") - F.col("__before") > width, F.lit(True))
     clustered = with_running_sum(lagged.withColumn("__opens", opens), keys, order, blocks, {"__cluster": F.col("__opens").cast("long")})
     clustered = checkpointed(clustered.select(*keys, row_id, "__t", "__opens", "__cluster"))
     spans = clustered.groupBy(*keys, "__cluster").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"))
     long = clustered.join(spans.filter(F.col("__to") - F.col("__from") > width), [*keys, "__cluster"])
-    recorded = reached(long, [*keys, "__cluster"], row_id, width, blocks).select(*keys, row_id, F.lit(True).alias("__recorded"))
+    recorded = reached(long, [*keys, "__cluster"], row_id, width, blocks, target_rows).select(*keys, row_id, F.lit(True).alias("__recorded"))
     judged = clustered.join(recorded, [*keys, row_id], "left")
     return judged.select(*keys, row_id, (~F.col("__opens") & F.col("__recorded").isNull()).alias("replay"))
 
 
-def reached(rows: DataFrame, keys: list[str], row_id: str, width: int, blocks: Blocks) -> DataFrame:
+def reached(rows: DataFrame, keys: list[str], row_id: str, width: int, blocks: Blocks, target_rows: int | None = None) -> DataFrame:
     """The rows of every key that lead to each other from the first, each to the first one more than ``width`` after it.
 
     A pointer is a row's position and that of the row it leads to. In every round what is reached goes on along the pointers, and each pointer
@@ -74,7 +74,8 @@ def reached(rows: DataFrame, keys: list[str], row_id: str, width: int, blocks: B
     # The row that a row leads to follows all that are no later than its own time and the width.
     moments = F.array(F.struct(F.col("__t").alias("__when"), F.lit(0).alias("__asks")), F.struct((F.col("__t") + width).alias("__when"), F.lit(1).alias("__asks")))
     doubled = ranked.select(*keys, row_id, "__at", F.inline(moments)).withColumnRenamed("__when", "__t")
-    counted = with_running_sum(doubled, keys, ["__t", "__asks", row_id], blocks, {"__upto": (1 - F.col("__asks")).cast("long")})
+    moves = ["__t", "__asks", row_id]
+    counted = with_running_sum(doubled, keys, moves, order_blocks(doubled, moves, target_rows, rows=2 * blocks.rows), {"__upto": (1 - F.col("__asks")).cast("long")})
     pointers = counted.filter("__asks = 1").select(*keys, row_id, "__at", (F.col("__upto") + 1).alias("__to"))
     places = checkpointed(pointers)
     ends = places.select(*keys, F.col("__at").alias("__to"))
@@ -201,8 +202,8 @@ def preprocess_plans(plans: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """Stage 1: all checks, the normalized plan, ``stage1_reasons`` and ``stage1_ok``. Plans with a ``nonce`` are checked for replay."""
     if "nonce" in plans.columns and "replay" not in plans.columns:
         plans = with_replay(plans, window_seconds=limits.get("nonce_window_seconds", 300.0))
-    # The costly text checks come before the window, where no agent is hot yet.
-    checked = rationale_check(with_quota(normalize_actions(plans, limits), limit=limits["actions_per_hour"]))
+    # The quota needs the number of actions only, which normalizing leaves as it is; the costly text checks come behind its join, once for each plan.
+    checked = rationale_check(normalize_actions(with_quota(plans, limit=limits["actions_per_hour"]), limits))
     replay = F.array_compact(F.array(F.when(F.col("replay"), "nonce replay detected"))) if "replay" in plans.columns else F.array().cast("array<string>")
     reasons = F.concat(
         replay,

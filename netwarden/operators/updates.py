@@ -364,7 +364,7 @@ def gate_scores(clients: DataFrame, min_benign: float = 0.5, min_silhouette: flo
     per_round = clients.groupBy("round").agg(
         F.count(F.lit(1)).alias("__n"), F.count_if("in_majority").alias("__benign")
     )
-    ranked = with_rank(clients, ["round"], ["distance", "client_id"], order_blocks(clients, "distance"), "__rn")
+    ranked = with_rank(clients, ["round"], ["distance", "client_id"], order_blocks(clients, ["distance", "client_id"]), "__rn")
     joined = ranked.join(per_round, "round")
     unclear = F.col("degenerate") | F.col("silhouette").isNull() | (F.col("silhouette") < min_silhouette)
     minimum = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(min_benign)))

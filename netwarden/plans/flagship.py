@@ -20,7 +20,7 @@ def behavioral_trust(plans: DataFrame) -> DataFrame:
     # The windows leave one agent's rows together; scoring wants them spread.
     features = checkpointed(features.select("sequence", "ts", "agent_id", *trust.FEATURES).repartition("sequence"))
     scored = anomaly.behaviour_score(features, trust.FEATURES, anomaly.fit_forest(features, trust.FEATURES, key="sequence"))
-    smoothed = with_ema(scored, ["agent_id"], ["ts", "sequence"], order_blocks(scored, "ts"), "behaviour_score", EMA_ALPHA, 1.0, "behavioral_trust")
+    smoothed = with_ema(scored, ["agent_id"], ["ts", "sequence"], order_blocks(scored, ["ts", "sequence"]), "behaviour_score", EMA_ALPHA, 1.0, "behavioral_trust")
     return smoothed.select(F.col("sequence").alias("plan_id"), "behavioral_trust")
 
 

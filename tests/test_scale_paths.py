@@ -123,10 +123,8 @@ def test_nonce_replay_by_pointers(skewed, seconds):
         for at, i in zip(group["ts"], group["event_id"]):
             want[i] = used is not None and (at - used).total_seconds() <= seconds
             used = used if want[i] else at
-    cut = ordered.order_blocks(df.select((F.unix_micros("ts")).alias("__t")), "__t", 90)
-    assert cut.n > 20
-    for blocks in (None, cut):
-        assert {r["event_id"]: r["replay"] for r in trust.nonce_replay(df, window_seconds=seconds, blocks=blocks).collect()} == want
+    for target in (None, 90):
+        assert {r["event_id"]: r["replay"] for r in trust.nonce_replay(df, window_seconds=seconds, target_rows=target).collect()} == want
 
 
 def test_chain_over_several_rounds(skewed):
@@ -157,3 +155,31 @@ def test_iid_partition_sizes(skewed):
     parts = split.iid_partition(skewed.select("id"), "id", 7).groupBy("client_id").count().collect()
     sizes = sorted(r["count"] for r in parts)
     assert len(sizes) == 7 and sum(sizes) == 3000 and sizes[-1] - sizes[0] <= 1
+
+
+@pytest.mark.parametrize("same", ["all", "half"])
+def test_rows_of_one_time_are_divided(skewed, monkeypatch, same):
+    """One timestamp for all rows, or for half of them: the tie-breaker cuts on, and nothing changes."""
+    t = F.lit(7) if same == "all" else F.when(F.col("id") % 2 == 0, 700).otherwise(F.col("t"))
+    df = skewed.withColumn("t", t.cast("long"))
+    cut = ordered.order_blocks(df, ["t", "id"], target_rows=90)
+    assert cut.n > 20
+    per = df.withColumn("b", cut.column).groupBy("b").agg(F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi"), F.count("*").alias("n")).orderBy("b").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(per, per[1:])) and max(r["n"] for r in per) < 400
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.row_number().over(w).alias("rn"), F.lag("v").over(w).alias("p"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    got = ordered.with_rank(df, ["k"], ["t", "id"], cut)
+    got = ordered.with_lag(got, ["k"], ["t", "id"], cut, {"p": "v"})
+    got = ordered.with_running_sum(got, ["k"], ["t", "id"], cut, {"s": F.col("n")})
+    assert rows(got.select("id", "rn", "p", "s")) == rows(want)
+    timed = df.withColumn("ts", F.timestamp_seconds("t"))
+    plain = [rows(f(timed)) for f in SCANS]
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 90)
+    assert [rows(f(timed)) for f in SCANS] == plain
+
+
+SCANS = [
+    lambda df: ordered.with_trailing_sums(df, ["k"], "ts", "id", 50, {"s": F.col("n")}).select("id", "s"),
+    lambda df: flows.sessionize(df.select("id", "ts", F.col("k").alias("ip.src_host"), F.lit("x").alias("ip.dst_host")), row_id="id", inactivity_seconds=3).select("id", "session_id"),
+    lambda df: trust.nonce_replay(df.select(F.col("k").alias("agent_id"), F.lit("n").alias("nonce"), F.col("id").alias("event_id"), "ts"), window_seconds=40).select("event_id", "replay"),
+]
