@@ -63,14 +63,14 @@ def _(t: Tables):
     return rounded(analytics.reputation(t.audit), "reputation")
 
 
-def _page_hinkley(source: str, keys: str) -> str:
+def _page_hinkley(source: str, keys: str, limit: str = "1e0") -> str:
     """Recursive Page-Hinkley over ``source(keys, rn, spot, x)``."""
     match = " AND ".join(f"s.{k} = p.{k}" for k in keys.split(", "))
     picked = ", ".join(f"s.{k}" for k in keys.split(", "))
     return f"""ph AS (
   SELECT {keys}, rn, spot, CAST(1 AS BIGINT) AS n, x AS mean, x - x - CAST(0.005 AS DOUBLE) AS total, least(0e0, x - x - CAST(0.005 AS DOUBLE)) AS low, false AS alarm FROM {source} WHERE rn = 1
   UNION ALL
-  SELECT {picked}, s.rn, s.spot, u.n, u.mean, u.total, least(u.low, u.total), u.total - least(u.low, u.total) > 1e0
+  SELECT {picked}, s.rn, s.spot, u.n, u.mean, u.total, least(u.low, u.total), u.total - least(u.low, u.total) > {limit}
   FROM ph p JOIN {source} s ON {match} AND s.rn = p.rn + 1,
   LATERAL (SELECT CASE WHEN p.alarm THEN 0 ELSE p.n END AS n0, CASE WHEN p.alarm THEN 0e0 ELSE p.mean END AS mean0, CASE WHEN p.alarm THEN 0e0 ELSE p.total END AS total0, CASE WHEN p.alarm THEN 0e0 ELSE p.low END AS low0) z,
   LATERAL (SELECT z.n0 + 1 AS n, z.mean0 + (s.x - z.mean0) / (z.n0 + 1) AS mean, z.total0 + (s.x - (z.mean0 + (s.x - z.mean0) / (z.n0 + 1)) - CAST(0.005 AS DOUBLE)) AS total, z.low0 AS low) u)"""
@@ -110,6 +110,13 @@ def _(t: Tables):
     )
 
 
+@query("round_trust_alarms", "trust_rounds", f"""WITH RECURSIVE series AS (SELECT client_id, round AS spot, score AS x, row_number() OVER (PARTITION BY client_id ORDER BY round) AS rn FROM trust_rounds WHERE NOT failed_validation), {_page_hinkley('series', 'client_id', 'CAST(0.15 AS DOUBLE)')}
+SELECT client_id, rn - 1 AS index, spot AS round FROM ph WHERE alarm""")
+def _(t: Tables):
+    """The alarms themselves, of a detector that raises some."""
+    return analytics.round_drift(trust_log(t), limit=0.15)
+
+
 def _forecast_sql(field: str) -> str:
     return f"""WITH series AS (SELECT coalesce(agent_id, 'unknown') AS agent_id, {field} AS y, CAST(row_number() OVER (PARTITION BY coalesce(agent_id, 'unknown') ORDER BY ts, sequence) - 1 AS DOUBLE) AS x FROM audit WHERE trust_value IS NOT NULL),
 fit AS (SELECT agent_id, count(*) AS n, coalesce(regr_slope(y, x), 0e0) AS slope, coalesce(regr_intercept(y, x), max(y)) AS start FROM series GROUP BY 1),

@@ -72,6 +72,16 @@ def _(t: Tables):
     return profile.feature_coverage(mapped).withColumn("coverage", F.round("coverage", 6))
 
 
+_LEVELS = range(0, 1000, 40)
+
+
+@query("column_coverage", "", f"SELECT round(({' + '.join(f'CAST(coalesce(max(value) > {k}, false) AS INTEGER)' for k in _LEVELS)}) / {len(_LEVELS)}e0, 6) AS coverage FROM events")
+def _(t: Tables):
+    """Columns that hold a value only above some level: how many have any depends on the data."""
+    columns = t.events.select(*[F.when(F.col("value") > k, F.col("value")).alias(f"above_{k}") for k in _LEVELS])
+    return profile.feature_coverage(columns).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("numeric_coercion", "", "SELECT event_id, CAST(value AS DOUBLE) AS as_number, CASE WHEN event_id % 50 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS mixed FROM events")
 def _(t: Tables):
     raw = t.events.select(
