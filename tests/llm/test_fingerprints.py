@@ -179,3 +179,29 @@ def test_long_texts_below_the_share_stay(spark):
     assert any(0.6 < s < 0.8 for s in changes.values()) and any(s >= 0.8 for s in changes.values())
     want = [i for i, root in enumerate(roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= 0.8])) if root == i]
     assert kept_ids(spark, texts) == want
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Every two documents with 0.8 of their shingles in common lie in one group: one document is left of each, as if all pairs were compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: set(simhash.shingles_of(r["text"], 5)) for r in docs.collect()}
+    holders = {}
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    ids = sorted(sets)
+    place = {i: k for k, i in enumerate(ids)}
+    pairs = set()
+    for i in ids:
+        shared = {}
+        for s in sets[i]:
+            for j in holders[s]:
+                if j > i:
+                    shared[j] = shared.get(j, 0) + 1
+        pairs |= {(i, j) for j, n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9}
+    bare = [i for i in ids if not sets[i]]
+    groups = roots(len(ids), [(place[a], place[b]) for a, b in pairs] + [(place[bare[0]], place[i]) for i in bare[1:]])
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).select("doc_id").collect()}
+    lost = [p for p in pairs if set(p) <= kept]
+    assert len(pairs) > 50 and len(lost) <= 0.1 * len(pairs)
+    assert {groups[place[i]] for i in kept} == set(groups)  # no group goes as a whole
