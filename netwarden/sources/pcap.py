@@ -1,6 +1,6 @@
 """Packet timestamps of classic capture files of any size.
 
-A capture is read in byte ranges, each by a task of its own that holds one piece of it at a time. A record's header tells how long the record
+A capture is read in byte ranges; a task reads one large range or many small ones, and holds one piece at a time. A record's header tells how long the record
 is, so only the first range knows where its records begin; every other range looks for the first place from which a chain of plausible headers runs on.
 What it found is checked afterwards: over a file, each range must begin where the records of the ranges before it end, up to the end of the file. As
 the chain from the first record is the only right one, ranges that join are right; a range that does not join is read again from the place where its
@@ -9,6 +9,7 @@ predecessor ended, until all join.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ FILE_HEADER, PACKET_HEADER = 24, 16
 #: Longest packet that a header is believed to announce when a range looks for its first record, headers of a chain, and seconds between two of them.
 LONGEST, CHAIN, STEP = 1 << 18, 6, 86_400
 RANGE_BYTES = 64 << 20
+#: Bytes that opening a range counts for where ranges are dealt out to tasks, and packets of small ranges that make a batch.
+OPEN_BYTES, BATCH_PACKETS = 64 << 10, 20_000
 FORMAT = "capture_packets"
 SCHEMA = "path string, range_no int, packet int, at long, after long, ts_us long"
 
@@ -58,13 +61,13 @@ class Pieces:
         return self.data[at - self.start : at - self.start + PACKET_HEADER]
 
 
-def plausible(pieces: Pieces, at: int, form: struct.Struct) -> bool:
-    """Whether a chain of headers could begin here."""
+def plausible(pieces: Pieces, at: int, form: struct.Struct) -> bool | None:
+    """Whether a chain of headers could begin here; None where all that speaks for it is a record that the end of the file cuts off."""
     before = None
     for _ in range(CHAIN):
         head = pieces.header(at)
         if head is None:
-            return at == pieces.size or before is not None  # a cut-off tail ends the file
+            return at == pieces.size or before is not None and (at < pieces.size or None)  # a cut-off tail ends the file
         seconds, fraction, stored, length = form.unpack(head)
         if fraction >= 1_000_000 or stored > LONGEST or stored > length or before is not None and abs(seconds - before) > STEP:
             return False
@@ -73,8 +76,18 @@ def plausible(pieces: Pieces, at: int, form: struct.Struct) -> bool:
 
 
 def first_record(pieces: Pieces, start: int, stop: int, form: struct.Struct) -> int | None:
-    """The first place of a range from which a chain of headers runs on."""
-    return next((at for at in range(start, min(stop, pieces.size - PACKET_HEADER + 1)) if plausible(pieces, at, form)), None)
+    """The first place of a range from which a chain of headers runs on, or else the first that a cut-off record could explain.
+
+    Such a place lies no further from the end of the file than the longest record, so looking on for a better one is short.
+    """
+    cut_off = None
+    for at in range(start, min(stop, pieces.size - PACKET_HEADER + 1)):
+        found = plausible(pieces, at, form)
+        if found:
+            return at
+        if found is None and cut_off is None:
+            cut_off = at
+    return cut_off
 
 
 def packets_of(pieces: Pieces, path: str, range_no: int, start: int, stop: int, first: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -103,35 +116,68 @@ def packets_of(pieces: Pieces, path: str, range_no: int, start: int, stop: int,
         packet += n
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, range_no: int, start: int, stop: int, size: int, first: int | None):
-        super().__init__((path, range_no))
-        self.path, self.range_no, self.start, self.stop, self.size, self.first = path, range_no, start, stop, size, first
+class Ranges(InputPartition):
+    """Byte ranges that one task reads, as (path, range_no, start, stop, size, first)."""
+
+    def __init__(self, ranges_of_task: list[tuple]):
+        super().__init__(ranges_of_task)
+        self.ranges = ranges_of_task
+
+
+def dealt(found: list[tuple], tasks: int, range_bytes: int) -> list[Ranges]:
+    """The ranges in order, as many to a task as make a large range or an even share of all, whichever is less."""
+    weights = [stop - start + OPEN_BYTES for _, _, start, stop, _, _ in found]
+    share = min(max(range_bytes, RANGE_BYTES), max(OPEN_BYTES, -(-sum(weights) // max(tasks, 1))))
+    out, held, weight = [], [], 0
+    for one, w in zip(found, weights):
+        if held and weight + w > share:
+            out.append(Ranges(held))
+            held, weight = [], 0
+        held.append(one)
+        weight += w
+    return [*out, Ranges(held)] if held else out
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of some size, as small ranges give few rows each."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH_PACKETS:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class CaptureReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
-        self.piece = int(options.get("piecebytes", ranges.CHUNK))
+        self.piece, self.tasks = int(options.get("piecebytes", ranges.CHUNK)), int(options.get("tasks", 1))
         # {path: {range: place of its first record}}; only these ranges are read where it is given.
         self.firsts = json.loads(options["firsts"]) if "firsts" in options else None
 
-    def partitions(self) -> list[Range]:
-        out = []
+    def partitions(self) -> list[Ranges]:
+        found = []
         for path, size in ranges.files_of(self.path):
             for k, start in enumerate(range(0, max(size, 1), self.bytes)):
                 if self.firsts is None or str(k) in self.firsts.get(path, {}):
-                    out.append(Range(path, k, start, min(start + self.bytes, size), size, None if self.firsts is None else self.firsts[path][str(k)]))
-        return out
+                    found.append((path, k, start, min(start + self.bytes, size), size, None if self.firsts is None else self.firsts[path][str(k)]))
+        return dealt(found, self.tasks, self.bytes)
+
+    def batches(self, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for path, of_path in itertools.groupby(found, key=lambda r: r[0]):
+            with ranges.opened(path) as handle:
+                for _, range_no, start, stop, size, first in of_path:
+                    yield from packets_of(Pieces(handle, size, self.piece), path, range_no, start, stop, first)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        p = partition
-        with ranges.opened(p.path) as handle:
-            yield from packets_of(Pieces(handle, p.size, self.piece), p.path, p.range_no, p.start, p.stop, p.first)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from gathered(self.batches(partition.ranges))
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("capture_packets")``: the packets of capture files, by byte ranges; options ``path`` and ``rangeBytes``."""
+    """``spark.read.format("capture_packets")``: the packets of capture files, by byte ranges; options ``path``, ``rangeBytes`` and ``tasks``, the number of tasks that small ranges keep busy."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,7 +204,7 @@ def read_packets(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     spark.dataSource.register(CaptureSource)
 
     def load(**options) -> DataFrame:
-        reader = spark.read.format(FORMAT).option("path", path).option("rangeBytes", range_bytes).option("pieceBytes", piece_bytes)
+        reader = spark.read.format(FORMAT).option("path", path).option("rangeBytes", range_bytes).option("pieceBytes", piece_bytes).option("tasks", 4 * spark.sparkContext.defaultParallelism)
         return checkpointed(reader.options(**options).load())
 
     packets = load()

@@ -1,6 +1,7 @@
 """Captures, digests and messages read in ranges, against reading them whole."""
 
 import hashlib
+import io
 import json
 import random
 import struct
@@ -140,3 +141,26 @@ def test_any_offset_can_be_replayed(tmp_path):
     assert got({}, {"p": 9}) == got({}, {"p": 9}) == ["a", "bb", "ccc"]
     assert got({"p": 2}, {"p": 5}) == ["bb"]
     assert got({"p": 9}, {"p": 9}) == []
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """2,000 ranges of small files are read by a few tasks, large ranges one each."""
+    for k in range(500):
+        (tmp_path / f"c{k}").write_bytes(capture("<", made(k, 20)))
+    options = {"path": str(tmp_path), "rangebytes": "100", "tasks": "8"}
+    found = pcap.CaptureReader(options).partitions()
+    assert sum(len(p.ranges) for p in found) >= 2000 and len(found) <= 16
+    assert [len(p.ranges) for p in pcap.dealt([("f", k, k << 26, (k + 1) << 26, 1 << 30, None) for k in range(16)], 8, 1 << 26)] == [1] * 16
+    got = pcap.read_packets(spark, str(tmp_path), range_bytes=100)
+    assert got.rdd.getNumPartitions() <= 64 and got.count() == 500 * 20
+
+
+def test_a_record_cut_off_by_the_end_is_the_last_guess():
+    """Two bytes before a record, whole seconds and a short length look like a record that runs past the end."""
+    whole = capture("<", [(1_700_000_000 + k, 0, b"\xde\xad\xbe\xef") for k in range(100)])
+    form = struct.Struct("<IIII")
+    for start in range(1000, len(whole) - 100):  # a guess reaches 1,040 bytes on
+        found = pcap.first_record(pcap.Pieces(io.BytesIO(whole), len(whole)), start, len(whole), form)
+        assert (found - 24) % 20 == 0
+    cut = whole[:-2]
+    assert pcap.first_record(pcap.Pieces(io.BytesIO(cut), len(cut)), len(whole) - 20, len(cut), form) == len(whole) - 20
