@@ -88,7 +88,7 @@ def capture_packets(t: Tables):
     folder = scratch_folder(t.spark, "captures")
     pcap.write_captures(captures(t), folder)
     packets = pcap.read_packets(t.spark, folder, range_bytes=1500)
-    return packets.withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+    return packets.withColumn("path", F.substring_index("path", "/", -1))
 
 
 @query("packet_timestamps", "", "SELECT 'capture-' || event_id // 100 AS path, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS packet_no, epoch_us(ts) AS ts_us FROM events")
