@@ -2,13 +2,14 @@
 
 Rows of a key are cut by position into runs of at most ``run_rows``. Round r folds run r
 of every key in parallel, starting from the state round r-1 left; a task therefore never
-holds more than one run of a key. A table whose largest key fits in one run takes one
-round and no state hand-over.
+sorts more than one run of a key. A table whose largest key fits in one run takes one
+round and no state hand-over. Within a round the sorted rows pass through Python batch by
+batch with the state kept between them, so Python holds one Arrow batch whatever a run has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -18,7 +19,7 @@ from netwarden.session import scratch_folder
 
 RUN_ROWS = 1_000_000
 
-# fn(rows sorted by order, state dict or None) -> (output rows, new state dict)
+# fn(some next rows of a key, sorted by order, state dict or None) -> (output rows, new state dict)
 Fold = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
 
@@ -40,36 +41,40 @@ def run_fold(
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     out_names = [part.split()[0] for part in output.split(",")]
     state_names = [part.split()[0] for part in state.split(",")]
-    schema = f"{key_ddl}, {output}, __last boolean, " + ", ".join(
-        f"__state_{part.strip()}" for part in state.split(",")
-    )
+    state_columns = [f"__state_{n}" for n in state_names]
+    state_ddl = ", ".join(f"__state_{part.strip()}" for part in state.split(","))
     order = list(order)
 
-    def finish(rows: pd.DataFrame, previous: dict | None) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        out, new_state = fold(rows, previous)
-        out = out.copy()
-        for key in keys:
-            out[key] = rows[key].iloc[0]
-        out["__last"] = False
-        out.loc[out.index[-1], "__last"] = True
-        for name in state_names:
-            out[f"__state_{name}"] = None
-            out[f"__state_{name}"] = new_state[name]
-        return out[[*keys, *out_names, "__last", *[f"__state_{n}" for n in state_names]]]
+    def folded(batches: Iterator[pd.DataFrame], carried: bool, keep: bool) -> Iterator[pd.DataFrame]:
+        """Outputs batch by batch; with ``keep``, a row with the state that every key ends with as well."""
+        current, left, ended = None, None, []
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != current:
+                    if current is not None:
+                        ended.append((current, left))
+                    current, left = key, {n: rows[f"__state_{n}"].iloc[0] for n in state_names} if carried else None
+                out, left = fold(rows.drop(columns=state_columns, errors="ignore").reset_index(drop=True), left)
+                out = out.assign(**dict(zip(keys, key)))
+                yield out[[*keys, *out_names]] if not keep else out[[*keys, *out_names]].assign(__last=False, **dict.fromkeys(state_columns))
+            if keep and ended:
+                yield closed(ended)
+            ended = []
+        if keep and current is not None:
+            yield closed([(current, left)])
 
-    def first_round(rows: pd.DataFrame) -> pd.DataFrame:
-        return finish(rows, None)
+    def closed(ended: list[tuple]) -> pd.DataFrame:
+        columns = {k: [key[i] for key, _ in ended] for i, k in enumerate(keys)}
+        columns |= {n: [None] * len(ended) for n in out_names} | {"__last": [True] * len(ended)}
+        return pd.DataFrame(columns | {f"__state_{n}": [left[n] for _, left in ended] for n in state_names})
 
-    def next_round(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[*keys, *out_names, "__last", *[f"__state_{n}" for n in state_names]])
-        previous = {n: states[f"__state_{n}"].iloc[0] for n in state_names}
-        return finish(rows, previous)
+    def passed(rows: DataFrame, carried: bool, keep: bool) -> DataFrame:
+        schema = f"{key_ddl}, {output}" + (f", __last boolean, {state_ddl}" if keep else "")
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(lambda batches: folded(batches, carried, keep), schema)
 
     if blocks.rows <= run_rows:
-        result = df.groupBy(*keys).applyInPandas(first_round, schema)
-        return result.select(*keys, *out_names)
+        return passed(df, carried=False, keep=False)
 
     # Rows by run in folders of their own: a round reads its run and the states of the round before, nothing else.
     folder = scratch_folder(df.sparkSession, "fold")
@@ -79,10 +84,9 @@ def run_fold(
     rounds = (read(f"{folder}/rows").agg(F.max("__run")).first()[0] or 0) + 1
     for r in range(rounds):
         rows = read(f"{folder}/rows").filter(F.col("__run") == r).drop("__run")
-        if r == 0:
-            done = rows.groupBy(*keys).applyInPandas(first_round, schema)
-        else:
-            states = read(f"{folder}/done/round={r - 1}").filter("__last").select(*keys, *[f"__state_{n}" for n in state_names])
-            done = rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(next_round, schema)
-        done.write.parquet(f"{folder}/done/round={r}")
-    return read(f"{folder}/done").select(*keys, *out_names)
+        if r > 0:
+            states = read(f"{folder}/done/round={r - 1}").filter("__last").select(*[F.col(k).alias(f"__of_{i}") for i, k in enumerate(keys)], *state_columns)
+            same = [rows[k].eqNullSafe(states[f"__of_{i}"]) for i, k in enumerate(keys)]
+            rows = rows.join(states, same, "left").select(*rows.columns, *state_columns)
+        passed(rows, carried=r > 0, keep=True).write.parquet(f"{folder}/done/round={r}")
+    return read(f"{folder}/done").filter("NOT __last").select(*keys, *out_names)

@@ -183,3 +183,21 @@ SCANS = [
     lambda df: flows.sessionize(df.select("id", "ts", F.col("k").alias("ip.src_host"), F.lit("x").alias("ip.dst_host")), row_id="id", inactivity_seconds=3).select("id", "session_id"),
     lambda df: trust.nonce_replay(df.select(F.col("k").alias("agent_id"), F.lit("n").alias("nonce"), F.col("id").alias("event_id"), "ts"), window_seconds=40).select("event_id", "replay"),
 ]
+
+
+def test_a_fold_gets_its_rows_in_batches(spark, skewed):
+    """The fold sees an Arrow batch of a key at a time, in one round or many, and its state goes on from batch to batch; a null key is a key."""
+    def fold(part: pd.DataFrame, state: dict | None):
+        assert len(part) <= 50
+        upto = part["id"].cumsum() + (state["total"] if state else 0)
+        return part[["id"]].assign(total=upto), {"total": int(upto.iloc[-1])}
+
+    df = skewed.select(F.when(F.col("k") != "hot", F.col("k")).alias("k"), F.col("id").cast("long").alias("id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        cut = ordered.order_blocks(df, "id", 90)
+        got = [rows(folds.run_fold(df, ["k"], ["id"], cut, fold, "id long, total long", "total long", n)) for n in (10**6, 120)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = rows(df.select("k", "id", F.sum("id").over(Window.partitionBy("k").orderBy("id")).alias("total")))
+    assert got == [want, want] and want
