@@ -27,6 +27,8 @@ CLOSED_SHARE = 0.6
 PART_DOCS = 100_000
 #: Parts that one term's rows are spread over in a join with a table of terms, at most.
 MOST_SPREAD = 64
+#: Terms whose rows need no shuffle to meet a table of terms, and the length of the longest of them: about 10 MB.
+COMMON_TERMS, COMMON_LENGTH = 100_000, 64
 
 
 def parts_of(n: int, part_docs: int) -> int:
@@ -41,6 +43,13 @@ def join_terms(rows: DataFrame, terms: DataFrame, key: str, parts: int) -> DataF
     return salted.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))), ["term", "salt"]).drop("salt")
 
 
+def join_common_terms(rows: DataFrame, terms: DataFrame, key: str, parts: int, common: int = COMMON_TERMS) -> DataFrame:
+    """``join_terms`` that leaves the rows of the ``common`` terms in most documents (``df``) where they are; both tables are read twice, so they should be stored."""
+    few = stored(terms.filter(F.length("term") <= COMMON_LENGTH).orderBy(F.desc("df"), "term").limit(common), "common")
+    rare = rows.join(F.broadcast(few.select("term")), "term", "left_anti")
+    return rows.join(F.broadcast(few), "term").unionByName(join_terms(rare, terms, key, parts))
+
+
 def lengths(weights: DataFrame, key: str) -> DataFrame:
     """(key, length) of the vectors (key, term, w)."""
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))

@@ -32,9 +32,11 @@ def inverse_document_frequency(counts: DataFrame, n_docs: int) -> DataFrame:
     )
 
 
-def weighted(counts: DataFrame, idf: DataFrame, key: str, parts: int = 1) -> DataFrame:
-    """(key, term, w) with unnormalized tf*idf; terms outside the vocabulary drop out, and a term's rows are spread over ``parts``."""
-    return postings.join_terms(counts, idf, key, parts).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+def weighted(counts: DataFrame, idf: DataFrame, key: str, parts: int = 1, stay: bool = False) -> DataFrame:
+    """(key, term, w) with unnormalized tf*idf; terms outside the vocabulary drop out, and a term's rows are spread over ``parts``. With ``stay``,
+    for stored tables, the rows of common terms are not shuffled."""
+    join = postings.join_common_terms if stay else postings.join_terms
+    return join(counts, idf, key, parts).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def retrieve(
@@ -66,7 +68,7 @@ def weights_of(
     """Normalized weights (key, term, w) of what documents hold of the terms asked for, and of the queries."""
     asked = weighted(asked_counts, idf, query_key, query_parts)
     wanted = idf.join(asked_counts.select("term").distinct(), "term", "left_semi")
-    docs = postings.normalized(weighted(counts, wanted, doc_key, parts), postings.lengths(weighted(counts, idf, doc_key, parts), doc_key), doc_key)
+    docs = postings.normalized(weighted(counts, wanted, doc_key, parts), postings.lengths(weighted(counts, idf, doc_key, parts, stay=True), doc_key), doc_key)
     return docs, postings.normalized(asked, postings.lengths(asked, query_key), query_key)
 
 

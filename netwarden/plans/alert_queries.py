@@ -9,6 +9,7 @@ from netwarden import fixtures
 from netwarden.functions import text
 from netwarden.operators import alerts, postings, retrieval
 from netwarden.plans.registry import Tables, query
+from netwarden.session import stored
 
 
 def _list(values) -> str:
@@ -262,9 +263,10 @@ doc_n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM doc_w GROUP BY 1)"""
 @query("tfidf_weights", "", f"WITH {_CORPUS} SELECT doc_id, count(*) AS terms, round(norm, 6) AS norm, round(max(w) / norm, 6) AS top_weight FROM doc_w JOIN doc_n USING (doc_id) GROUP BY doc_id, norm")
 def _(t: Tables):
     docs = documents(t)
-    counts = retrieval.term_counts(docs, "doc_id", "text")
+    counts = stored(retrieval.term_counts(docs, "doc_id", "text"), "terms")
     n_docs = docs.count()
-    vectors = retrieval.weighted(counts, retrieval.inverse_document_frequency(counts, n_docs), "doc_id", postings.parts_of(n_docs, postings.PART_DOCS))
+    idf = stored(retrieval.inverse_document_frequency(counts, n_docs), "idf")
+    vectors = retrieval.weighted(counts, idf, "doc_id", postings.parts_of(n_docs, postings.PART_DOCS), stay=True)
     return vectors.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"),
         F.round(F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("top_weight"),

@@ -498,3 +498,15 @@ def test_nested_texts_are_canonicalized_without_a_nested_column(spark):
     assert got == {1: [['full"\\"', None, "ab"], [], ["A\n\t\x01", "plain"]], 2: [["plain", None]], 3: [], 4: None, 5: [["é", ""]]}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ArrowEvalPython \[_nfkc_json\(", plan)
+
+
+def test_rows_of_common_terms_stay_in_place(spark):
+    """Common terms, rare ones, one too long to be sent around and one outside the vocabulary: the same rows as by the plain join."""
+    data = [(d, t, d % 3 + 1) for d in range(40) for t in ("the", f"t{d % 7}", f"only{d}", "x" * 90, "gone")]
+    counts = spark.createDataFrame([*data, (None, "the", 2)], "doc_id long, term string, tf long")
+    idf = retrieval.inverse_document_frequency(counts.filter("term <> 'gone'"), 41)
+    for parts in (1, 3):
+        want = rows(postings.join_terms(counts, idf, "doc_id", parts).select("doc_id", "term", "tf", "df", "idf"))
+        for common in (1, 5, 1000):
+            assert rows(postings.join_common_terms(counts, idf, "doc_id", parts, common).select("doc_id", "term", "tf", "df", "idf")) == want
+    assert len(want) == 161
