@@ -15,11 +15,18 @@ from netwarden.session import stored
 
 MIN_SCORE = 0.05
 NAMED_FLOOR = 0.6
+#: Characters of text whose terms one task counts, about.
+COUNTED_CHARS = 8_000_000
 
 
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf). Texts are placed by key first, so counting needs no shuffle of the far larger token rows."""
-    placed = texts.select(key, text).repartition(F.col(key))
+    """(key, term, tf). Texts are placed by key first, so counting needs no shuffle of the far larger token rows.
+
+    A task holds the terms of its texts while it counts, so there are as many tasks as the length of all texts asks for.
+    """
+    chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / COUNTED_CHARS))
+    placed = texts.select(key, text).repartition(tasks, key)
     return placed.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )

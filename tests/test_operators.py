@@ -500,6 +500,18 @@ def test_nested_texts_are_canonicalized_without_a_nested_column(spark):
     assert re.search(r"ArrowEvalPython \[_nfkc_json\(", plan)
 
 
+def test_tasks_that_count_terms_grow_with_the_texts(spark, monkeypatch):
+    """Repeated and null keys, null and empty texts: the same counts from however many tasks, none with much more than its share."""
+    data = [(i % 90, f"The the w{i % 7} w{i % 3} only{i}") for i in range(100)] + [(None, "of the"), (None, "the"), (200, None), (201, "")]
+    texts = spark.createDataFrame(data, "doc_id long, text string")
+    want = Counter((d, w) for d, t in data for w in re.findall(r"\w{2,}", (t or "").lower()))
+    for chars, least in ((10**6, 1), (50, sum(len(t or "") for _, t in data) // 50)):
+        monkeypatch.setattr(retrieval, "COUNTED_CHARS", chars)
+        counts = retrieval.term_counts(texts, "doc_id", "text")
+        assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
+        assert counts.rdd.getNumPartitions() >= least
+
+
 def test_rows_of_common_terms_stay_in_place(spark):
     """Common terms, rare ones, one too long to be sent around and one outside the vocabulary: the same rows as by the plain join."""
     data = [(d, t, d % 3 + 1) for d in range(40) for t in ("the", f"t{d % 7}", f"only{d}", "x" * 90, "gone")]
