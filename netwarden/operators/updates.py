@@ -162,32 +162,43 @@ def label_noise(rows: DataFrame, label: str, row_id: str, normal: str, fraction:
 
 # --- detection --------------------------------------------------------------------------------
 
+def in_chunks(vectors: DataFrame) -> DataFrame:
+    """The cells with a ``__chunk`` of their coordinate: one chunk a round, and more only in rounds of more than ``CELLS_PER_CHUNK`` cells."""
+    # At most one row for every CELLS_PER_CHUNK cells.
+    large = vectors.groupBy(F.col("round").alias("__round")).agg(F.ceil(F.count(F.lit(1)) / CELLS_PER_CHUNK).alias("__chunks")).filter("__chunks > 1")
+    chunk = F.pmod(F.xxhash64(*COORD), F.coalesce("__chunks", F.lit(1).cast("long"))).alias("__chunk")
+    return vectors.join(F.broadcast(large), F.col("round").eqNullSafe(F.col("__round")), "left").select("round", "client_id", *COORD, "delta", chunk)
+
+
+def _sum_of_shares(shares: Column) -> Column:
+    """Element-wise sum of the arrays ``gram`` of an array of structs."""
+    total = F.aggregate(
+        F.slice(shares, F.lit(2), F.size(shares)), shares[0]["gram"], lambda total, s: F.zip_with(total, s["gram"], lambda x, y: x + y)
+    )
+    lengths = F.array_distinct(F.transform(shares, lambda s: F.size(s["gram"])))
+    return F.when(F.size(lengths) == 1, total).otherwise(F.raise_error(F.lit("every client must hold every coordinate")).cast("array<double>"))
+
+
 def project_updates(vectors: DataFrame, components: int = 5) -> DataFrame:
     """Standardize each coordinate over a round's clients, then project on the main components.
 
-    Coordinates are cut into chunks; a chunk yields its share of the clients x clients Gram
-    matrix. Only that matrix, whose size is set by the clients of one round, is brought
+    Coordinates of a large round are cut into chunks; a chunk yields its share of the clients x
+    clients Gram matrix. Only that matrix, whose size is set by the clients of one round, is brought
     together, so the length of the model does not matter. ``vectors``: round, client_id,
     param, idx, delta with every client holding every coordinate.
     """
-    cells = vectors.count()
-    chunks = max(1, math.ceil(cells / CELLS_PER_CHUNK))
-    placed = vectors.select("round", "client_id", *COORD, "delta", F.pmod(F.xxhash64(*COORD), F.lit(chunks)).alias("__chunk"))
-
     def gram(chunk: pd.DataFrame) -> pd.DataFrame:
         wide = chunk.pivot(index="client_id", columns=["param", "idx"], values="delta").sort_index()
         x = wide.to_numpy(dtype=float)
         scale = x.std(axis=0)
         z = (x - x.mean(axis=0)) / np.where(scale == 0, 1.0, scale)
-        return pd.DataFrame({"round": chunk["round"].iloc[0], "client_id": wide.index, "gram": list(z @ z.T)})
-
-    shares = placed.groupBy("round", "__chunk").applyInPandas(gram, "round long, client_id string, gram array<double>")
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(rows["gram"].to_list()), axis=0)
-        return pd.DataFrame({"round": [rows["round"].iloc[0]], "client_id": [rows["client_id"].iloc[0]], "gram": [total]})
+        return pd.DataFrame(
+            {"round": chunk["round"].iloc[0], "client_id": wide.index, "__chunk": chunk["__chunk"].iloc[0], "gram": list(z @ z.T)}
+        )
 
-    summed = shares.groupBy("round", "client_id").applyInPandas(add, "round long, client_id string, gram array<double>")
+    shares = in_chunks(vectors).groupBy("round", "__chunk").applyInPandas(gram, "round long, client_id string, __chunk long, gram array<double>")
+    gathered = shares.groupBy("round", "client_id").agg(F.array_sort(F.collect_list(F.struct("__chunk", "gram"))).alias("__shares"))
+    summed = gathered.select("round", "client_id", _sum_of_shares(F.col("__shares")).alias("gram"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("client_id")
@@ -402,8 +413,9 @@ def secure_rounds(
     sound = updates.join(valid, ["round", "client_id"])
     projected = checkpointed(project_updates(deltas(sound, reference), components))
     clusters = cluster_clients(projected, cluster_method)
-    labelled = projected.join(clusters, ["round", "client_id"])
-    scored = labelled.join(ood_scores(projected), ["round", "client_id"]).join(silhouette(labelled), "round")
+    # Clusters and scores are read by every count and sample of the ordered steps below.
+    labelled = checkpointed(projected.join(clusters, ["round", "client_id"]))
+    scored = checkpointed(labelled.join(ood_scores(projected), ["round", "client_id"]).join(silhouette(labelled), "round"))
     gated = gate_scores(scored)
     # Per-client rows only; the model values are not in it.
     trusted = checkpointed(

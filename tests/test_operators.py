@@ -320,6 +320,25 @@ def test_projection_preserves_distances(spark):
     assert np.allclose(np.linalg.norm(got[0] - got[5]), np.linalg.norm(z[0] - z[5]))
 
 
+def test_only_large_rounds_are_cut_into_chunks(spark, monkeypatch):
+    """Many small rounds are one chunk each, however many cells they have together; the projection is the same with and without chunks."""
+    u, reference = client_updates(spark, True)
+    vectors = updates.deltas(u, reference)
+    one = vectors.filter("round = 0")
+    cells = one.count()
+    whole = {r["client_id"]: np.array(r["point"]) for r in updates.project_updates(one).collect()}
+    monkeypatch.setattr(updates, "CELLS_PER_CHUNK", cells)
+    chunks = {r["round"]: r["n"] for r in updates.in_chunks(vectors).groupBy("round").agg(F.countDistinct("__chunk").alias("n")).collect()}
+    assert len(chunks) == 4 and set(chunks.values()) == {1}
+    monkeypatch.setattr(updates, "CELLS_PER_CHUNK", cells // 4)
+    assert updates.in_chunks(one).select("__chunk").distinct().count() > 1
+    cut = updates.project_updates(one)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 2
+    got = {r["client_id"]: np.array(r["point"]) for r in cut.collect()}
+    gaps = lambda p: [np.linalg.norm(p[a] - p[b]) for a in sorted(p) for b in sorted(p)]
+    assert len(got) == 6 and np.allclose(gaps(got), gaps(whole))
+
+
 def test_ward_halves():
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(0, 0.3, (20, 3)), rng.normal(5, 0.3, (7, 3))])
